@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, dart_minhash, gear_dedup, langbloom, packing, preference, quality_rff, token_count, wu_manber
+from . import bitplane, dart_minhash, gear_dedup, langbloom, packing, preference, quality_rff, token_count, webp_columns, wu_manber
 from .shared import documents
 
 
@@ -18,6 +18,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op2_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp_columns.media_digests(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.find_contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,5 +55,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langbloom.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontamination, op4_preference_pairs, op5_packing, op6_bit_planes, op7_substring_dedup, op8_token_counts, op9_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_webp_media, op3_decontamination, op4_preference_pairs, op5_packing, op6_bit_planes, op7_substring_dedup, op8_token_counts, op9_quality, op10_language)}
 ORACLES = {"op4_preference_pairs": preference.SQL}
