@@ -7,10 +7,11 @@ that grows until each of its `k` coordinates has one; the least rank of a coordi
 agree in a coordinate with their weighted Jaccard similarity as probability. Bands of coordinates propose candidates,
 whose exact similarity decides.
 
-Texts with equal word sequences are one class from the start. In each bucket of a band the least member is compared
-with all others, one pair per member. Members that could still be similar to one that isn't similar to it (by the
-triangle inequality of the Jaccard distance) go on to another round without it, until no bucket has two left. So no
-bucket emits all its pairs, and no link between two members of a bucket is lost for the classes.
+Texts with equal word sequences are one class from the start. In each bucket of a band the least member, the hub, is
+compared with all others, and similar pairs merge classes. A bucket whose members are in one class then is done. In
+each other bucket, a few hubs of its rarest classes are compared with all members of other classes, and leave the
+bucket; and so on, with more hubs a round, until no bucket holds two classes. So no bucket emits all its pairs while
+its members are alike, and every pair of a bucket is either compared or in one class already.
 
 Null or empty texts and texts without words are compared by their raw text alone; null and empty texts are never
 duplicates. Texts of one to four words have one shingle, all their words. Rows whose doc_id is null are left out of the
@@ -183,34 +184,76 @@ def _compare(pairs: DataFrame) -> DataFrame:
     return map_slices(pairs, run, "member long, hub long, sim double", "sa")
 
 
-def similar_links(active: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> list[DataFrame]:
-    """Links (member, hub, sim) from bucket members (bucket, member), round by round as the module says."""
-    found: list[DataFrame] = []
-    far = 1 - threshold
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(member, hub, sim) of pairs of documents."""
+    need = pairs.select(F.explode(F.array("member", "hub")).alias("need")).distinct()
+    held = materialize(shingle_table(docs.join(need, docs.doc_id == F.col("need"), "left_semi")), "dart-shingles")
+    side = lambda c, s: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
+    return materialize(_compare(pairs.join(side("member", "a"), "member").join(side("hub", "b"), "hub")), "dart-sims")
+
+
+def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
+    """(node, label) of the documents that a chain of similar pairs connects; active: (bucket, member). None without any.
+
+    Rounds, as the module says: `slots` hubs of each open bucket at most, 1, 4, 16 and so on.
+    """
+    labels, seen, slots = None, None, 1
     while True:
-        hubs = materialize(active.groupBy("bucket").agg(F.min("member").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "dart-hubs")
-        met = materialize(active.join(hubs, "bucket").where("member <> hub"), "dart-met")
-        if met.isEmpty():
-            return found
-        pairs = met.select("member", "hub").distinct()
-        need = pairs.select(F.explode(F.array("member", "hub")).alias("need")).distinct()
-        held = materialize(shingle_table(docs.join(need, docs.doc_id == F.col("need"), "left_semi")), "dart-shingles")
-        side = lambda c, s: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
-        sims = materialize(_compare(pairs.join(side("member", "a"), "member").join(side("hub", "b"), "hub")), "dart-sims")
-        found.append(sims.where(F.col("sim") >= threshold))
-        judged = materialize(met.join(sims, ["member", "hub"]).select("bucket", "member", (1 - F.col("sim")).alias("d")), "dart-judged")
-        # a member near the hub is done unless one beyond reach of the hub may be within reach of the member
-        beyond = materialize(judged.where(F.col("d") > far + 1e-12).groupBy("bucket").agg(F.min("d").alias("dmin"), F.count(F.lit(1)).alias("out")), "dart-beyond")
-        active = materialize(judged.join(beyond, "bucket").where((F.col("d") > far + 1e-12) | (F.col("d") >= F.col("dmin") - far - 1e-12)).select("bucket", "member"), "dart-active")
+        if labels is None:
+            held = active.withColumn("label", F.col("member"))
+        else:
+            held = materialize(active.join(labels, active.member == labels.node, "left").select("bucket", "member", F.coalesce("label", "member").alias("label")), "dart-held")
+        split = materialize(held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "dart-open")
+        if split.isEmpty():
+            return labels
+        # of each slot the member of the least frequent label
+        held = materialize(held.join(split, "bucket"), "dart-held")
+        if slots == 1:
+            hubs = held.groupBy("bucket").agg(F.min("member").alias("hub")).withColumn("hub_label", F.col("hub"))
+        else:
+            rare = materialize(held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "dart-shares")
+            pick = F.min(F.struct("n", "label", "member"))
+            hubs = held.join(rare, ["bucket", "label"]).groupBy("bucket", F.pmod(F.xxhash64("member"), F.lit(slots)).alias("slot")).agg(pick.alias("p")).select("bucket", F.col("p.member").alias("hub"), F.col("p.label").alias("hub_label"))
+        hubs = materialize(hubs, "dart-hubs")
+        pairs = held.join(hubs, "bucket").where("label <> hub_label").select(F.greatest("member", "hub").alias("member"), F.least("member", "hub").alias("hub")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["member", "hub"], "left_anti")
+        pairs = materialize(pairs, "dart-pairs")
+        sims = _compared(pairs, docs)
+        done = pairs.select("member", "hub")
+        seen = done if seen is None else seen.unionByName(done)
+        labels = _merged(labels, sims.where(F.col("sim") >= threshold))
+        active = materialize(held.join(hubs, (held.bucket == hubs.bucket) & (held.member == hubs.hub), "left_anti").select("bucket", "member"), "dart-active")
+        slots = min(4 * slots, 256)
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after more links: the links between the labels so far give the components of a smaller graph."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links)
+    at = lambda c: F.coalesce(f"{c}_label", c)
+    lifted = links
+    for c in ("member", "hub"):
+        own = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        lifted = lifted.join(own, c, "left")
+    lifted = materialize(lifted.select(at("member").alias("member"), at("hub").alias("hub")).where("member <> hub").distinct(), "dart-lifted")
+    if lifted.isEmpty():
+        return labels
+    up = components(lifted).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    old = labels.join(up, labels.label == up.was, "left").select("node", F.coalesce("now", "label").alias("label"))
+    new = up.join(labels.select("node"), up.was == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return materialize(old.unionByName(new), "dart-labels")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that each linked node is connected to. Least labels spread and jump until none changes."""
     edges = materialize(links.select(F.col("member").alias("a"), F.col("hub").alias("b")).unionByName(links.select(F.col("hub").alias("a"), F.col("member").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
+    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "cc-labels")
     while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
+        heard = materialize(edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("heard")), "cc-heard")
         step = labels.join(jump, "label", "left").join(heard, labels.node == heard.a).select("node", F.col("label").alias("old"), F.least("label", "up", "heard").alias("label"))
         step = materialize(step, "cc-labels")
         if step.where("label <> old").isEmpty():
@@ -224,16 +267,12 @@ def near_duplicates(docs: DataFrame, k: int = K, rows: int = ROWS, threshold: fl
     sigs = materialize(signature_table(docs, k, rows), "dart-signatures")
     reps = materialize(sigs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands")), "dart-texts")
     active = reps.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("rep").alias("member")).distinct()
-    links = similar_links(active, slim, threshold)
+    label = similar_classes(active, slim, threshold)
     texts = reps.select("key", "rep", "copies")
-    if links:
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        label = components(every)
-        texts = texts.join(label, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("label", "rep").alias("class_id"))
-    else:
+    if label is None:
         texts = texts.select("key", "copies", F.col("rep").alias("class_id"))
+    else:
+        texts = texts.join(label, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("label", "rep").alias("class_id"))
     texts = materialize(texts, "dart-classes")
     sizes = materialize(texts.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts")), "dart-sizes")
     wide = materialize(texts.join(sizes, "class_id").select("key", "class_id", "class_size", "n_texts"), "dart-wide")

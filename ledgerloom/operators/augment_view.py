@@ -1,0 +1,12 @@
+"""Term frequencies of a text table, ASCII terms only (the engines fold other letters differently)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.augment import term_frequency
+
+
+def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    return term_frequency(df, text).where(F.col("term").rlike("^[a-z.,]+$")).withColumn("tf", F.round("tf", 6))
