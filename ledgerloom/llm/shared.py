@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+#: Spark contexts that have the package.
+_SHIPPED: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +37,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers where their path doesn't lead to it already."""
+    root = Path(__file__).resolve().parents[2]
+    if root in {Path.cwd(), *(Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)} or spark.sparkContext in _SHIPPED:
+        return
+    package = f"{tempfile.mkdtemp(prefix='ledgerloom-')}/ledgerloom.zip"
+    with zipfile.ZipFile(package, "w") as z:
+        for f in sorted((root / "ledgerloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(package)
+    _SHIPPED.append(spark.sparkContext)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
