@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .text import chain, extract_merchant, first_listed, safe, title
+from .vectors import let
 
 # Patterns of payment methods, in matching order.
 METHOD_PATTERNS = [
@@ -101,8 +102,8 @@ def statement_details(col: Column | str) -> Column:
 
 def brand(*fields: Column) -> Column:
     """MER-02: a bank's brand, first in the text without blanks, then in the text; null if none."""
-    text = F.lower(F.concat_ws(" ", *fields))
-    return F.coalesce(first_listed(F.regexp_replace(text, r"\s+", ""), V.SBI_BRANDS), first_listed(text, V.SBI_BRANDS))
+    tight = lambda text: let(F.regexp_replace(text, r"\s+", ""), lambda t: first_listed(t, V.SBI_BRANDS))
+    return let(F.lower(F.concat_ws(" ", *fields)), lambda text: F.coalesce(tight(text), first_listed(text, V.SBI_BRANDS)))
 
 
 def _tidy(col: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def doubles(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("array<double>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often and in whatever inner function it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,7 +28,11 @@ def norm(a: Column) -> Column:
 
 
 def scaled(a: Column, by: Column) -> Column:
-    return F.transform(a, lambda x: x * by)
+    return let(by, lambda k: F.transform(a, lambda x: x * k))
+
+
+def _by_norm(a: Column, factor: Callable[[Column], Column]) -> Column:
+    return let(a, lambda v: scaled(v, let(norm(v), factor)))
 
 
 def atanh(x: Column) -> Column:
@@ -30,25 +41,26 @@ def atanh(x: Column) -> Column:
 
 def clip(a: Column, most: float = 0.98, eps: float = 1e-8) -> Column:
     """VEC-01: a longer vector is shortened to `most`."""
-    n = norm(a)
-    return scaled(a, F.when(n > most, F.lit(most) / (n + eps)).otherwise(1.0))
+    return _by_norm(a, lambda n: F.when(n > most, F.lit(most) / (n + eps)).otherwise(1.0))
 
 
 def expmap0(a: Column) -> Column:
     """VEC-02: from the tangent space at the origin onto the ball."""
-    n = norm(a)
-    return scaled(a, F.when(n > 0, F.tanh(n) / n).otherwise(1.0))
+    return _by_norm(a, lambda n: F.when(n > 0, F.tanh(n) / n).otherwise(1.0))
 
 
 def logmap0(a: Column) -> Column:
-    n = norm(a)
-    return scaled(a, F.when(n > 0, atanh(n) / n).otherwise(1.0))
+    return _by_norm(a, lambda n: F.when(n > 0, atanh(n) / n).otherwise(1.0))
 
 
 def distance(a: Column, b: Column) -> Column:
-    gap = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     room = lambda v: F.greatest(F.lit(1.0) - dot(v, v), F.lit(EDGE))
-    return F.acosh(1 + 2 * gap / (room(a) * room(b)))
+
+    def apart(x: Column, y: Column) -> Column:
+        gap = F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+        return F.acosh(1 + 2 * gap / (room(x) * room(y)))
+
+    return let(a, lambda x: let(b, lambda y: apart(x, y)))
 
 
 def depth(a: Column) -> Column:
@@ -58,15 +70,13 @@ def depth(a: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """VEC-05"""
-    most = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - most))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    e = let(logits, lambda v: let(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most))))
+    return let(e, lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def argmax(values: Column) -> Column:
     """The first position, from 0, of the largest value."""
-    return F.array_position(values, F.array_max(values)) - 1
+    return let(values, lambda v: F.array_position(v, F.array_max(v)) - 1)
 
 
 def contrastive_loss(d: Column, same: Column, margin: float = 1.0) -> Column:
@@ -86,8 +96,8 @@ def hybrid_loss(distance_loss: Column, angle_loss: Column, share: float = 0.5) -
 def info_nce(similar: Column, others: Column, temperature: float = 0.1) -> Column:
     """-log of the similar pair's share among all pairs' exponentials."""
     every = F.transform(F.concat(F.array(similar), others), lambda x: x / temperature)
-    most = F.array_max(every)
-    return F.log(F.aggregate(every, F.lit(0.0), lambda s, x: s + F.exp(x - most))) + most - similar / temperature
+    total = let(every, lambda v: let(F.array_max(v), lambda most: F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - most))) + most))
+    return total - similar / temperature
 
 
 def distillation_loss(student: Column, teacher: Column, student_tangent: Column, teacher_tangent: Column, alpha: float = 0.7, temperature: float = 4.0) -> Column:

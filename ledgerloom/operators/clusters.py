@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as X
-from ..functions.text import clean_description, keyword_category, salary_guard
+from ..functions.text import clean_description, first_listed, salary_guard
+from ..functions.vocabulary import KEYWORD_RULES
 
 # Phrases from which the labels' anchors are made.
 ANCHOR_PHRASES = {
@@ -44,7 +45,7 @@ def _centroid_column(centroids: list[list[float]]) -> Column:
 
 def nearest(df: DataFrame, vector: Column, centroids: list[list[float]], threshold: float = 0.7) -> DataFrame:
     """JOI-10, MDL-07: label (ties: the lower), distance, confidence exp(-distance) and is_known; centroids are k literals."""
-    best = F.array_min(F.transform(_centroid_column(centroids), lambda e: F.struct(X.distance(vector, e["c"]).alias("d"), e["i"].alias("i"))))
+    best = X.let(vector, lambda v: F.array_min(F.transform(_centroid_column(centroids), lambda e: F.struct(X.distance(v, e["c"]).alias("d"), e["i"].alias("i")))))
     return df.withColumn("__b", best).withColumns({"label": F.col("__b.i"), "distance": F.col("__b.d"), "confidence": F.exp(-F.col("__b.d")), "is_known": F.exp(-F.col("__b.d")) > threshold}).drop("__b")
 
 
@@ -73,12 +74,13 @@ def np_exp(at: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def log_at(point: Column, c: Column) -> Column:
     """The tangent vector at c that leads to the point, as array expressions."""
-    xy, xx, yy = -X.dot(c, point), X.dot(c, c), X.dot(point, point)
-    den = F.greatest(1 + 2 * xy + xx * yy, F.lit(1e-15))
-    sub = F.zip_with(X.scaled(c, -(1 + 2 * xy + yy)), X.scaled(point, 1 - xx), lambda a, b: a + b)
-    sub = X.scaled(sub, 1 / den)
-    n = X.norm(sub)
-    return X.scaled(sub, F.when(n > 0, (1 - xx) * X.atanh(n) / n).otherwise(0.0))
+
+    def step(xy: Column, xx: Column, yy: Column) -> Column:
+        den = F.greatest(1 + 2 * xy + xx * yy, F.lit(1e-15))
+        sub = F.zip_with(X.scaled(c, -(1 + 2 * xy + yy) / den), X.scaled(point, (1 - xx) / den), lambda a, b: a + b)
+        return X.let(sub, lambda v: X.scaled(v, X.let(X.norm(v), lambda n: F.when(n > 0, (1 - xx) * X.atanh(n) / n).otherwise(0.0))))
+
+    return X.let(-X.dot(c, point), lambda xy: X.let(X.dot(c, c), lambda xx: X.let(X.dot(point, point), lambda yy: step(xy, xx, yy))))
 
 
 def _sums(df: DataFrame, label: str, vector: Column) -> dict[int, tuple[int, np.ndarray]]:
@@ -157,9 +159,8 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
     grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))))
     terms = F.concat(words, grams)
     hashes = F.transform(terms, lambda t: F.xxhash64(t))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == i, F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    n = X.norm(raw)
-    return X.scaled(raw, F.when(n > 0, 1 / n).otherwise(1.0))
+    raw = X.let(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(hs, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == i, F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))))
+    return X.let(raw, lambda v: X.scaled(v, X.let(X.norm(v), lambda n: F.when(n > 0, 1 / n).otherwise(1.0))))
 
 
 
@@ -172,15 +173,22 @@ def anchors(spark, dims: int = 64) -> DataFrame:
 def predict(df: DataFrame, text: str, dims: int = 64) -> DataFrame:
     """MDL-03: category and confidence: a keyword rule on the cleaned text counts 1; for the rest the nearest anchor decides, with the salary guard.
 
-    Each different text is classified once, and only texts without a rule get an embedding.
+    Each different text is classified once, in one projection; the anchors, one for each label, are literals in it.
     """
-    cleaned = clean_description(text)
-    texts = df.select(text).distinct().withColumn("__c", F.when(cleaned == "", F.coalesce(F.col(text), F.lit(""))).otherwise(cleaned))
-    ruled = texts.withColumn("category", keyword_category(F.col("__c")))
-    by_rule = ruled.where("category is not null").select(text, "category", F.lit(1.0).alias("confidence"))
-    rest = nearest_anchor(ruled.where("category is null").select(text, "__c", hashed_embedding(F.col("__c"), dims).alias("v")), "v", anchors(df.sparkSession, dims))
-    by_model = rest.select(text, salary_guard(F.col("nearest"), F.col("__c")).alias("category"), F.exp(-F.col("distance")).alias("confidence"))
-    found = by_rule.unionByName(by_model).withColumnRenamed(text, "__t")
+    names = sorted((r["label"], r["mean"]) for r in anchors(df.sparkSession, dims).collect())
+    listed = F.array(*[F.struct(F.lit(n).alias("n"), literal(v).alias("v")) for n, v in names])
+
+    def by_model(c: Column) -> Column:
+        gap = lambda v, a: F.sqrt(F.aggregate(F.zip_with(v, a, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        best = X.let(hashed_embedding(c, dims), lambda v: F.array_min(F.transform(listed, lambda e: F.struct(gap(v, e["v"]).alias("d"), e["n"].alias("n")))))
+        return X.let(best, lambda b: F.struct(salary_guard(b["n"], c).alias("category"), F.exp(-b["d"]).alias("confidence")))
+
+    def verdict(c: Column) -> Column:
+        rule = X.let(F.lower(c), lambda low: first_listed(low, KEYWORD_RULES, 4))
+        return X.let(rule, lambda r: F.when(r.isNotNull(), F.struct(r.alias("category"), F.lit(1.0).alias("confidence"))).otherwise(by_model(c)))
+
+    cleaned = X.let(clean_description(text), lambda c: F.when(c == "", F.coalesce(F.col(text), F.lit(""))).otherwise(c))
+    found = df.select(text).distinct().select(F.col(text).alias("__t"), X.let(cleaned, verdict).alias("__v")).select("__t", "__v.category", "__v.confidence")
     return df.join(found, F.col(text).eqNullSafe(F.col("__t")), "left").drop("__t")
 
 
@@ -204,6 +212,6 @@ def project(df: DataFrame, vector: str, weight: list[list[float]], bias: list[fl
 def classify_tangent(df: DataFrame, vector: str, weight: list[list[float]], labels: list[str]) -> DataFrame:
     """VEC-05: softmax of a linear layer over the tangent vector; category and confidence."""
     rows = F.array(*[literal(r) for r in weight])
-    p = X.softmax(F.transform(rows, lambda r: X.dot(r, X.logmap0(X.doubles(vector)))))
+    p = X.softmax(X.let(X.logmap0(X.doubles(vector)), lambda v: F.transform(rows, lambda r: X.dot(r, v))))
     names = F.array(*[F.lit(x) for x in labels])
     return df.withColumn("__p", p).withColumns({"category": F.element_at(names, (X.argmax(F.col("__p")) + 1).cast("int")), "confidence": F.array_max("__p")}).drop("__p")

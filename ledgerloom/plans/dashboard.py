@@ -67,7 +67,7 @@ def agg09_week_average(spark, d):
     return _money(D.period_average(df, last_day(df), "week"), "total").withColumn("average", F.round("average", 4))
 
 
-@query(f"""WITH l AS (SELECT * FROM {duck('ledger')}), t AS (SELECT max(transaction_date) AS t FROM l), days AS (SELECT CAST(t - i AS DATE) AS day FROM t, range(7) r(i))
+@query(f"""WITH l AS (SELECT * FROM {duck('ledger')}), t AS (SELECT max(transaction_date) AS t FROM l), days AS (SELECT CAST(t - i::INT AS DATE) AS day FROM t, range(7) r(i))
 SELECT day, CAST(coalesce(sum(-amount), 0) AS DECIMAL(18,2)) AS spend FROM days LEFT JOIN (SELECT * FROM l WHERE amount < 0) x ON x.transaction_date = day GROUP BY 1""")
 def agg10_seven_days(spark, d):
     df = adapted(spark, d, "ledger")

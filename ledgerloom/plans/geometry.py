@@ -62,9 +62,9 @@ def vec05_softmax(spark, d):
     return table(spark, d, "embeddings").select("vec_id", X.argmax(v).cast("bigint").alias("label"), F.round(F.array_max(p), 5).alias("confidence"))
 
 
-@query("WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(x), 4) AS x FROM f GROUP BY 1, 2")
+@query("WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(x), 4) + 0 AS x FROM f GROUP BY 1, 2")
 def agg18_anchor_means(spark, d):
-    return C.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("mean").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("x"))
+    return C.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("mean").alias("pos", "x")).select("label", "pos", (F.round("x", 4) + 0).alias("x"))
 
 
 @query("""WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, list(x ORDER BY pos) AS m FROM (SELECT label, pos, avg(x) AS x FROM f GROUP BY 1, 2) GROUP BY 1),

@@ -75,17 +75,17 @@ def mth01_robust_scaled_by_user(spark, d):
 _TAIL = f"WITH {_dense_sql(_M)}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n, max(date) OVER (PARTITION BY user_id) AS last FROM f), m AS (SELECT user_id, avg(daily_income::DOUBLE) AS i, avg(daily_spend::DOUBLE) AS s, any_value(n) AS n, any_value(last) AS last FROM k WHERE r <= 30 GROUP BY 1) "
 
 
-@query(_TAIL + "SELECT user_id, round(i, 3) AS avg_income, round(s, 3) AS avg_spend, n AS days_analyzed FROM m")
+@query(_TAIL + "SELECT user_id, round(CAST(i AS DECIMAL(28,8)), 3)::DOUBLE AS avg_income, round(CAST(s AS DECIMAL(28,8)), 3)::DOUBLE AS avg_spend, n AS days_analyzed FROM m")
 def agg12_trailing_means(spark, d):
     return S.trailing_means(_dense(spark, d)).select("user_id", F.round("avg_income", 3).alias("avg_income"), F.round("avg_spend", 3).alias("avg_spend"), "days_analyzed")
 
 
-@query(_TAIL + "SELECT user_id, round((i - s) * 7, 2) AS safe_amount, round(least(n / 90.0, 1.0)::DOUBLE, 2) AS confidence, round(i, 2) AS avg_income, round(s, 2) AS avg_spend, n AS days_analyzed FROM m")
+@query(_TAIL + "SELECT user_id, round(CAST((i - s) * 7 AS DECIMAL(28,8)), 2)::DOUBLE AS safe_amount, round(least(n / 90.0, 1.0)::DOUBLE, 2) AS confidence, round(CAST(i AS DECIMAL(28,8)), 2)::DOUBLE AS avg_income, round(CAST(s AS DECIMAL(28,8)), 2)::DOUBLE AS avg_spend, n AS days_analyzed FROM m")
 def agg26_safe_to_spend(spark, d):
     return S.safe_to_spend(_dense(spark, d))
 
 
-@query(_TAIL + "SELECT user_id, CAST(last + h AS DATE) AS date, round(i, 2) AS predicted_income, round(s, 2) AS predicted_spend FROM m, range(1, 8) r(h)".replace("last + h", "last + h::INT"))
+@query(_TAIL + "SELECT user_id, CAST(last + h AS DATE) AS date, round(CAST(i AS DECIMAL(28,8)), 2)::DOUBLE AS predicted_income, round(CAST(s AS DECIMAL(28,8)), 2)::DOUBLE AS predicted_spend FROM m, range(1, 8) r(h)".replace("last + h", "last + h::INT"))
 def mdl15_statistical_forecast(spark, d):
     return S.statistical_forecast(_dense(spark, d))
 
