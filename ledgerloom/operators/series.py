@@ -83,17 +83,22 @@ def trailing_means(daily: DataFrame, n: int = 30) -> DataFrame:
     return last_days(daily, n).groupBy("user_id").agg(mean("daily_income").alias("avg_income"), mean("daily_spend").alias("avg_spend")).join(counts, "user_id")
 
 
+def rounded(amount: Column, digits: int = 2) -> Column:
+    """Half up on the decimal digits, so that 39.565 gives 39.57 whatever its nearest double is."""
+    return F.round(amount.cast("decimal(28,8)"), digits).cast("double")
+
+
 def safe_to_spend(daily: DataFrame, days: int = 7) -> DataFrame:
     """AGG-26: what a week leaves, and the confidence that the history gives."""
     m = trailing_means(daily)
-    return m.select("user_id", F.round((F.col("avg_income") - F.col("avg_spend")) * days, 2).alias("safe_amount"), F.round(F.least(F.col("days_analyzed") / 90.0, F.lit(1.0)), 2).alias("confidence"), F.round("avg_income", 2).alias("avg_income"), F.round("avg_spend", 2).alias("avg_spend"), "days_analyzed")
+    return m.select("user_id", rounded((F.col("avg_income") - F.col("avg_spend")) * days).alias("safe_amount"), F.round(F.least(F.col("days_analyzed") / 90.0, F.lit(1.0)), 2).alias("confidence"), rounded(F.col("avg_income")).alias("avg_income"), rounded(F.col("avg_spend")).alias("avg_spend"), "days_analyzed")
 
 
 def statistical_forecast(daily: DataFrame, horizon: int = 7) -> DataFrame:
     """MDL-15, SET-04: the next days, each with the trailing means."""
     ends = daily.groupBy("user_id").agg(F.max("date").alias("last"))
     m = trailing_means(daily).join(ends, "user_id")
-    return m.select("user_id", F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", horizon))).alias("date"), F.round("avg_income", 2).alias("predicted_income"), F.round("avg_spend", 2).alias("predicted_spend"))
+    return m.select("user_id", F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", horizon))).alias("date"), rounded(F.col("avg_income")).alias("predicted_income"), rounded(F.col("avg_spend")).alias("predicted_spend"))
 
 
 def future_rows(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:

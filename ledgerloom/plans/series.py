@@ -77,7 +77,7 @@ _TAIL = f"WITH {_dense_sql(_M)}, k AS (SELECT *, row_number() OVER (PARTITION BY
 
 @query(_TAIL + "SELECT user_id, round(CAST(i AS DECIMAL(28,8)), 3)::DOUBLE AS avg_income, round(CAST(s AS DECIMAL(28,8)), 3)::DOUBLE AS avg_spend, n AS days_analyzed FROM m")
 def agg12_trailing_means(spark, d):
-    return S.trailing_means(_dense(spark, d)).select("user_id", F.round("avg_income", 3).alias("avg_income"), F.round("avg_spend", 3).alias("avg_spend"), "days_analyzed")
+    return S.trailing_means(_dense(spark, d)).select("user_id", S.rounded(F.col("avg_income"), 3).alias("avg_income"), S.rounded(F.col("avg_spend"), 3).alias("avg_spend"), "days_analyzed")
 
 
 @query(_TAIL + "SELECT user_id, round(CAST((i - s) * 7 AS DECIMAL(28,8)), 2)::DOUBLE AS safe_amount, round(least(n / 90.0, 1.0)::DOUBLE, 2) AS confidence, round(CAST(i AS DECIMAL(28,8)), 2)::DOUBLE AS avg_income, round(CAST(s AS DECIMAL(28,8)), 2)::DOUBLE AS avg_spend, n AS days_analyzed FROM m")
