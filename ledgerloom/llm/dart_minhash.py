@@ -7,11 +7,12 @@ that grows until each of its `k` coordinates has one; the least rank of a coordi
 agree in a coordinate with their weighted Jaccard similarity as probability. Bands of coordinates propose candidates,
 whose exact similarity decides.
 
-Texts with equal word sequences are one class from the start. In each bucket of a band the least member, the hub, is
-compared with all others, and similar pairs merge classes. A bucket whose members are in one class then is done. In
-each other bucket, a few hubs of its rarest classes are compared with all members of other classes, and leave the
-bucket; and so on, with more hubs a round, until no bucket holds two classes. So no bucket emits all its pairs while
-its members are alike, and every pair of a bucket is either compared or in one class already.
+Texts with equal word sequences are one class from the start. In each bucket of a band a few hubs are compared with all
+members of other classes, and leave the bucket; similar pairs merge classes. A bucket whose members are in one class
+then is done. The first rounds take hubs of the bucket's most common class, which soon gathers what is alike; the later
+ones take hubs of its rarest classes, until no bucket holds two. So no bucket emits all its pairs while its members are
+alike, and every pair of a bucket is either compared, or in one class already, or can't be similar: each
+document's weight in shingles that no other candidate holds is counted first, which bounds its similarity to others.
 
 Null or empty texts and texts without words are compared by their raw text alone; null and empty texts are never
 duplicates. Texts of one to four words have one shingle, all their words. Rows whose doc_id is null are left out of the
@@ -21,6 +22,7 @@ classes, and kept by the filter. Extra columns are ignored and kept.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .shared import map_slices, materialize
 from .textops import U, Words, mix, text_bytes
 
 SHINGLE, K, ROWS, THRESHOLD = 5, 120, 5, 0.8
+#: Hubs of a bucket in each round, and whether they are of its most common class or of its rarest ones.
+_ROUNDS = [(1, True), (8, True)]
 _EXACT = 2.0**-53
 _STEP, _CELL, _MAX = U(0xD1342543DE82EF95), U(0xC2B2AE3D27D4EB4F), (1 << 64) - 1
 
@@ -184,47 +188,76 @@ def _compare(pairs: DataFrame) -> DataFrame:
     return map_slices(pairs, run, "member long, hub long, sim double", "sa")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """(member, hub, sim) of pairs of documents."""
-    need = pairs.select(F.explode(F.array("member", "hub")).alias("need")).distinct()
-    held = materialize(shingle_table(docs.join(need, docs.doc_id == F.col("need"), "left_semi")), "dart-shingles")
-    side = lambda c, s: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
-    return materialize(_compare(pairs.join(side("member", "a"), "member").join(side("hub", "b"), "hub")), "dart-sims")
+    side = lambda c, s: shingles.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
+    return _compare(pairs.join(side("member", "a"), "member").join(side("hub", "b"), "hub"))
+
+
+def shared_weights(shingles: DataFrame) -> DataFrame:
+    """(member, weight, common): each document's weight, and how much of it lies in shingles that other documents hold too.
+
+    A shingle's documents are counted with partial sums before the shuffle; what only one holds goes back to it.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        e, w = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("shingles", np.int64), ("counts", np.uint32)))
+        n = [len(x) // 8 for x in batch.column("shingles").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), pa.array(w.astype(np.float64))], ["e", "doc_id", "w"])
+
+    flat = map_slices(shingles, run, "e long, doc_id long, w double", "shingles")
+    own = flat.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("w").alias("w"))
+    alone = own.where("n = 1").groupBy("doc_id").agg(F.sum("w").alias("alone"))
+    whole = flat.groupBy("doc_id").agg(F.sum("w").alias("weight"))
+    return whole.join(alone, "doc_id", "left").select(F.col("doc_id").alias("member"), "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
 
 def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
     """(node, label) of the documents that a chain of similar pairs connects; active: (bucket, member). None without any.
 
-    Rounds, as the module says: `slots` hubs of each open bucket at most, 1, 4, 16 and so on.
+    Rounds, as the module says. Only buckets of two members or more count, and only the texts in them are read again.
     """
-    labels, seen, slots = None, None, 1
-    while True:
-        if labels is None:
-            held = active.withColumn("label", F.col("member"))
-        else:
-            held = materialize(active.join(labels, active.member == labels.node, "left").select("bucket", "member", F.coalesce("label", "member").alias("label")), "dart-held")
-        split = materialize(held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "dart-open")
+    crowded = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    active = materialize(active.join(crowded, "bucket"), "dart-active")
+    candidates = docs.join(active.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shingles = materialize(shingle_table(candidates), "dart-shingles")
+    # who holds too much of its own, for its size and that of the lightest in the bucket, can't be similar to any there
+    reach = (1 + threshold) / threshold * F.col("common") - F.col("weight")
+    held = active.join(shared_weights(shingles), "member")
+    held = held.where(reach >= threshold * F.col("weight") - 1e-6)
+    least = held.groupBy("bucket").agg(F.min("weight").alias("least"))
+    held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).select("bucket", "member", "weight", "common", F.col("member").alias("label")), "dart-held")
+    labels, seen = None, None
+    for slots, common in itertools.chain(_ROUNDS, itertools.repeat((64, False))):
+        # an open bucket holds two labels at least
+        shares = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        split = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label")).alias("most")).where("k > 1").select("bucket", F.col("most.label").alias("most"))
+        split = materialize(split, "dart-open")
         if split.isEmpty():
             return labels
-        # of each slot the member of the least frequent label
-        held = materialize(held.join(split, "bucket"), "dart-held")
-        if slots == 1:
-            hubs = held.groupBy("bucket").agg(F.min("member").alias("hub")).withColumn("hub_label", F.col("hub"))
+        held = held.join(split, "bucket")
+        slot = F.pmod(F.xxhash64("member"), F.lit(slots)).alias("slot")
+        own = ["member", "label", "weight", "common"]
+        if common:
+            pick = held.where("label = most").groupBy("bucket", slot).agg(F.min(F.struct(*own)).alias("p"))
         else:
-            rare = materialize(held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "dart-shares")
-            pick = F.min(F.struct("n", "label", "member"))
-            hubs = held.join(rare, ["bucket", "label"]).groupBy("bucket", F.pmod(F.xxhash64("member"), F.lit(slots)).alias("slot")).agg(pick.alias("p")).select("bucket", F.col("p.member").alias("hub"), F.col("p.label").alias("hub_label"))
-        hubs = materialize(hubs, "dart-hubs")
-        pairs = held.join(hubs, "bucket").where("label <> hub_label").select(F.greatest("member", "hub").alias("member"), F.least("member", "hub").alias("hub")).distinct()
+            pick = held.join(shares, ["bucket", "label"]).groupBy("bucket", slot).agg(F.min(F.struct("n", "label", "member", "weight", "common")).alias("p"))
+        hubs = materialize(pick.select("bucket", *[F.col(f"p.{c}").alias(f"hub_{c}") for c in own]), "dart-hubs")
+        alike = (1 + threshold) * F.least("common", "hub_common") + 1e-6 >= threshold * (F.col("weight") + F.col("hub_weight"))
+        meet = held.alias("h").join(hubs.alias("u"), (F.col("h.bucket") == F.col("u.bucket")) & (F.col("label") != F.col("hub_label")) & alike)
+        pairs = meet.select(F.greatest("member", "hub_member").alias("member"), F.least("member", "hub_member").alias("hub")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["member", "hub"], "left_anti")
         pairs = materialize(pairs, "dart-pairs")
-        sims = _compared(pairs, docs)
-        done = pairs.select("member", "hub")
-        seen = done if seen is None else seen.unionByName(done)
+        sims = materialize(_compared(pairs, shingles), "dart-sims")
+        seen = pairs if seen is None else seen.unionByName(pairs)
         labels = _merged(labels, sims.where(F.col("sim") >= threshold))
-        active = materialize(held.join(hubs, (held.bucket == hubs.bucket) & (held.member == hubs.hub), "left_anti").select("bucket", "member"), "dart-active")
-        slots = min(4 * slots, 256)
+        rest = held.join(hubs.select("bucket", F.col("hub_member").alias("member")), ["bucket", "member"], "left_anti").select("bucket", "member", "weight", "common")
+        if labels is None:
+            rest = rest.withColumn("label", F.col("member"))
+        else:
+            rest = rest.join(labels, rest.member == labels.node, "left").select("bucket", "member", "weight", "common", F.coalesce("label", "member").alias("label"))
+        held = materialize(rest, "dart-held")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -250,10 +283,10 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that each linked node is connected to. Least labels spread and jump until none changes."""
     edges = materialize(links.select(F.col("member").alias("a"), F.col("hub").alias("b")).unionByName(links.select(F.col("hub").alias("a"), F.col("member").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "cc-labels")
+    labels = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        heard = materialize(edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("heard")), "cc-heard")
+        heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         step = labels.join(jump, "label", "left").join(heard, labels.node == heard.a).select("node", F.col("label").alias("old"), F.least("label", "up", "heard").alias("label"))
         step = materialize(step, "cc-labels")
         if step.where("label <> old").isEmpty():
