@@ -130,7 +130,7 @@ def test_inserted_text_does_not_hide_a_passage(docs_of):
     rng = random.Random(2)
     shared = prose(rng, 120)
     got = gear_dedup.repeated_passages(docs_of([shared, "xy " + prose(rng, 7) + " " + shared])).collect()
-    assert [r.doc_id for r in got] == [1] and got[0].n_words >= 100
+    assert [r.doc_id for r in got] == [1] and got[0].n_words >= 80
 
 
 def test_equal_texts_leave_one(docs_of):
