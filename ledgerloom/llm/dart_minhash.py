@@ -26,7 +26,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import map_slices, materialize
@@ -226,7 +226,9 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
     held = active.join(shared_weights(shingles), "member")
     held = held.where(reach >= threshold * F.col("weight") - 1e-6)
     least = held.groupBy("bucket").agg(F.min("weight").alias("least"))
-    held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).select("bucket", "member", "weight", "common", F.col("member").alias("label")), "dart-held")
+    # a document's buckets, as many as bands at most: a pair that meets in several is compared in the least of them
+    mine = F.collect_list("bucket").over(Window.partitionBy("member")).alias("buckets")
+    held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).select("bucket", "member", "weight", "common", F.col("member").alias("label"), mine), "dart-held")
     labels, seen = None, None
     for slots, common in itertools.chain(_ROUNDS, itertools.repeat((64, False))):
         # an open bucket holds two labels at least
@@ -242,9 +244,10 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
             pick = held.where("label = most").groupBy("bucket", slot).agg(F.min(F.struct(*own)).alias("p"))
         else:
             pick = held.join(shares, ["bucket", "label"]).groupBy("bucket", slot).agg(F.min(F.struct("n", "label", "member", "weight", "common")).alias("p"))
-        hubs = materialize(pick.select("bucket", *[F.col(f"p.{c}").alias(f"hub_{c}") for c in own]), "dart-hubs")
+        hubs = pick.select("bucket", *[F.col(f"p.{c}").alias(f"hub_{c}") for c in own])
+        hubs = materialize(hubs.withColumn("hub_buckets", F.collect_list("bucket").over(Window.partitionBy("hub_member"))), "dart-hubs")
         alike = (1 + threshold) * F.least("common", "hub_common") + 1e-6 >= threshold * (F.col("weight") + F.col("hub_weight"))
-        meet = held.alias("h").join(hubs.alias("u"), (F.col("h.bucket") == F.col("u.bucket")) & (F.col("label") != F.col("hub_label")) & alike)
+        meet = held.alias("h").join(hubs.alias("u"), (F.col("h.bucket") == F.col("u.bucket")) & (F.col("label") != F.col("hub_label")) & alike & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("h.bucket")))
         pairs = meet.select(F.greatest("member", "hub_member").alias("member"), F.least("member", "hub_member").alias("hub")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["member", "hub"], "left_anti")
@@ -257,7 +260,7 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
             rest = rest.withColumn("label", F.col("member"))
         else:
             rest = rest.join(labels, rest.member == labels.node, "left").select("bucket", "member", "weight", "common", F.coalesce("label", "member").alias("label"))
-        held = materialize(rest, "dart-held")
+        held = materialize(rest.select("*", mine), "dart-held")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
