@@ -61,8 +61,8 @@ def values(spark, texts, fn):
 
 
 def test_merchants(spark):
-    got = values(spark, ["swiggy instamart order", "UPI/123456/Ravi Kumar/ybl", "", None], T.extract_merchant)
-    assert got == ["Swiggy Instamart", "Ravi Kumar", "", ""]
+    got = values(spark, ["swiggy instamart order", "UPI/123456/Asha Kumar/ybl", "", None], T.extract_merchant)
+    assert got == ["Swiggy Instamart", "Asha Kumar", "", ""]
 
 
 def test_placeholders(spark):
