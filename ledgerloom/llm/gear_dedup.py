@@ -3,9 +3,10 @@
 A gear hash over the last 16 bytes marks cut points, so equal passages have equal cuts wherever they stand and
 whatever was inserted before them. Every cut starts a chunk that ends at the first cut at least `min_chunk` bytes
 on (chunks overlap, so no cut depends on where chunking began). Chunks are compared by a 64-bit digest. Of each
-digest the occurrence with the least (doc_id, start) is kept. The others' spans are joined to runs. A run is a
-repeated passage if it holds at least `core_words` words and, with the chunk remainders at both ends in which the
-passage may go on, at least `min_words`. Only bytes of the run itself are removed.
+digest the occurrence with the least (doc_id, start) is kept. The others' spans are joined to runs. Runs are anchors
+only: each is extended byte by byte, its start against the text before the first chunk's kept occurrence, its end against
+the text after the last chunk's, and trimmed to words that are whole in both. It is a repeated passage if the span that
+is common then holds `min_words` words. Only bytes that are proven equal are removed.
 
 Null text counts as empty: no cuts, no passages. Texts without two cuts have no chunk. Rows whose doc_id is null
 can't be named, so they are left as they are. Rows that repeat an id with the same text count as one occurrence.
@@ -14,6 +15,8 @@ Extra columns are kept and ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,14 +45,19 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def natural_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions after which the hash cuts, whatever stands before their 16 bytes, and the index of the text of each."""
+    cuts = np.flatnonzero((gear_hash(data) & CUT_MASK) == CUT_MASK) + 1
+    doc = np.searchsorted(offsets, cuts - 1, side="right") - 1
+    inside = cuts - offsets[doc] >= WINDOW
+    return cuts[inside], doc[inside]
+
+
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions after which a cut lies, ascending, and the index of the text of each. A gap over MAX_GAP bytes is cut evenly from its start."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cuts = np.flatnonzero((gear_hash(data) & CUT_MASK) == CUT_MASK) + 1
-    doc = np.searchsorted(offsets, cuts - 1, side="right") - 1
-    inside = cuts - offsets[doc] >= WINDOW
-    cuts, doc = cuts[inside], doc[inside]
+    cuts, doc = natural_cuts(data, offsets)
     # forced cuts: from each text's start and each cut to the next cut or the text's end
     begin = np.concatenate([offsets[:-1], cuts])
     owner = np.concatenate([np.arange(len(offsets) - 1), doc])
@@ -109,13 +117,15 @@ def repeated_chunks(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
     return held.join(keep, "digest").where("doc_id <> keep_doc_id or at <> keep_at").select("doc_id", "at", "keep_doc_id", "keep_at")
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and first row of each run of overlapping or touching spans; `at` ascending."""
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, first row and row of the longest chunk at the end of each run of overlapping or touching spans; `at` ascending."""
     s, e = at >> LENGTH_BITS, (at >> LENGTH_BITS) + (at & ((1 << LENGTH_BITS) - 1))
     reach = np.maximum.accumulate(e)
     new = np.append(True, s[1:] > reach[:-1])
     first = np.flatnonzero(new)
-    return s[first], np.append(reach[first[1:] - 1], reach[-1]), first
+    end = np.append(reach[first[1:] - 1], reach[-1])
+    # reach ascends over the whole text, and the row that first gets to an end is the longest chunk there
+    return s[first], end, first, np.searchsorted(reach, end)
 
 
 def _words(data: np.ndarray) -> int:
@@ -123,48 +133,120 @@ def _words(data: np.ndarray) -> int:
     return int(np.count_nonzero(word[1:] & ~word[:-1]) + (bool(word[0]) if len(word) else 0))
 
 
-def passages(data: np.ndarray, at: np.ndarray, keep_doc: np.ndarray, keep_at: np.ndarray, min_words: int, core_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, words, keep_doc_id, keep_start) of the repeated passages of one text, at whole characters."""
-    order = np.argsort(at, kind="stable")
-    at, keep_doc, keep_at = at[order], keep_doc[order], keep_at[order]
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading bytes are equal."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def common_span(data: np.ndarray, s: int, e: int, before: np.ndarray, after: np.ndarray) -> tuple[int, int]:
+    """The run from s to e as far as it goes on in the kept text too, from the start of a word that is whole in both to where a word that isn't begins."""
+    m = _common(data[:s][::-1], before[::-1])
+    n = _common(data[e:], after)
+    a, b = s - m, e + n
+    word = IS_WORD[data[a:b]]
+    gaps = np.flatnonzero(~word)
+    if len(word) and word[0] and ((a > 0 and IS_WORD[data[a - 1]]) or (m < len(before) and IS_WORD[before[-m - 1]])):
+        first = int(gaps[0]) if len(gaps) else b - a
+    else:
+        first = 0
+    last = b - a
+    if len(word) and word[-1] and ((b < len(data) and IS_WORD[data[b]]) or (n < len(after) and IS_WORD[after[n]])):
+        last = int(gaps[-1]) + 1 if len(gaps) else 0
+    at = np.flatnonzero(word[first:last])
+    return (a + first + int(at[0]), a + last) if len(at) else (s, s)
+
+
+def passages(data: np.ndarray, runs: list[dict], min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, words, keep_doc_id, keep_start) of the repeated passages of one text, at whole words."""
     out = []
-    cuts = None
-    for s, e, i in zip(*_runs(at), strict=True):
-        s, e = min(int(s), len(data)), min(int(e), len(data))
-        while s < e and data[s] & 0xC0 == 0x80:
-            s += 1
-        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
-            e -= 1
+    for r in runs:
+        start, end = min(r["s"], len(data)), min(r["e"], len(data))
+        s, e = common_span(data, start, end, np.frombuffer(r["before"], np.uint8), np.frombuffer(r["after"], np.uint8))
         words = _words(data[s:e])
-        if words < core_words:
-            continue
-        if words < min_words:
-            if cuts is None:
-                cuts = cut_points(data, np.array([0, len(data)]))[0]
-            lo, hi = np.searchsorted(cuts, s), np.searchsorted(cuts, e, side="right")
-            if _words(data[(cuts[lo - 1] if lo else 0) : (cuts[hi] if hi < len(cuts) else len(data))]) < min_words:
-                continue
-        out.append((s, e, words, int(keep_doc[i]), int(keep_at[i]) >> LENGTH_BITS))
-    return out
+        if words >= min_words:
+            out.append((s, e, words, r["keep_doc_id"], r["keep_start"] + s - r["s"]))
+    return sorted(out)
+
+
+def _run_table(repeats: DataFrame) -> DataFrame:
+    """(doc_id, s, e, keep_doc_id, keep_start, last_doc_id, last_end) of every run: where its first chunk is kept, and where its last one ends there."""
+    spans = repeats.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "keep_doc_id", "keep_at")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            rows = []
+            for i, (at, doc, keep) in zip(ids, _spans(batch.column("spans")), strict=True):
+                order = np.argsort(at, kind="stable")
+                at, doc, keep = at[order], doc[order], keep[order]
+                s, e, first, last = _runs(at)
+                rows.append((np.full(len(s), i), s, e, doc[first], keep[first] >> LENGTH_BITS, doc[last], (keep[last] >> LENGTH_BITS) + (keep[last] & ((1 << LENGTH_BITS) - 1))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*rows, strict=True)], names)
+
+    names = ["doc_id", "s", "e", "keep_doc_id", "keep_start", "last_doc_id", "last_end"]
+    return spans.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _with_spans(docs: DataFrame, min_chunk: int) -> DataFrame:
-    """(__id, __spans) of each document that holds a chunk kept elsewhere."""
-    spans = repeated_chunks(docs, min_chunk).distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("at", "keep_doc_id", "keep_at")).alias("__spans"))
-    return materialize(spans, "gear-spans")
+def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int) -> DataFrame:
+    """(doc, pos, behind, bytes) for each (doc, pos, behind) asked for: the bytes before pos or, if `behind`, after it, as far as a run can go on.
 
+    Every natural cut with 16 common bytes before it is a cut of both texts. So a common span that went on to the cut
+    before a run's start, or to the first cut at least `min_chunk` after its end, would have one more common chunk.
+    """
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("pos", "behind")).alias("asked"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, core_words: int = 20, min_chunk: int = 64) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, ofs = text_bytes(batch.column("text"))
+        rows = []
+        for i, (doc, ask) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+            text = data[ofs[i] : ofs[i + 1]]
+            whole = np.array([0, len(text)])
+            cuts, natural = cut_points(text, whole)[0], natural_cuts(text, whole)[0]
+            for x in ask:
+                pos = x["pos"]
+                if x["behind"]:
+                    k = np.searchsorted(cuts, pos + min_chunk)
+                    part = text[pos : cuts[k] + 1 if k < len(cuts) else len(text)]
+                else:
+                    k = np.searchsorted(natural, pos)
+                    part = text[max(0, int(natural[k - 1]) - WINDOW) if k else 0 : pos]
+                rows.append((doc, pos, x["behind"], part.tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc", "pos", "behind", "bytes"])
+
+    found = map_slices(src.join(wanted, "doc"), run, "doc long, pos long, behind boolean, bytes binary")
+    return materialize(found.dropDuplicates(["doc", "pos", "behind"]), "gear-surroundings")
+
+
+def _with_runs(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
+    """(__id, __runs) of each document that holds a chunk kept elsewhere, with what stands around the kept occurrence."""
+    runs = materialize(_run_table(repeated_chunks(docs, min_chunk)), "gear-runs")
+    starts = runs.select(F.col("keep_doc_id").alias("doc"), F.col("keep_start").alias("pos"), F.lit(False).alias("behind"))
+    ends = runs.select(F.col("last_doc_id").alias("doc"), F.col("last_end").alias("pos"), F.lit(True).alias("behind"))
+    around = _surroundings(docs, starts.unionByName(ends).distinct(), min_chunk)
+    before = around.where("not behind").select(F.col("doc").alias("keep_doc_id"), F.col("pos").alias("keep_start"), F.col("bytes").alias("before"))
+    after = around.where("behind").select(F.col("doc").alias("last_doc_id"), F.col("pos").alias("last_end"), F.col("bytes").alias("after"))
+    runs = runs.join(before, ["keep_doc_id", "keep_start"]).join(after, ["last_doc_id", "last_end"])
+    # so many words need a byte each, and one between them
+    runs = runs.where(F.col("e") - F.col("s") + F.length("before") + F.length("after") >= 2 * min_words - 1)
+    return materialize(runs.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs")), "gear-spans")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) -> DataFrame:
     """One row per repeated passage: doc_id, start, length (bytes), n_words, passage (text), keep_doc_id, keep_start."""
-    found = _with_spans(docs, min_chunk)
+    found = _with_runs(docs, min_words, min_chunk)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
         rows = []
-        for i, spans in enumerate(_spans(batch.column("__spans"))):
+        for i, runs in enumerate(batch.column("__runs").to_pylist()):
             text = data[ofs[i] : ofs[i + 1]]
-            rows += [(ids[i], s, e - s, w, text[s:e].tobytes().decode("utf-8", "replace"), kd, ks) for s, e, w, kd, ks in passages(text, *spans, min_words, core_words)]
+            rows += [(ids[i], s, e - s, w, text[s:e].tobytes().decode("utf-8", "replace"), kd, ks) for s, e, w, kd, ks in passages(text, runs, min_words)]
         cols = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "n_words", "passage", "keep_doc_id", "keep_start"])
@@ -181,24 +263,24 @@ def _spans(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 50, core_words: int = 20, min_chunk: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) -> DataFrame:
     """docs without the later occurrences of repeated passages; a row goes if a passage was cut from it and no word is left.
 
     doc_id has to name one text. All columns come through, and n_chars, where there is one, follows the new text.
     """
-    found = _with_spans(docs, min_chunk)
+    found = _with_runs(docs, min_words, min_chunk)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans_at = batch.schema.get_field_index("__spans")
+        runs_at = batch.schema.get_field_index("__runs")
         data, ofs = text_bytes(batch.column("text"))
-        col = batch.column(spans_at)
+        col = batch.column(runs_at)
         touched = np.flatnonzero(~np.asarray(col.is_null()))
         texts = batch.column("text").to_pylist()
         keep = np.ones(batch.num_rows, bool)
         lengths = {}
-        for i, spans in zip(touched, _spans(col.take(pa.array(touched))), strict=True):
+        for i, runs in zip(touched, col.take(pa.array(touched)).to_pylist(), strict=True):
             text = data[ofs[i] : ofs[i + 1]]
-            cut = passages(text, *spans, min_words, core_words)
+            cut = passages(text, runs, min_words)
             if not cut:
                 continue
             left = np.ones(len(text), bool)
@@ -216,8 +298,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, core_words: int = 20, m
             for i, length in lengths.items():
                 n[i] = length
             cols[at] = pa.array(n, cols[at].type)
-        del cols[spans_at]
-        names = [x for i, x in enumerate(batch.schema.names) if i != spans_at]
+        del cols[runs_at]
+        names = [x for i, x in enumerate(batch.schema.names) if i != runs_at]
         return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
     joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")

@@ -138,3 +138,18 @@ def test_equal_texts_leave_one(docs_of):
     left = gear_dedup.remove_repeats(docs_of([t, t, "other words"])).collect()
     assert sorted(r.doc_id for r in left if r.text == t) == [0]
     assert gear_dedup.remove_repeats(docs_of([t]).limit(0)).count() == 0
+
+
+def test_passages_of_just_over_50_words(docs_of):
+    rng = random.Random(17)
+    shared = [prose(rng, 51 + i % 10) for i in range(80)]
+    texts = [f"{prose(rng, 40)} {x}, {prose(rng, 40)}" for _ in range(2) for x in shared] + [f"{prose(rng, 40)} {prose(rng, 45)} tail" for _ in range(40)]
+    same = prose(rng, 47)
+    texts += [f"{prose(rng, 30)} left{i} {same} right{i} {prose(rng, 30)}" for i in range(2)]
+    got = {r.doc_id: r for r in gear_dedup.repeated_passages(docs_of(texts)).collect()}
+    # words that only end or begin alike don't count; of what repeats, all is reported
+    assert set(got) <= set(range(80, 160))
+    assert len(got) >= 78
+    for i, r in got.items():
+        assert r.passage.startswith(shared[i - 80]) and r.n_words == len(words(r.passage)) <= len(words(shared[i - 80])) + 1
+        assert texts[r.keep_doc_id].encode()[r.keep_start : r.keep_start + r.length] == r.passage.encode()
