@@ -16,7 +16,8 @@ document's weight in shingles that no other candidate holds is counted first, wh
 
 Null or empty texts and texts without words are compared by their raw text alone; null and empty texts are never
 duplicates. Texts of one to four words have one shingle, all their words. Rows whose doc_id is null are left out of the
-classes, and kept by the filter. Extra columns are ignored and kept.
+classes, and kept by the filter. Rows that repeat an id, with the same text or another, count by their texts. Extra
+columns are ignored and kept.
 """
 
 from __future__ import annotations
@@ -142,8 +143,23 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+def _text_keys(words: Words, data: np.ndarray, ofs: np.ndarray, ids: list[int]) -> list[bytes]:
+    """A digest for each text, equal for equal word sequences."""
+    keys = []
+    for i, doc_id in enumerate(ids):
+        a, b = words.first[i], words.first[i + 1]
+        raw = words.hash[a:b].tobytes() if b > a else b"raw" + data[ofs[i] : ofs[i + 1]].tobytes() if ofs[i + 1] > ofs[i] else b"id%d" % doc_id
+        keys.append(hashlib.blake2b(raw, digest_size=16).digest())
+    return keys
+
+
+def _nodes(keys: list[bytes]) -> pa.Array:
+    """The keys' first 64 bits, by which texts go in the graph."""
+    return pa.array(np.frombuffer(b"".join(keys), np.int64)[::2])
+
+
 def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, bands): key is equal for equal word sequences; bands is null without words."""
+    """(doc_id, text_hash, key, node, bands): key and node are equal for equal word sequences; bands is empty without words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
@@ -152,29 +168,27 @@ def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
         e, w, d = weighted_shingles(words, n)
         bands = band_hashes(signatures(e, w, d, n, k), rows)
         ids = batch.column("doc_id").to_pylist()
-        keys = []
-        for i in range(n):
-            a, b = words.first[i], words.first[i + 1]
-            raw = words.hash[a:b].tobytes() if b > a else b"raw" + data[ofs[i] : ofs[i + 1]].tobytes() if ofs[i + 1] > ofs[i] else b"id%d" % ids[i]
-            keys.append(hashlib.blake2b(raw, digest_size=16).digest())
+        keys = _text_keys(words, data, ofs, ids)
         has = np.diff(words.first) > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, bands.shape[1], 0))]), pa.int32()), pa.array(bands[has].ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "key", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_hash"), pa.array(keys, pa.binary()), _nodes(keys), lists], ["doc_id", "text_hash", "key", "node", "bands"])
 
-    return map_slices(_slim(docs), run, "doc_id long, key binary, bands array<long>", most=1 << 20)
+    return map_slices(_slim(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, key binary, node long, bands array<long>", most=1 << 20)
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles, counts): ascending 64-bit hashes and 32-bit counts, as bytes."""
+    """(node, shingles, counts), a row for each text: ascending 64-bit hashes and 32-bit counts, as bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
-        e, w, d = weighted_shingles(Words(data, ofs), batch.num_rows)
+        words = Words(data, ofs)
+        e, w, d = weighted_shingles(words, batch.num_rows)
+        nodes = _nodes(_text_keys(words, data, ofs, batch.column("doc_id").to_pylist()))
         cut = np.searchsorted(d, np.arange(batch.num_rows + 1))
         c = w.astype(np.uint32)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "shingles", "counts"])
+        return pa.RecordBatch.from_arrays([nodes, pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["node", "shingles", "counts"])
 
-    return map_slices(docs, run, "doc_id long, shingles binary, counts binary")
+    return map_slices(docs, run, "node long, shingles binary, counts binary").dropDuplicates(["node"])
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
@@ -190,7 +204,7 @@ def _compare(pairs: DataFrame) -> DataFrame:
 
 def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """(member, hub, sim) of pairs of documents."""
-    side = lambda c, s: shingles.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
+    side = lambda c, s: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"s{s}"), F.col("counts").alias(f"c{s}"))
     return _compare(pairs.join(side("member", "a"), "member").join(side("hub", "b"), "hub"))
 
 
@@ -203,23 +217,24 @@ def shared_weights(shingles: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e, w = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("shingles", np.int64), ("counts", np.uint32)))
         n = [len(x) // 8 for x in batch.column("shingles").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), pa.array(w.astype(np.float64))], ["e", "doc_id", "w"])
+        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(w.astype(np.float64))], ["e", "node", "w"])
 
-    flat = map_slices(shingles, run, "e long, doc_id long, w double", "shingles")
-    own = flat.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("w").alias("w"))
-    alone = own.where("n = 1").groupBy("doc_id").agg(F.sum("w").alias("alone"))
-    whole = flat.groupBy("doc_id").agg(F.sum("w").alias("weight"))
-    return whole.join(alone, "doc_id", "left").select(F.col("doc_id").alias("member"), "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+    flat = map_slices(shingles, run, "e long, node long, w double", "shingles")
+    own = flat.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w"))
+    alone = own.where("n = 1").groupBy("node").agg(F.sum("w").alias("alone"))
+    whole = flat.groupBy("node").agg(F.sum("w").alias("weight"))
+    return whole.join(alone, "node", "left").select(F.col("node").alias("member"), "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
 
 def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(node, label) of the documents that a chain of similar pairs connects; active: (bucket, member). None without any.
+    """(node, label) of the texts that a chain of similar pairs connects; active: (bucket, member, doc_id). None without any.
 
     Rounds, as the module says. Only buckets of two members or more count, and only the texts in them are read again.
     """
     crowded = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     active = materialize(active.join(crowded, "bucket"), "dart-active")
-    candidates = docs.join(active.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    candidates = docs.join(active.select("doc_id").distinct(), "doc_id", "left_semi")
+    active = active.select("bucket", "member")
     shingles = materialize(shingle_table(candidates), "dart-shingles")
     # who holds too much of its own, for its size and that of the lightest in the bucket, can't be similar to any there
     reach = (1 + threshold) / threshold * F.col("common") - F.col("weight")
@@ -297,26 +312,33 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, k: int = K, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different texts in it), keep."""
-    slim = _slim(docs)
+def _rows_and_classes(docs: DataFrame, k: int = K, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, and its class: first (least doc_id and text_hash), class_size, n_texts."""
     sigs = materialize(signature_table(docs, k, rows), "dart-signatures")
-    reps = materialize(sigs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands")), "dart-texts")
-    active = reps.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("rep").alias("member")).distinct()
-    label = similar_classes(active, slim, threshold)
-    texts = reps.select("key", "rep", "copies")
+    reps = sigs.groupBy("key").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
+    reps = materialize(reps, "dart-texts")
+    active = reps.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("node").alias("member"), F.col("rep.doc_id").alias("doc_id")).distinct()
+    label = similar_classes(active, _slim(docs), threshold)
+    texts = reps.select("key", F.col("node").alias("own"), "rep", "copies")
     if label is None:
-        texts = texts.select("key", "copies", F.col("rep").alias("class_id"))
+        texts = texts.withColumn("label", F.col("own"))
     else:
-        texts = texts.join(label, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("label", "rep").alias("class_id"))
+        texts = texts.join(label, F.col("own") == F.col("node"), "left").select("key", "rep", "copies", F.coalesce("label", "own").alias("label"))
     texts = materialize(texts, "dart-classes")
-    sizes = materialize(texts.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts")), "dart-sizes")
-    wide = materialize(texts.join(sizes, "class_id").select("key", "class_id", "class_size", "n_texts"), "dart-wide")
-    return sigs.select("doc_id", "key").join(wide, "key").select("doc_id", "class_id", "class_size", "n_texts", (F.col("doc_id") == F.col("class_id")).alias("keep"))
+    sizes = materialize(texts.groupBy("label").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts")), "dart-sizes")
+    wide = materialize(texts.join(sizes, "label").select("key", "first", "class_size", "n_texts"), "dart-wide")
+    return sigs.select("doc_id", "text_hash", "key").join(wide, "key").drop("key")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different texts in it), keep."""
+    found = _rows_and_classes(docs, k, rows, threshold)
+    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("doc_id") == F.col("first.doc_id")).alias("keep"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class of near duplicates, that of the least doc_id; rows without an id stay."""
-    kept = materialize(near_duplicates(docs).where("keep").select(F.col("doc_id").alias("__id")).distinct(), "dart-kept")
-    first = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = materialize(_rows_and_classes(docs).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text")).distinct(), "dart-kept")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    first = hashed.join(kept, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
     return first.unionByName(docs.where("doc_id is null"))

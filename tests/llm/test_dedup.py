@@ -153,3 +153,18 @@ def test_passages_of_just_over_50_words(docs_of):
     for i, r in got.items():
         assert r.passage.startswith(shared[i - 80]) and r.n_words == len(words(r.passage)) <= len(words(shared[i - 80])) + 1
         assert texts[r.keep_doc_id].encode()[r.keep_start : r.keep_start + r.length] == r.passage.encode()
+
+
+def test_repeated_rows_and_ids(docs_of):
+    rng = random.Random(23)
+    base, other = prose(rng, 80), prose(rng, 80)
+    # a repeated row and its near copy; then one id for two texts, each with a near copy of its own
+    rows = [(1, base), (1, base), (2, base + " end"), (5, other), (5, prose(rng, 60)), (7, other + " end"), (8, "start " + prose(rng, 50))]
+    rows.append((9, rows[4][1] + " end"))
+    rows += [(20 + i, prose(rng, 40)) for i in range(5)]
+    up = brute_classes(list(enumerate(t for _, t in rows)))
+    sizes = Counter(up.values())
+    want = Counter((i, rows[up[n]][0], sizes[up[n]]) for n, (i, _) in enumerate(rows))
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in dart_minhash.near_duplicates(docs_of(rows)).collect()) == want
+    kept = Counter((r.doc_id, r.text) for r in dart_minhash.keep_one(docs_of(rows)).collect())
+    assert kept == Counter(rows[n] for n in set(up.values()))
