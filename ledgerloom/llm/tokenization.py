@@ -139,9 +139,12 @@ class Counter:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def unit(self, u: str) -> int:
-        """A short unit: if it is one piece, straight by the tokenizer's model, normalised and in the alphabet that stands for bytes."""
-        if u.isalpha():
-            return len(self.model.tokenize(self.normalizer.normalize_str(u).encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET)))
+        """A short unit: if it is one piece, straight by the tokenizer's model, normalised and in the alphabet that stands for bytes.
+
+        Normalising can make a mark of a letter, and a piece of letters ends before a mark.
+        """
+        if u.isalpha() and (n := self.normalizer.normalize_str(u)).isalpha():
+            return len(self.model.tokenize(n.encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET)))
         return self.whole(u)
 
     def count(self, texts: list[str]) -> list[int]:
@@ -158,7 +161,7 @@ class Counter:
         for u in new:
             if len(u) > MEMO_CHARS:
                 long[u] = self.whole(u)
-            elif u[-1:] in (",", ".") and "A" <= u[-2:-1] < "\u0250" and u[-2].isalpha():
+            elif u[-1:] in (",", ".") and "A" <= u[-2:-1] < "\u0250" and u[-2].isalpha() and (u[-2].isascii() or self.normalizer.normalize_str(u[-2]).isalpha()):
                 # a letter and the mark after it are always in different pieces
                 word = memo.get(u[:-1])
                 if word is None:

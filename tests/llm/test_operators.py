@@ -135,6 +135,14 @@ def test_token_counts(docs_of):
             assert token_count.spliced_count(tok, t, 100, 10) == len(tok.encode(t, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_letters_that_normalise_to_marks(docs_of):
+    tok = tokenizer(public_path("word_bpe_49k.json"))
+    words = ["İstanbul", "İ", "DİYARBAKIR", "İ,", "Alİ.", "क\u0958लम", "\u0958लम", "\u095cक", "שׁלום", "\ufb2aלום", "가", "ﬁn", "Ǆ", "É.", "ΣΑΣ", "東京"]
+    texts = [*words, *(f"see {w} and {w}, then" for w in words), " ".join(words), *(f"{w} " * (40_000 // (len(w) + 1)) for w in words)]
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs_of(texts)).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     scores = queries.op9_quality(spark, sf)
