@@ -51,6 +51,19 @@ def test_webp_images(colours):
     assert (vp8l.decode(vp8l.encode(px, cache_bits=7)) == px).all()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_webp_transforms_and_groups(seed):
+    rng = np.random.default_rng(seed)
+    px = rng.integers(0, 1 << 24, (37, 53)).astype(np.uint32) | np.uint32(0xFF000000)
+    modes = (np.arange(10 * 14).reshape(10, 14) % 14).astype(np.uint32)
+    elements = rng.integers(0, 1 << 24, (10, 14)).astype(np.uint32) | np.uint32(0xFF000000)
+    predictor, cross, green = (vp8l.PREDICTOR, modes, 2), (vp8l.CROSS_COLOR, elements, 2), (vp8l.SUBTRACT_GREEN,)
+    for transforms in ((predictor,), (cross,), (green,), (predictor, cross, green), (green, cross, predictor)):
+        assert (vp8l.decode(vp8l.encode(px, transforms)) == px).all()
+    groups = rng.integers(0, 3, (10, 14))
+    assert (vp8l.decode(vp8l.encode(px, (predictor,), groups=groups, block=2)) == px).all()
+
+
 def test_decontamination_is_brute_force(spark, docs_of):
     items = [("1", "one two three four five six seven eight nine ten eleven twelve"), ("2", "Short, item!"), ("3", ""), ("4", None), ("5", "solo"), ("6", "one two three four five six seven eight nine ten eleven twelve")]
     bench = spark.createDataFrame(items, "item_id string, text string")
