@@ -11,7 +11,10 @@ MONEY = "decimal(12,2)"
 #: What counts as a number: Spark's casts also take 'nan' and '5d', which statements don't mean.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Formats of dates in statements, in order, after ISO.
-DATE_FORMATS = ["yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d", "d/M/yy", "d-M-yy", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d MMM yyyy, HH:mm"]
+DATE_FORMATS = ["yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d", "d/M/yy", "d-M-yy", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yy H:m:s", "d/M/yy H:m", "d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yy H:m:s", "d-M-yy H:m", "d MMM yyyy, H:m", "d MMMM yyyy, H:m"]
+
+# What tells a payment method in a description in small letters, in order.
+METHOD_WORDS = [("upi", r"\bupi\b|upvdr|upi/"), ("pos", r"\bpos\b|pos atm"), ("atm", r"\batm\b|atm wdl|atm cash"), ("neft", r"\bneft\b"), ("imps", r"\bimps\b"), ("inb", r"\binb\b|internet banking"), ("card", r"visa|mastercard|rupay")]
 
 
 def number(col: Column) -> Column:
@@ -82,7 +85,7 @@ def status_name(col: Column | str) -> Column:
 def payment_method(column: Column, parsed: Column, description: Column) -> Column:
     """NRM-16: the column, the parser's method, or a word of the description."""
     text = F.lower(safe(description))
-    guess = F.when(text.contains("upi"), "upi").when(text.contains("pos"), "pos").when(text.contains("atm"), "atm").when(text.contains("neft"), "neft").when(text.contains("imps"), "imps").when(text.rlike(r"\binb\b"), "inb").when(text.contains("card"), "card").otherwise("unknown")
+    guess = F.coalesce(*[F.when(text.rlike(p), name) for name, p in METHOD_WORDS], F.lit("unknown"))
     return F.coalesce(F.nullif(F.lower(F.trim(safe(column))), F.lit("")), F.nullif(F.lower(F.trim(safe(parsed))), F.lit("")), guess)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,7 +83,7 @@ def first_listed(text: Column, listing: list[tuple[str, list[str]]], whole_words
     """
 
     def occurs(word: str) -> Column:
-        return text.rlike(rf"\b{word}\b") if len(word) <= whole_words_to else text.contains(word)
+        return text.rlike(rf"\b{re.escape(word)}\b") if len(word) <= whole_words_to else text.contains(word)
 
     out = None
     for name, words in listing:

@@ -5,14 +5,19 @@ Points stay in the DataFrame; only centroids (k vectors) and their sums come to
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import vectors as X
 from ..functions.text import clean_description, first_listed, salary_guard
 from ..functions.vocabulary import KEYWORD_RULES
+from ..staging import materialize
+from .ledger import global_rank
 
 # Phrases from which the labels' anchors are made.
 ANCHOR_PHRASES = {
@@ -29,10 +34,17 @@ ANCHOR_PHRASES = {
 }
 
 
-def mean_vectors(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """AGG-18: the mean vector of each label: sums by label and place, combined before the shuffle."""
-    flat = df.select(label, F.posexplode(X.doubles(vector)).alias("pos", "x"))
-    return flat.groupBy(label, "pos").agg(F.avg("x").alias("x")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("mean"))
+def _dims(df: DataFrame, vector: str) -> int:
+    """How many numbers the vectors hold, by the first that isn't null."""
+    row = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    return row[0] if row else 0
+
+
+def mean_vectors(df: DataFrame, label: str, vector: str, dims: int | None = None) -> DataFrame:
+    """AGG-18: the mean vector of each label: one mean for each place, combined before the shuffle."""
+    n = dims or _dims(df, vector)
+    means = df.select(label, X.doubles(vector).alias("__v")).groupBy(label).agg(*[F.avg(F.get("__v", F.lit(i))).alias(f"__{i}") for i in range(n)])
+    return means.select(label, F.array(*[F.col(f"__{i}") for i in range(n)]).alias("mean"))
 
 
 def literal(v) -> Column:
@@ -49,12 +61,18 @@ def nearest(df: DataFrame, vector: Column, centroids: list[list[float]], thresho
     return df.withColumn("__b", best).withColumns({"label": F.col("__b.i"), "distance": F.col("__b.d"), "confidence": F.exp(-F.col("__b.d")), "is_known": F.exp(-F.col("__b.d")) > threshold}).drop("__b")
 
 
-def nearest_anchor(df: DataFrame, vector: str, anchors: DataFrame, anchor: str = "label", mean: str = "mean") -> DataFrame:
-    """MDL-04: the anchor at the least Euclidean distance; anchors: a row for each label of a fixed list."""
-    pairs = df.crossJoin(F.broadcast(anchors.select(F.col(anchor).alias("__a"), F.col(mean).alias("__m"))))
-    gap = F.aggregate(F.zip_with(X.doubles(vector), F.col("__m"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+def nearest_anchor(df: DataFrame, vector: str, anchors: DataFrame, anchor: str = "label", mean: str = "mean", most: int = 10_000) -> DataFrame:
+    """MDL-04: the anchor at the least Euclidean distance (ties: the least anchor), null without anchors.
+
+    anchors has a row for each label, at most `most` of them, else an error. They meet each row as one array, so no row is multiplied or moved.
+    """
+    if anchors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} anchors")
+    listed = anchors.agg(F.collect_list(F.struct(F.col(anchor).alias("a"), F.col(mean).alias("m"))).alias("__anchors"))
+    gap = lambda v, m: F.aggregate(F.zip_with(v, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = X.let(X.doubles(vector), lambda v: F.array_min(F.transform("__anchors", lambda e: F.struct(gap(v, e["m"]).alias("d"), e["a"].alias("a")))))
     keys = [c for c in df.columns if c != vector]
-    return pairs.withColumn("__d", gap).groupBy(*keys).agg(F.min(F.struct("__d", "__a")).alias("b")).select(*keys, F.col("b.__a").alias("nearest"), F.sqrt("b.__d").alias("distance"))
+    return df.join(F.broadcast(listed)).withColumn("__b", best).select(*keys, F.col("__b.a").alias("nearest"), F.sqrt("__b.d").alias("distance"))
 
 
 def np_exp0(v: np.ndarray) -> np.ndarray:
@@ -83,19 +101,19 @@ def log_at(point: Column, c: Column) -> Column:
     return X.let(-X.dot(c, point), lambda xy: X.let(X.dot(c, c), lambda xx: X.let(X.dot(point, point), lambda yy: step(xy, xx, yy))))
 
 
-def _sums(df: DataFrame, label: str, vector: Column) -> dict[int, tuple[int, np.ndarray]]:
-    """n and the vector sum of each label: k rows, made by label and place before they come to the driver."""
-    flat = df.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    rows = flat.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("v"), F.max("n").alias("n")).collect()
-    return {r[label]: (r["n"], np.array([e["s"] for e in r["v"]])) for r in rows}
+def _sums(df: DataFrame, label: str, vector: Column, dims: int) -> dict[int, tuple[int, np.ndarray]]:
+    """n and the vector sum of each label: k rows, combined before they come to the driver."""
+    rows = df.select(label, vector.alias("__v")).groupBy(label).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.get("__v", F.lit(i))).alias(f"__{i}") for i in range(dims)]).collect()
+    return {r[label]: (r["__n"], np.array([r[f"__{i}"] for i in range(dims)])) for r in rows}
 
 
 def frechet_means(df: DataFrame, label: str, vector: str, steps: int = 10, tol: float = 1e-5) -> dict[int, np.ndarray]:
     """MDL-06: the mean on the ball of each label's points: from the tangent mean, along the mean direction to all points."""
-    at = {k: np_exp0(s / n) for k, (n, s) in _sums(df, label, X.logmap0(F.col(vector))).items()}
+    dims = _dims(df, vector)
+    at = {k: np_exp0(s / n) for k, (n, s) in _sums(df, label, X.logmap0(F.col(vector)), dims).items()}
     for _ in range(steps):
         own = F.create_map(*[x for k, c in at.items() for x in (F.lit(k), literal(c))])
-        move = {k: s / n for k, (n, s) in _sums(df.withColumn("__c", own[F.col(label)]), label, log_at(F.col(vector), F.col("__c"))).items()}
+        move = {k: s / n for k, (n, s) in _sums(df.withColumn("__c", own[F.col(label)]), label, log_at(F.col(vector), F.col("__c")), dims).items()}
         at = {k: np_exp(c, move[k]) for k, c in at.items()}
         if max(float(np.linalg.norm(m)) for m in move.values()) < tol:
             break
@@ -107,9 +125,14 @@ def np_distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def seeds(df: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> list[list[float]]:
-    """k points of different value, by a hash of the key: the same whatever the partitioning."""
-    rows = df.groupBy(vector).agg(F.min(F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"))).alias("o")).orderBy("o").limit(k).collect()
-    return [list(r[vector]) for r in rows]
+    """k points of different value, by a hash of the key: the same whatever the partitioning. All values are grouped only if the first points repeat too much."""
+    order = F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k")).alias("o")
+    first = df.select(order, vector).orderBy("o").limit(8 * k).collect()
+    different = list(dict.fromkeys(tuple(r[vector]) for r in first))
+    if len(different) < k:
+        rows = df.groupBy(vector).agg(F.min(order).alias("o")).orderBy("o").limit(k).collect()
+        different = [tuple(r[vector]) for r in rows]
+    return [list(v) for v in different[:k]]
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, max_iter: int = 20, tol: float = 1e-4, seed: int = 0) -> list[list[float]]:
@@ -146,49 +169,56 @@ def discover(df: DataFrame, key: str, vector: str, text: str, k: int, seed: int
 
 
 def taxonomy(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """MDL-09, AGG-20: macro categories lie nearer to the origin than the lower median depth, micro ones don't."""
-    deep = df.select(label, X.depth(X.doubles(vector)).alias("norm"))
-    ordered = deep.agg(F.array_sort(F.collect_list("norm")).alias("n"))  # a row for each category
-    mid = ordered.select(F.element_at("n", F.ceil(F.size("n") / 2).cast("int")).alias("mid"))
-    return deep.join(F.broadcast(mid)).select(label, "norm", F.when(F.col("norm") < F.col("mid"), "macro").otherwise("micro").alias("level"), F.when(F.col("norm") < F.col("mid"), "center").otherwise("boundary").alias("depth"))
+    """MDL-09, AGG-20: macro categories lie nearer to the origin than the lower median depth, micro ones don't. The median is that of all rows, found by rank."""
+    deep = materialize(df.select(label, X.depth(X.doubles(vector)).alias("norm")), "depths")
+    n = deep.where("norm is not null").count()
+    mid = global_rank(deep.where("norm is not null"), ["norm", label]).where(F.col("rank") == (n + 1) // 2).select(F.col("norm").alias("mid"))
+    macro = F.col("norm") < F.col("mid")
+    return deep.join(F.broadcast(mid)).select(label, "norm", F.when(macro, "macro").otherwise("micro").alias("level"), F.when(macro, "center").otherwise("boundary").alias("depth"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _hashed(text: pd.Series, dims: pd.Series) -> pd.Series:
+    n = int(dims.iloc[0]) if len(dims) else 1
+    rows, places, signs = [], [], []
+    for i, words in enumerate(text.fillna("").str.lower().str.split()):
+        terms = [*words, *(w[j : j + 3] for w in words for j in range(max(1, len(w) - 2)))]
+        h = np.array([zlib.crc32(t.encode()) for t in terms], np.int64)
+        rows.append(np.full(len(h), i))
+        places.append(h % n)
+        signs.append(1 - 2 * (h >> 20 & 1))
+    flat = [np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, places, signs)]
+    v = np.bincount(flat[0] * n + flat[1], flat[2], len(text) * n).reshape(len(text), n)
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return pd.Series(list(v / np.where(length > 0, length, 1.0)))
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """MDL-01: an embedding without a model: each word and each three letters count at a hashed place, with a hashed sign; unit length."""
-    words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
-    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))))
-    terms = F.concat(words, grams)
-    hashes = F.transform(terms, lambda t: F.xxhash64(t))
-    raw = X.let(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(hs, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == i, F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))))
-    return X.let(raw, lambda v: X.scaled(v, X.let(X.norm(v), lambda n: F.when(n > 0, 1 / n).otherwise(1.0))))
-
+    return _hashed(text, F.lit(dims))
 
 
 def anchors(spark, dims: int = 64) -> DataFrame:
     """The mean embedding of each label's phrases."""
     rows = [(k, p) for k, ps in ANCHOR_PHRASES.items() for p in ps]
-    return mean_vectors(spark.createDataFrame(rows, "label string, phrase string").withColumn("v", hashed_embedding(F.col("phrase"), dims)), "label", "v")
+    return mean_vectors(spark.createDataFrame(rows, "label string, phrase string").withColumn("v", hashed_embedding(F.col("phrase"), dims)), "label", "v", dims)
 
 
 def predict(df: DataFrame, text: str, dims: int = 64) -> DataFrame:
     """MDL-03: category and confidence: a keyword rule on the cleaned text counts 1; for the rest the nearest anchor decides, with the salary guard.
 
-    Each different text is classified once, in one projection; the anchors, one for each label, are literals in it.
+    Each different text is classified once; the anchors, one for each label, are literals in the expression.
     """
     names = sorted((r["label"], r["mean"]) for r in anchors(df.sparkSession, dims).collect())
     listed = F.array(*[F.struct(F.lit(n).alias("n"), literal(v).alias("v")) for n, v in names])
-
-    def by_model(c: Column) -> Column:
-        gap = lambda v, a: F.sqrt(F.aggregate(F.zip_with(v, a, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-        best = X.let(hashed_embedding(c, dims), lambda v: F.array_min(F.transform(listed, lambda e: F.struct(gap(v, e["v"]).alias("d"), e["n"].alias("n")))))
-        return X.let(best, lambda b: F.struct(salary_guard(b["n"], c).alias("category"), F.exp(-b["d"]).alias("confidence")))
-
-    def verdict(c: Column) -> Column:
-        rule = X.let(F.lower(c), lambda low: first_listed(low, KEYWORD_RULES, 4))
-        return X.let(rule, lambda r: F.when(r.isNotNull(), F.struct(r.alias("category"), F.lit(1.0).alias("confidence"))).otherwise(by_model(c)))
-
-    cleaned = X.let(clean_description(text), lambda c: F.when(c == "", F.coalesce(F.col(text), F.lit(""))).otherwise(c))
-    found = df.select(text).distinct().select(F.col(text).alias("__t"), X.let(cleaned, verdict).alias("__v")).select("__t", "__v.category", "__v.confidence")
+    gap = lambda v, a: F.sqrt(F.aggregate(F.zip_with(v, a, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    best = F.array_min(F.transform(listed, lambda e: F.struct(gap(F.col("__e"), e["v"]).alias("d"), e["n"].alias("n"))))
+    cleaned = X.let(clean_description("__t"), lambda c: F.when(c == "", F.coalesce("__t", F.lit(""))).otherwise(c))
+    each = materialize(df.select(F.col(text).alias("__t")).distinct().withColumn("__c", cleaned), "texts")
+    each = each.withColumn("__r", X.let(F.lower("__c"), lambda low: first_listed(low, KEYWORD_RULES, 4)))
+    ruled = each.where("__r is not null").select("__t", F.col("__r").alias("category"), F.lit(1.0).alias("confidence"))
+    near = each.where("__r is null").withColumn("__e", hashed_embedding(F.col("__c"), dims)).withColumn("__b", best)
+    found = ruled.unionByName(near.select("__t", salary_guard(F.col("__b.n"), F.col("__c")).alias("category"), F.exp(-F.col("__b.d")).alias("confidence")))
     return df.join(found, F.col(text).eqNullSafe(F.col("__t")), "left").drop("__t")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe
+from ..staging import materialize
 
 
 def for_user(df: DataFrame, user_id) -> DataFrame:
@@ -71,11 +72,15 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """JOI-01, JOI-02, SNK-01: rows whose key isn't in the ledger, the first of each."""
-    fresh = incoming.join(existing.select(*keys).distinct(), keys, "left_anti")
-    rest = [c for c in incoming.columns if c not in (*keys, order)]
-    best = fresh.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("__r"))
-    return best.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in (order, *rest)]).select(*incoming.columns)
+    """JOI-01, JOI-02, SNK-01: rows whose key isn't in the ledger, the first of each by `order`. Nulls in keys are equal to nulls.
+
+    Only the order decides between rows of a key; of rows that are equal in it too, any may be taken. Columns of any
+    type come through, also maps, which can't be compared.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    fresh = incoming.alias("n").join(existing.select(*keys).alias("o"), same, "left_anti")
+    best = fresh.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in incoming.columns if c not in keys]), F.struct(F.col(order).isNull(), order)).alias("__r"))
+    return best.select(*[c if c in keys else F.col(f"__r.{c}").alias(c) for c in incoming.columns])
 
 
 def already_seen(files: DataFrame, uploaded: DataFrame) -> DataFrame:
@@ -97,6 +102,21 @@ def similar_to(df: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
     return by_description.unionByName(by_merchant).where("chosen_id <> similar_id").distinct()
 
 
+def similar_counts(df: DataFrame, key: str = "id") -> DataFrame:
+    """JOI-07 for all rows: (key, n_similar), how many others have the same description, or the same merchant if that says anything.
+
+    Counted by group, with partial sums: who shares the description, and who the merchant, less those who share both.
+    """
+    rows = df.select(F.col(key).alias(key), safe("description").alias("__d"), safe("merchant_name").alias("__m"))
+    named = (F.col("__m") != "") & (F.col("__m") != "Unknown")
+    both = rows.groupBy("__d", "__m").agg(F.count(F.lit(1)).alias("__nb"))
+    described = both.groupBy("__d").agg(F.sum("__nb").alias("__nd"))
+    sold = both.where(named).groupBy("__m").agg(F.sum("__nb").alias("__nm"))
+    groups = both.join(described, "__d").join(sold, "__m", "left")
+    n = F.col("__nd") + F.when(F.col("__nm").isNotNull(), F.col("__nm") - F.col("__nb")).otherwise(0) - 1
+    return rows.join(groups.select("__d", "__m", n.alias("n_similar")), ["__d", "__m"]).select(key, "n_similar")
+
+
 def reclassified(category: Column, amount: Column, new: Column, original: Column) -> dict[str, Column]:
     """UPD-01: columns after a change of category: income counts up, leaving income down; the first category is remembered."""
     was, now = F.lower(safe(category)) == "income", F.lower(new) == "income"
@@ -152,9 +172,12 @@ def correction_rows_by_category(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(column).alias("corrected_category", "d")).select(F.explode("d").alias("description"), "corrected_category")
 
 
-def training_view(df: DataFrame, maximum: int | None = None) -> DataFrame:
-    """EXP-03: the texts of each label."""
-    return df.groupBy("category").agg(F.sort_array(F.collect_set("description")).alias("descriptions"))
+def training_view(df: DataFrame, block: int = 10_000) -> DataFrame:
+    """EXP-03: (category, block, descriptions): the different texts of each label, in as many blocks of about `block` texts as it takes, dealt by hash."""
+    pairs = df.where("description is not null").select("category", "description").distinct()
+    sizes = pairs.groupBy(F.col("category").alias("__c")).agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
+    dealt = pairs.join(sizes, F.col("category").eqNullSafe(F.col("__c"))).select("category", "description", F.pmod(F.xxhash64("description"), F.col("__n")).alias("block"))
+    return dealt.groupBy("category", "block").agg(F.sort_array(F.collect_list("description")).alias("descriptions"))
 
 
 def split_by_order(df: DataFrame, order: list[str], share: float = 0.9) -> DataFrame:
@@ -165,8 +188,11 @@ def split_by_order(df: DataFrame, order: list[str], share: float = 0.9) -> DataF
 
 
 def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """`rank` from 1 over all rows without gathering them in one task: row numbers within range partitions, plus what lies before."""
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    """`rank` from 1 over all rows without gathering them in one task: row numbers within range partitions, plus what lies before.
+
+    The partitions are written once, so that counting and numbering see the same ones.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
     within = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     before = within.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     # a row for each partition

@@ -121,30 +121,32 @@ def training_cutoff(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return daily.join(ends, "user_id").withColumn("is_train", F.col("time_idx") <= F.col("__c")).drop("__c")
 
 
-def quantile_forecast(daily: DataFrame, horizon: int = HORIZON, least_days: int = LEAST_DAYS) -> DataFrame:
+def quantile_forecast(totals: DataFrame, horizon: int = HORIZON, least_days: int = LEAST_DAYS) -> DataFrame:
     """MDL-13, MDL-14: (user_id, date, p10, p50, p90, error) of the closing balance ahead.
 
-    Each user's daily changes by weekday, paydays aside, are drawn together to quantiles that widen with the root of
-    the horizon. A user's series is one group: a row a day. Users with fewer days get one row with an error.
+    totals has each user's days with movement; the days between are filled in within the user's group. Daily changes by
+    weekday, paydays aside, are drawn together to quantiles that widen with the root of the horizon. Users whose days,
+    first to last, are fewer than `least_days` get one row with an error.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         user = pdf["user_id"].iloc[0]
-        s = pdf.sort_values("date")
-        if len(s) < least_days:
-            return pd.DataFrame({"user_id": [user], "date": [None], "p10": [None], "p50": [None], "p90": [None], "error": [f"at least {least_days} days of history are needed, got {len(s)}"]})
-        change = s["daily_income"].astype(float) - s["daily_spend"].astype(float)
-        balance = float(s["closing_balance"].astype(float).iloc[-1])
-        day = pd.to_datetime(s["date"])
-        ahead = pd.date_range(day.iloc[-1] + pd.Timedelta(days=1), periods=horizon)
-        normal = change[s["is_payday"] == 0] if (s["is_payday"] == 0).any() else change
-        paid = float(change[s["is_payday"] == 1].median()) if (s["is_payday"] == 1).any() else 0.0
-        paid_days = set(day[s["is_payday"] == 1].dt.day)
-        mid = normal.groupby(day[normal.index].dt.dayofweek).median()
+        s = pdf.assign(date=pd.to_datetime(pdf["date"])).set_index("date").sort_index()
+        day = pd.date_range(s.index[0], s.index[-1])
+        if len(day) < least_days:
+            return pd.DataFrame({"user_id": [user], "date": [None], "p10": [None], "p50": [None], "p90": [None], "error": [f"at least {least_days} days of history are needed, got {len(day)}"]})
+        change = (s["daily_income"].astype(float) - s["daily_spend"].astype(float)).reindex(day, fill_value=0.0)
+        balance = round(float(change.sum()), 2)
+        ahead = pd.date_range(day[-1] + pd.Timedelta(days=1), periods=horizon)
+        paid_days = set(s.index[s["is_payday"] == 1].day)
+        payday = pd.Series(day.day, day).isin(paid_days)
+        normal = change[~payday] if (~payday).any() else change
+        paid = float(change[payday].median()) if payday.any() else 0.0
+        mid = normal.groupby(normal.index.dayofweek).median()
         lo, hi = float(normal.quantile(0.1) - normal.median()), float(normal.quantile(0.9) - normal.median())
         steps = pd.Series([paid if d.day in paid_days else float(mid.get(d.dayofweek, normal.median())) for d in ahead]).cumsum()
         root = pd.Series(range(1, horizon + 1)) ** 0.5
         return pd.DataFrame({"user_id": user, "date": ahead.date, "p10": (balance + steps + lo * root).round(2), "p50": (balance + steps).round(2), "p90": (balance + steps + hi * root).round(2), "error": None})
 
-    kind = dict(daily.dtypes)["user_id"]
-    return daily.select("user_id", "date", "daily_income", "daily_spend", "closing_balance", "is_payday").groupBy("user_id").applyInPandas(one, f"user_id {kind}, date date, p10 double, p50 double, p90 double, error string")
+    kind = dict(totals.dtypes)["user_id"]
+    return with_paydays(totals).select("user_id", "date", "daily_income", "daily_spend", "is_payday").groupBy("user_id").applyInPandas(one, f"user_id {kind}, date date, p10 double, p50 double, p90 double, error string")

@@ -15,6 +15,9 @@ SELECT o_orderkey AS id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS tran
 FROM orders
 """
 
+#: The same rows as the ledgers of 25 branches, each with years of days.
+BRANCHES = f"SELECT id, user_id % 25 AS user_id, transaction_date, amount FROM ({LEDGER.strip()})"
+
 #: Lines with merchants.
 PURCHASES = """
 SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, CAST(l_shipdate AS DATE) AS transaction_date,
@@ -59,7 +62,7 @@ FROM (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 17
   WHEN 14 THEN 'Paytm' WHEN 15 THEN 'Irctc' ELSE 'Rahul' END AS name FROM orders)
 """
 
-TABLES = {"ledger": LEDGER, "purchases": PURCHASES, "moves": MOVES, "lines": LINES}
+TABLES = {"ledger": LEDGER, "branches": BRANCHES, "purchases": PURCHASES, "moves": MOVES, "lines": LINES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

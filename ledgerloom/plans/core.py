@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as P
 from ..functions import text as T
+from ..functions.augment import term_frequency
 from ..operators import ledger as L
-from ..operators.augment_view import term_counts
 from .adapters import adapted, duck, last_day, table
 from .registry import query
 
@@ -83,10 +83,15 @@ def joi03_already_seen(spark, d):
     return L.already_seen(df, df.where("id % 7 = 0").select("user_id", "file_hash")).select("id", "user_id")
 
 
-@query(f"WITH k AS (SELECT * FROM {_L}), c AS (SELECT * FROM k WHERE id % 1000 = 3) SELECT DISTINCT c.id AS chosen_id, o.id AS similar_id FROM c JOIN k o ON c.id <> o.id AND (c.description = o.description OR (c.merchant_name = o.merchant_name AND c.merchant_name NOT IN ('', 'Unknown')))")
+@query(f"SELECT id, count(*) OVER (PARTITION BY description) - 1 + CASE WHEN merchant_name IN ('', 'Unknown') THEN 0 ELSE count(*) OVER (PARTITION BY merchant_name) - count(*) OVER (PARTITION BY merchant_name, description) END AS n_similar FROM {_L}")
 def joi07_similar(spark, d):
+    return L.similar_counts(adapted(spark, d, "ledger"))
+
+
+@query(f"WITH k AS (SELECT * FROM {_L}), c AS (SELECT * FROM k WHERE id % 50 = 0) SELECT chosen_id, count(*) AS n, CAST(sum(similar_id) AS BIGINT) AS ids FROM (SELECT DISTINCT c.id AS chosen_id, o.id AS similar_id FROM c JOIN k o ON c.id <> o.id AND (c.description = o.description OR (c.merchant_name = o.merchant_name AND c.merchant_name NOT IN ('', 'Unknown')))) GROUP BY 1")
+def joi07_similar_to(spark, d):
     df = adapted(spark, d, "ledger")
-    return L.similar_to(df, df.where("id % 1000 = 3"))
+    return L.similar_to(df, df.where("id % 50 = 0")).groupBy("chosen_id").agg(F.count(F.lit(1)).alias("n"), F.sum("similar_id").alias("ids"))
 
 
 @query(f"SELECT id, CAST(CASE WHEN id % 4 = 0 AND amount < 0 THEN abs(amount) WHEN id % 4 = 1 AND status = 'F' AND amount > 0 THEN -amount ELSE amount END AS DECIMAL(12,2)) AS amount, CASE id % 4 WHEN 0 THEN 'income' WHEN 1 THEN 'Food' ELSE CASE WHEN status = 'F' THEN 'Income' ELSE category END END AS category, CASE WHEN id % 4 < 2 THEN CASE WHEN status = 'F' THEN 'Income' ELSE category END END AS original_category FROM {_L}")
@@ -107,10 +112,10 @@ def exp04_split(spark, d):
     return L.split_by_order(adapted(spark, d, "ledger").select("id", "transaction_date"), ["transaction_date", "id"]).select("id", "is_train")
 
 
-@query(f"SELECT category, list_sort(list(DISTINCT merchant_name)) AS merchants FROM {_P} GROUP BY 1".replace("list_sort(list(DISTINCT merchant_name))", "array_to_string(list_sort(list(DISTINCT merchant_name)), '|')"))
+@query(f"SELECT category, 0 AS block, list_sort(list(DISTINCT merchant_name)) AS merchants FROM {_P} GROUP BY 1".replace("list_sort(list(DISTINCT merchant_name))", "array_to_string(list_sort(list(DISTINCT merchant_name)), '|')"))
 def exp03_training_view(spark, d):
     df = adapted(spark, d, "purchases").select("category", F.col("merchant_name").alias("description"))
-    return L.training_view(df).select("category", F.array_join("descriptions", "|").alias("merchants"))
+    return L.training_view(df).select("category", F.col("block").cast("int").alias("block"), F.array_join("descriptions", "|").alias("merchants"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b', '[EMAIL_REDACTED]', 'g'), '\\b\\d{3}[-.]?\\d{3}[-.]?\\d{4}\\b', '[PHONE_REDACTED]', 'g') AS text FROM documents")
@@ -118,6 +123,6 @@ def pii01_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact("text").alias("text"))
 
 
-@query("WITH w AS (SELECT unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM w WHERE term <> '' GROUP BY 1) SELECT term, n, round(n::DOUBLE / (SELECT max(n) FROM c), 6) AS tf FROM c WHERE regexp_full_match(term, '[a-z.,]+')")
+@query("WITH w AS (SELECT unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM w WHERE term <> '' GROUP BY 1) SELECT term, n, round(n::DOUBLE / (SELECT max(n) FROM c), 6) AS tf FROM c")
 def agg16_term_frequency(spark, d):
-    return term_counts(table(spark, d, "documents"))
+    return term_frequency(table(spark, d, "documents"), "text").withColumn("tf", F.round("tf", 6))

@@ -74,9 +74,9 @@ def mdl04_nearest_anchor(spark, d):
     return C.nearest_anchor(e.select("vec_id", "embedding"), "embedding", C.mean_vectors(e, "label", "embedding")).select("vec_id", "nearest", F.round("distance", 4).alias("distance"))
 
 
-@query(f"WITH s AS (SELECT vec_id, 2 * atanh({_norm('v')}) AS n FROM {_SPREAD} WHERE vec_id < 40), q AS (SELECT list_sort(list(n)) AS l FROM s) SELECT vec_id, CASE WHEN n < l[ceil(len(l) / 2.0)::INT] - 1e-9 THEN 'macro' ELSE 'micro' END AS level FROM s, q")
+@query(f"WITH s AS (SELECT vec_id, 2 * atanh({_norm('v')}) AS n FROM {_SPREAD}), q AS (SELECT list_sort(list(n)) AS l FROM s) SELECT vec_id, CASE WHEN n < l[ceil(len(l) / 2.0)::INT] - 1e-9 THEN 'macro' ELSE 'micro' END AS level FROM s, q")
 def agg20_taxonomy(spark, d):
-    return C.taxonomy(_spread(spark, d).where("vec_id < 40"), "vec_id", "v").select("vec_id", "level")
+    return C.taxonomy(_spread(spark, d), "vec_id", "v").select("vec_id", "level")
 
 
 @query(f"WITH b AS (SELECT label, {_V} AS v FROM embeddings), p AS (SELECT a.vec_id, a.label = 0 AS same, sqrt(list_sum(list_transform({_V}, lambda x: x * x))) AS n FROM embeddings a) SELECT vec_id, round(CASE WHEN same THEN n * n ELSE greatest(1.5 - n, 0) * greatest(1.5 - n, 0) END, 4) AS loss FROM p")
@@ -88,7 +88,7 @@ def los01_contrastive(spark, d):
 @query()
 def mdl05_kmeans(spark, d):
     points = _spread(spark, d)
-    at = C.kmeans(points, "vec_id", "v", 5, max_iter=4)
+    at = C.kmeans(points, "vec_id", "v", 5)
     return C.nearest(points, F.col("v"), at).select("vec_id", "label", F.round("confidence", 4).alias("confidence"), "is_known")
 
 

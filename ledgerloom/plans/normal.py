@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions import vocabulary as V
 from ..sources import readers as R
 from .adapters import adapted, duck, table
 from .registry import query
@@ -82,7 +83,7 @@ def nrm12_dates(spark, d):
     return spark.sql(sql, orders=table(spark, d, "orders")).select("id", N.to_day("raw").alias("day"))
 
 
-@query(f"""SELECT id, CASE WHEN id % 5 = 0 THEN 'card' WHEN id % 5 = 1 THEN 'neft' WHEN contains(t, 'upi') THEN 'upi' WHEN contains(t, 'pos') THEN 'pos' WHEN contains(t, 'atm') THEN 'atm' WHEN contains(t, 'neft') THEN 'neft' WHEN contains(t, 'imps') THEN 'imps' WHEN regexp_matches(t, '\\binb\\b') THEN 'inb' WHEN contains(t, 'card') THEN 'card' ELSE 'unknown' END AS method FROM (SELECT id, lower(description) AS t FROM {duck('lines')})""")
+@query(f"""SELECT id, CASE WHEN id % 5 = 0 THEN 'card' WHEN id % 5 = 1 THEN 'neft' WHEN regexp_matches(t, '\\bupi\\b|upvdr|upi/') THEN 'upi' WHEN regexp_matches(t, '\\bpos\\b|pos atm') THEN 'pos' WHEN regexp_matches(t, '\\batm\\b|atm wdl|atm cash') THEN 'atm' WHEN regexp_matches(t, '\\bneft\\b') THEN 'neft' WHEN regexp_matches(t, '\\bimps\\b') THEN 'imps' WHEN regexp_matches(t, '\\binb\\b|internet banking') THEN 'inb' WHEN regexp_matches(t, 'visa|mastercard|rupay') THEN 'card' ELSE 'unknown' END AS method FROM (SELECT id, lower(description) AS t FROM {duck('lines')})""")
 def nrm16_method(spark, d):
     x = adapted(spark, d, "lines")
     col = F.when(F.col("id") % 5 == 0, " Card").otherwise("")
@@ -101,7 +102,11 @@ def nrm06_debit_credit(spark, d):
     return R.normalised(rows).select(F.col("description").cast("bigint").alias("id"), "amount")
 
 
-@query(f"SELECT bank, round(n::DOUBLE / 100, 4) AS score FROM (SELECT unnest(['hdfc', 'icici', 'sbi', 'axis']) AS bank, unnest([100, 0, 100, 100]) AS n FROM range(1))")
+_HITS = ", ".join(f"('{b}', '{p}')" for b, ps in V.BANK_DESCRIPTIONS.items() for p in ps)
+
+
+@query(f"""WITH h AS (SELECT * FROM (SELECT user_id % 25 AS file, upper(description) AS d, row_number() OVER (PARTITION BY user_id % 25 ORDER BY id) AS r FROM {duck('lines')}) WHERE r <= 100), p(bank, pattern) AS (VALUES {_HITS}),
+n AS (SELECT file, count(*) AS n FROM h GROUP BY 1) SELECT n.file, p.bank, round(sum((SELECT count(*) FROM h WHERE h.file = n.file AND regexp_matches(h.d, p.pattern)))::DOUBLE / any_value(n.n), 4) AS score FROM n, p GROUP BY 1, 2""")
 def agg24_bank_scores(spark, d):
-    lines = adapted(spark, d, "lines").where("id % 20 = 11").select("description")
-    return R.bank_scores(lines).select("bank", F.round("score", 4).alias("score"))
+    lines = adapted(spark, d, "lines").withColumn("file", F.col("user_id") % 25)
+    return R.bank_scores(lines, "file", "id").withColumn("score", F.round("score", 4))

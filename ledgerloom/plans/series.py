@@ -8,7 +8,7 @@ from ..operators import series as S
 from .adapters import adapted, duck
 from .registry import query
 
-_L, _M = duck("ledger"), duck("moves")
+_L, _M, _B = duck("ledger"), duck("moves"), duck("branches")
 
 
 def _daily_sql(x: str) -> str:
@@ -55,11 +55,11 @@ def win03_features(spark, d):
     return S.with_calendar(_dense(spark, d))
 
 
-@query(f"""WITH {_dense_sql(_L)}, q AS (SELECT user_id, quantile_cont(daily_income::DOUBLE, 0.9) AS p FROM f WHERE daily_income > 0 GROUP BY 1),
-g AS (SELECT f.user_id, day(date) AS dom FROM f JOIN q ON f.user_id = q.user_id AND daily_income::DOUBLE >= p GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT f.user_id, f.date, CAST(g.dom IS NOT NULL AS INT) AS is_payday FROM f LEFT JOIN g ON g.user_id = f.user_id AND g.dom = day(f.date) WHERE f.daily_income > 0""")
+@query(f"""WITH {_daily_sql(_L)}, q AS (SELECT user_id, quantile_cont(daily_income::DOUBLE, 0.9) AS p FROM t f WHERE daily_income > 0 GROUP BY 1),
+g AS (SELECT f.user_id, day(date) AS dom FROM t f JOIN q ON f.user_id = q.user_id AND daily_income::DOUBLE >= p GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT f.user_id, f.date, CAST(g.dom IS NOT NULL AS INT) AS is_payday FROM t f LEFT JOIN g ON g.user_id = f.user_id AND g.dom = day(f.date)""")
 def dte01_paydays(spark, d):
-    return S.with_paydays(_dense(spark, d, "ledger")).where("daily_income > 0").select("user_id", "date", "is_payday")
+    return S.with_paydays(_daily(spark, d, "ledger")).select("user_id", "date", "is_payday")
 
 
 @query(f"WITH s AS (SELECT quantile_cont(amount::DOUBLE, 0.25) AS a, quantile_cont(amount::DOUBLE, 0.5) AS m, quantile_cont(amount::DOUBLE, 0.75) AS b FROM {_L}) SELECT id, round((amount::DOUBLE - m) / (CASE WHEN a = b THEN 1 ELSE b - a END), 5) AS amount_scaled FROM {_L}, s")
@@ -95,18 +95,17 @@ def set04_future_rows(spark, d):
     return S.future_rows(S.with_calendar(_dense(spark, d))).select("user_id", "date", "time_idx")
 
 
-@query(f"WITH {_dense_sql(_M)}, k AS (SELECT user_id, date, sum(daily_spend) OVER w AS total, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) SELECT user_id, date, CAST(total AS DECIMAL(18,2)) AS total FROM k WHERE n = 14")
+@query(f"WITH {_dense_sql(_B)}, k AS (SELECT user_id, date, sum(daily_spend) OVER w AS total, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT user_id, date, CAST(total AS DECIMAL(18,2)) AS total FROM k WHERE n = 60")
 def win08_encoder_windows(spark, d):
-    w = S.encoder_windows(_dense(spark, d), "daily_spend", 14)
+    w = S.encoder_windows(_dense(spark, d, "branches"), "daily_spend")
     return w.select("user_id", "date", F.aggregate("window", F.lit(0).cast("decimal(28,2)"), lambda s, x: (s + x).cast("decimal(28,2)")).cast("decimal(18,2)").alias("total"))
 
 
-@query(f"WITH {_dense_sql(_M)}, k AS (SELECT user_id, date, row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY user_id) - 1 - 5 AS c FROM f) SELECT user_id, date, i <= c AS is_train FROM k")
+@query(f"WITH {_dense_sql(_B)}, k AS (SELECT user_id, date, row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY user_id) - 1 - 30 AS c FROM f) SELECT user_id, date, i <= c AS is_train FROM k")
 def exp04_cutoff(spark, d):
-    return S.training_cutoff(S.with_calendar(_dense(spark, d)), 5).select("user_id", "date", "is_train")
+    return S.training_cutoff(S.with_calendar(_dense(spark, d, "branches"))).select("user_id", "date", "is_train")
 
 
 @query()
 def mdl14_quantile_forecast(spark, d):
-    daily = S.with_paydays(S.with_balance(_dense(spark, d, "ledger")))
-    return S.quantile_forecast(daily, 30)
+    return S.quantile_forecast(_daily(spark, d, "ledger"), 30)

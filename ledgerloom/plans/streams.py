@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..staging import fresh_path
 from ..streaming import ingest as I
 from .adapters import duck
 from .registry import query
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-    return f"{base.rstrip('/')}/ledgerloom-streams/{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def _stream(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -33,8 +33,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def sniff_separator(first_line: str) -> str:
-    """SRC-09: the most frequent of comma, semicolon, tab and bar in the first line."""
-    return max(",;\t|", key=lambda c: first_line.count(c))
+    """SRC-09: the most frequent of comma, tab, bar and semicolon in the first line, of equals the first."""
+    return max(",\t|;", key=first_line.count)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -146,11 +146,15 @@ def bank_of(columns: list[str]) -> str:
     return best if score[best] >= 0.5 else "generic"
 
 
-def bank_scores(df: DataFrame, description: str = "description") -> DataFrame:
-    """AGG-24: (bank, score): matches a description over the first hundred; case doesn't count."""
-    head = df.select(F.upper(F.col(description)).alias("d")).where("d is not null").limit(100)
-    sums = head.agg(F.count(F.lit(1)).alias("n"), *[sum((F.count_if(F.col("d").rlike(p)) for p in ps), F.lit(0)).alias(b) for b, ps in V.BANK_DESCRIPTIONS.items()])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(b).alias("bank"), (F.col(b) / F.greatest("n", F.lit(1))).alias("score")) for b in V.BANK_DESCRIPTIONS])).alias("s")).select("s.*")
+def bank_scores(df: DataFrame, file: str, order: str, description: str = "description", rows: int = 100) -> DataFrame:
+    """AGG-24: (file, bank, score): matches a description over each file's first hundred, by `order`; case doesn't count.
+
+    The first hundred are cut in each task before the shuffle, so a large file is no large group.
+    """
+    first = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    head = df.where(F.col(description).isNotNull()).select(file, order, F.upper(F.col(description)).alias("__d")).withColumn("__r", first).where(F.col("__r") <= rows)
+    sums = head.groupBy(file).agg(F.count(F.lit(1)).alias("__n"), *[sum((F.count_if(F.col("__d").rlike(p)) for p in ps), F.lit(0)).alias(f"__{b}") for b, ps in V.BANK_DESCRIPTIONS.items()])
+    return sums.select(file, F.explode(F.array(*[F.struct(F.lit(b).alias("bank"), (F.col(f"__{b}") / F.col("__n")).alias("score")) for b in V.BANK_DESCRIPTIONS])).alias("s")).select(file, "s.*")
 
 
 def normalised(df: DataFrame, file: Column | None = None) -> DataFrame:

@@ -10,18 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import new_rows
+from ..staging import fresh_path, materialize, table_at
 
 
 def append_new(incoming: DataFrame, path: str, keys: list[str], order: str) -> DataFrame:
     """SNK-01 to 03: appends what the ledger at `path` doesn't hold; the rows appended. One write, which commits whole or not."""
-    spark = incoming.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:
-        old = spark.createDataFrame([], incoming.schema)
-    staged = f"{path.rstrip('/')}__staged/{uuid.uuid4().hex}"
-    new_rows(incoming, old, keys, order).write.parquet(staged)
-    fresh = spark.read.schema(incoming.schema).parquet(staged)
+    old = table_at(incoming.sparkSession, path)
+    fresh = new_rows(incoming, incoming.limit(0) if old is None else old, keys, order)
+    fresh = materialize(fresh, "appended")  # what is read again is what was written
     fresh.write.mode("append").parquet(path)
     return fresh
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import new_rows
+from ..staging import table_at
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
@@ -15,7 +16,7 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 d
 
 
 def daily_spend(stream: DataFrame, time: str, late: str = "1 day") -> DataFrame:
-    """Tumbling days: spend and income by user, given out once the watermark has passed the day."""
+    """Tumbling days: spend and income by user, given out once the watermark has passed the day. Days that it hasn't passed stay open, for the next run."""
     day = stream.withWatermark(time, late).groupBy(F.window(time, "1 day"), "user_id")
     return day.agg(F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(0)).alias("spend"), F.sum(F.when(F.col("amount") > 0, F.col("amount")).otherwise(0)).alias("income")).select("user_id", F.to_date("window.start").alias("date"), "spend", "income")
 
@@ -34,10 +35,7 @@ def ingest(spark: SparkSession, source: str, schema: str, ledger: str, checkpoin
     """STR-01 to 03: files that are new since the checkpoint, in micro-batches, appended to the ledger if it doesn't hold them."""
 
     def write(batch: DataFrame, _: int) -> None:
-        try:
-            old = batch.sparkSession.read.parquet(ledger)
-        except Exception:
-            old = batch.sparkSession.createDataFrame([], batch.schema)
-        new_rows(batch, old, keys, order).write.mode("append").parquet(ledger)
+        old = table_at(batch.sparkSession, ledger)
+        new_rows(batch, batch.limit(0) if old is None else old, keys, order).write.mode("append").parquet(ledger)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
