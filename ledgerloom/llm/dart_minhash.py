@@ -10,14 +10,18 @@ whose exact similarity decides.
 Texts with equal word sequences are one class from the start. In each bucket of a band a few hubs are compared with all
 members of other classes, and leave the bucket; similar pairs merge classes. A bucket whose members are in one class
 then is done. The first rounds take hubs of the bucket's most common class, which soon gathers what is alike; the later
-ones take hubs of its rarest classes, until no bucket holds two. So no bucket emits all its pairs while its members are
-alike, and every pair of a bucket is either compared, or in one class already, or can't be similar: each
-document's weight in shingles that no other candidate holds is counted first, which bounds its similarity to others.
+ones take eight times as many hubs each, of all its other classes, until no bucket holds two: as many rounds as a
+bucket's size has octal digits. Every pair of a bucket is either compared, or in one class already, or can't be similar.
+
+The last is proved before a pair is made. Shingles that no other candidate holds count for nothing; a document's weight
+in the others is kept in `PROFILE` parts, by the shingle's hash. The sum of the lesser weights, part by part, is no less
+than what two documents have in common, so it bounds their similarity. In a group of near copies whose similarities lie
+about the threshold the copies differ in different parts, so the pairs made are those that are similar, and few others.
 
 Null or empty texts and texts without words are compared by their raw text alone; null and empty texts are never
 duplicates. Texts of one to four words have one shingle, all their words. Rows whose doc_id is null are left out of the
-classes, and kept by the filter. Rows that repeat an id, with the same text or another, count by their texts. Extra
-columns are ignored and kept.
+classes, and kept by the filter. Rows that repeat an id, with the same text or another, count by their texts: two texts
+under one id are two documents. Extra columns are ignored and kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +31,16 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_slices, materialize
+from .shared import free_names, map_slices, materialize
 from .textops import U, Words, mix, text_bytes
 
 SHINGLE, K, ROWS, THRESHOLD = 5, 120, 5, 0.8
-#: Hubs of a bucket in each round, and whether they are of its most common class or of its rarest ones.
+#: Parts of a document's weight by its shingles' hashes; in one part at most so much is told apart.
+PROFILE, MOST = 64, 32_767
+#: Hubs of a bucket in each round, and whether they are of its most common class or of all others.
 _ROUNDS = [(1, True), (8, True)]
 _EXACT = 2.0**-53
 _STEP, _CELL, _MAX = U(0xD1342543DE82EF95), U(0xC2B2AE3D27D4EB4F), (1 << 64) - 1
@@ -177,7 +183,7 @@ def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """(node, shingles, counts), a row for each text: ascending 64-bit hashes and 32-bit counts, as bytes."""
+    """(node, shingles, counts, parts), a row for each text: ascending 64-bit hashes and 32-bit counts, as bytes, and the counts' sums by the hash's residue."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
@@ -186,9 +192,11 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         nodes = _nodes(_text_keys(words, data, ofs, batch.column("doc_id").to_pylist()))
         cut = np.searchsorted(d, np.arange(batch.num_rows + 1))
         c = w.astype(np.uint32)
-        return pa.RecordBatch.from_arrays([nodes, pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["node", "shingles", "counts"])
+        parts = np.bincount(d * PROFILE + (e % U(PROFILE)).astype(np.int64), w, batch.num_rows * PROFILE)
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PROFILE, pa.int32()), pa.array(parts))
+        return pa.RecordBatch.from_arrays([nodes, pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), parts], ["node", "shingles", "counts", "parts"])
 
-    return map_slices(docs, run, "node long, shingles binary, counts binary").dropDuplicates(["node"])
+    return map_slices(docs, run, "node long, shingles binary, counts binary, parts array<double>").dropDuplicates(["node"])
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
@@ -209,9 +217,10 @@ def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def shared_weights(shingles: DataFrame) -> DataFrame:
-    """(member, weight, common): each document's weight, and how much of it lies in shingles that other documents hold too.
+    """(member, weight, common, parts): each document's weight, how much of it lies in shingles that other documents hold too, and that part by part.
 
-    A shingle's documents are counted with partial sums before the shuffle; what only one holds goes back to it.
+    A shingle's documents are counted with partial sums before the shuffle; what only one holds goes back to it, as one
+    sum for each part. `parts` is null where a sum is too large for it.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -219,11 +228,23 @@ def shared_weights(shingles: DataFrame) -> DataFrame:
         n = [len(x) // 8 for x in batch.column("shingles").to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(w.astype(np.float64))], ["e", "node", "w"])
 
-    flat = map_slices(shingles, run, "e long, node long, w double", "shingles")
+    flat = map_slices(shingles.select("node", "shingles", "counts"), run, "e long, node long, w double", "shingles")
     own = flat.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w"))
-    alone = own.where("n = 1").groupBy("node").agg(F.sum("w").alias("alone"))
-    whole = flat.groupBy("node").agg(F.sum("w").alias("weight"))
-    return whole.join(alone, "node", "left").select(F.col("node").alias("member"), "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+    # the residue of the hash without its sign
+    part = F.col("e").bitwiseAND(F.lit(PROFILE - 1)).cast("int")
+    alone = own.where("n = 1").groupBy("node", part.alias("part")).agg(F.sum("w").alias("w"))
+    alone = alone.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("alone"))
+    left = F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda x, i: x - F.coalesce(F.col("alone")[i], F.lit(0.0))))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    found = shingles.select("node", "parts").join(alone, "node", "left").select(F.col("node").alias("member"), total("parts").alias("weight"), left.alias("left"))
+    return found.select("member", "weight", total("left").alias("common"), F.when(F.array_max("left") <= MOST, F.col("left").cast("array<smallint>")).alias("parts"))
+
+
+def _may_be_alike(threshold: float) -> Column:
+    """Whether a member and a hub can be similar: twice what they have in common, at most, against both weights."""
+    enough = threshold * (F.col("weight") + F.col("hub_weight")) - 1e-6
+    least = F.aggregate(F.zip_with("parts", "hub_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y.cast("int"))
+    return ((1 + threshold) * F.least("common", "hub_common") >= enough) & F.coalesce((1 + threshold) * least >= enough, F.lit(True))
 
 
 def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
@@ -241,11 +262,13 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
     held = active.join(shared_weights(shingles), "member")
     held = held.where(reach >= threshold * F.col("weight") - 1e-6)
     least = held.groupBy("bucket").agg(F.min("weight").alias("least"))
-    # a document's buckets, as many as bands at most: a pair that meets in several is compared in the least of them
+    own = ["member", "label", "weight", "common", "parts"]
+    # a document's buckets, as many as bands at most: a pair that meets in several is compared in the least of them.
+    # They stay as they are when it leaves one as a hub, for then it has met who is there
     mine = F.collect_list("bucket").over(Window.partitionBy("member")).alias("buckets")
-    held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).select("bucket", "member", "weight", "common", F.col("member").alias("label"), mine), "dart-held")
+    held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).withColumn("label", F.col("member")).select("bucket", *own, mine), "dart-held")
     labels, seen = None, None
-    for slots, common in itertools.chain(_ROUNDS, itertools.repeat((64, False))):
+    for slots, common in itertools.chain(_ROUNDS, ((8**n, False) for n in itertools.count(2))):
         # an open bucket holds two labels at least
         shares = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         split = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label")).alias("most")).where("k > 1").select("bucket", F.col("most.label").alias("most"))
@@ -254,15 +277,10 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
             return labels
         held = held.join(split, "bucket")
         slot = F.pmod(F.xxhash64("member"), F.lit(slots)).alias("slot")
-        own = ["member", "label", "weight", "common"]
-        if common:
-            pick = held.where("label = most").groupBy("bucket", slot).agg(F.min(F.struct(*own)).alias("p"))
-        else:
-            pick = held.join(shares, ["bucket", "label"]).groupBy("bucket", slot).agg(F.min(F.struct("n", "label", "member", "weight", "common")).alias("p"))
+        pick = held.where("label = most" if common else "label <> most").groupBy("bucket", slot).agg(F.min(F.struct(*own)).alias("p"))
         hubs = pick.select("bucket", *[F.col(f"p.{c}").alias(f"hub_{c}") for c in own])
         hubs = materialize(hubs.withColumn("hub_buckets", F.collect_list("bucket").over(Window.partitionBy("hub_member"))), "dart-hubs")
-        alike = (1 + threshold) * F.least("common", "hub_common") + 1e-6 >= threshold * (F.col("weight") + F.col("hub_weight"))
-        meet = held.alias("h").join(hubs.alias("u"), (F.col("h.bucket") == F.col("u.bucket")) & (F.col("label") != F.col("hub_label")) & alike & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("h.bucket")))
+        meet = held.alias("h").join(hubs.alias("u"), (F.col("h.bucket") == F.col("u.bucket")) & (F.col("label") != F.col("hub_label")) & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("h.bucket")) & _may_be_alike(threshold))
         pairs = meet.select(F.greatest("member", "hub_member").alias("member"), F.least("member", "hub_member").alias("hub")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["member", "hub"], "left_anti")
@@ -270,12 +288,10 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
         sims = materialize(_compared(pairs, shingles), "dart-sims")
         seen = pairs if seen is None else seen.unionByName(pairs)
         labels = _merged(labels, sims.where(F.col("sim") >= threshold))
-        rest = held.join(hubs.select("bucket", F.col("hub_member").alias("member")), ["bucket", "member"], "left_anti").select("bucket", "member", "weight", "common")
-        if labels is None:
-            rest = rest.withColumn("label", F.col("member"))
-        else:
-            rest = rest.join(labels, rest.member == labels.node, "left").select("bucket", "member", "weight", "common", F.coalesce("label", "member").alias("label"))
-        held = materialize(rest.select("*", mine), "dart-held")
+        rest = held.join(hubs.select("bucket", F.col("hub_member").alias("member")), ["bucket", "member"], "left_anti")
+        if labels is not None:
+            rest = rest.withColumnRenamed("label", "was").join(labels, rest.member == labels.node, "left").withColumn("label", F.coalesce("label", "member"))
+        held = materialize(rest.select("bucket", *own, "buckets"), "dart-held")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -331,14 +347,15 @@ def _rows_and_classes(docs: DataFrame, k: int = K, rows: int = ROWS, threshold:
 
 
 def near_duplicates(docs: DataFrame, k: int = K, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different texts in it), keep."""
+    """One row per row of docs: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different texts in it), keep (its text is the class's first)."""
     found = _rows_and_classes(docs, k, rows, threshold)
-    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("doc_id") == F.col("first.doc_id")).alias("keep"))
+    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.struct("doc_id", "text_hash") == F.col("first")).alias("keep"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class of near duplicates, that of the least doc_id; rows without an id stay."""
-    kept = materialize(_rows_and_classes(docs).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text")).distinct(), "dart-kept")
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    first = hashed.join(kept, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    doc, text = free_names(docs, "doc", "text_hash")
+    kept = materialize(_rows_and_classes(docs).select(F.col("first.doc_id").alias(doc), F.col("first.text_hash").alias(text)).distinct(), "dart-kept")
+    hashed = docs.withColumns({doc: F.col("doc_id").cast("long"), text: F.xxhash64(F.col("text").cast("string"))})
+    first = hashed.join(kept, [doc, text], "left_semi").dropDuplicates([doc, text]).select(docs.columns)
     return first.unionByName(docs.where("doc_id is null"))

@@ -37,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of df, in which case doesn't count."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers where their path doesn't lead to it already."""
     root = Path(__file__).resolve().parents[2]
