@@ -136,6 +136,23 @@ HEADER_SYNONYMS = {
     "product": ["product", "item", "product name"],
 }
 
+# Header names of banks' statements, by target.
+STATEMENT_SYNONYMS = {
+    "date": ["date", "transaction date", "txn date", "value date", "posting date", "time", "timestamp"],
+    "description": ["description", "particulars", "details", "narration", "transaction details", "remarks", "notes", "merchant_category", "product"],
+    "debit": ["debit", "debit amount", "withdrawal", "dr", "dr amount", "outflow"],
+    "credit": ["credit", "credit amount", "deposit", "cr", "cr amount", "inflow"],
+    "amount": ["amount", "transaction amount", "txn amount", "amount (inr)", "amount (usd)", "amount (eur)"],
+    "balance": ["balance", "closing balance", "running balance"],
+    "type": ["type", "transaction type", "txn type", "dr/cr"],
+}
+
+# Parts of the headers of a details sheet, by target, in order, with what such a header may not hold.
+DETAIL_PARTS = [("Date", ["date"], []), ("Details", ["detail", "narration", "desc"], []), ("Debit", ["debit", "dr"], []), ("Credit", ["credit", "cr"], ["balance"])]
+
+# Formats of dates in banks' statements, in order.
+STATEMENT_DATES = ["d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyy/M/d", "d/M/yy", "d-M-yy", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d H:m:s", "d/M/yyyy H:m:s"]
+
 # Headers by which a bank's statements are known; of equals the first wins.
 BANK_HEADERS = {
     "hdfc": ["date", "description", "debit", "credit", "balance"],

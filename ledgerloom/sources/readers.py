@@ -1,4 +1,4 @@
-"""Statement files: delimited text, JSON and spreadsheet grids, to one normal form."""
+"""Tables of text columns to one normal form: headers, separators, header rows of grids, banks, scans of ledgers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from ..functions import normalize as N
 from ..functions import vocabulary as V
 from ..functions.text import extract_merchant
 
-SUFFIXES = {".csv": ",", ".tsv": "\t", ".txt": None, ".pdf": None, ".json": "json", ".xlsx": "grid", ".xls": "grid"}
+#: How a file is read: by a separator, by one that its first line tells, as JSON or as a grid.
+SUFFIXES = {".csv": ",", ".tsv": "\t", ".txt": None, ".pdf": None, ".json": "json", ".xlsx": "grid", ".xlsm": "grid", ".xls": "grid"}
+# What may be uploaded.
+ALLOWED = [".csv", ".tsv", ".xls", ".xlsx", ".xlsm", ".json", ".txt"]
 MOST_BYTES = 10 * 1024 * 1024
 OUTPUT = ["date", "amount", "description", "merchant", "method", "entity", "ref", "location", "type", "meta", "status"]
 
@@ -22,7 +25,7 @@ def suffix_of(path: str) -> str:
 def check_files(files: DataFrame) -> DataFrame:
     """SRC-15, SRC-16: of a binaryFile table each file's hash, and what is wrong with it (null if nothing)."""
     end = F.concat(F.lit("."), F.lower(F.substring_index("path", ".", -1)))
-    wrong = F.when(~end.isin(*SUFFIXES), "unsupported file type").when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "file too large")
+    wrong = F.when(~end.isin(*ALLOWED), "unsupported file type").when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "file too large")
     locked = F.hex(F.substring(F.col("content"), 1, 8)) == "D0CF11E0A1B11AE1"
     return files.select("path", "length", F.sha2("content", 256).alias("file_hash"), F.coalesce(wrong, F.when(locked, "Password required")).alias("error"))
 
@@ -49,57 +52,56 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("transactions").alias("t")).select("t.*") if "transactions" in df.columns else df
 
 
-def grid_table(grid: DataFrame, kind: str = "statement") -> DataFrame:
-    """SRC-11: rows under the header row of a grid (row_idx, cells array<string>), as text columns.
+_STATEMENT = [["date"], ["desc", "particular", "detail", "narration"], ["amount", "debit", "credit", "dr", "cr"]]
+# Parts of the headers of tables of any kind.
+_WIDE = ["date", "time", "desc", "detail", "narration", "particular", "amount", "debit", "credit", "withdrawal", "deposit", "balance", "merchant", "ref", "status", "type", "method"]
+
+
+def header_row(grid: list[list[str | None]], kind: str = "statement") -> int:
+    """SRC-11: which row of one file's grid is the header.
 
     statement: the first of 20 rows with a date, a description and an amount word, else the first row; ledger: the
-    first of 30 rows with a cell 'date' and a word for details, else an error; details: the first of 30 with 'details';
-    wide: the first of 30 with two known headers. Blank rows go, blank headers get a name.
+    first of 30 rows with a cell 'date' and a word for details, else an error; details: the first of 30 with 'details',
+    else an error; wide: the first of 30 with two cells that look like headers, else the first row.
     """
+    for i, row in enumerate(grid[: 20 if kind == "statement" else 30]):
+        low = [(c or "").strip().lower() for c in row]
+        holds = lambda words: any(w in c for c in low for w in words)  # noqa: B023, E731
+        found = {
+            "statement": lambda: all(holds(w) for w in _STATEMENT),  # noqa: B023
+            "ledger": lambda: "date" in low and holds(["details", "description"]),  # noqa: B023
+            "details": lambda: holds(["details"]),  # noqa: B023
+            "wide": lambda: sum(any(w in c for w in _WIDE) for c in low) >= 2,  # noqa: B023
+        }[kind]()
+        if found:
+            return i
+    if kind in ("ledger", "details"):
+        raise ValueError("no header row found")
+    return 0
+
+
+def grid_table(grid: DataFrame, kind: str = "statement") -> DataFrame:
+    """SRC-11 over a table of grids (path, row_idx, cells array<string>): (path, row_idx, values map<header, text>) of the rows under each file's own header.
+
+    The rules are header_row's. Blank rows go, blank headers get a name, of equal headers the first counts. A file without a header that needs one is an error.
+    """
+    low = grid.withColumn("low", F.transform("cells", lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))))
     has = lambda *w: F.exists("low", lambda x: x.rlike("|".join(w)))
-    head = {
-        "statement": (20, has("date") & has("desc", "particular", "detail", "narration") & has("amount", "debit", "credit", "dr", "cr")),
-        "ledger": (30, F.exists("low", lambda x: x == "date") & has("details", "description")),
+    rows, found = {
+        "statement": (20, has(*_STATEMENT[0]) & has(*_STATEMENT[1]) & has(*_STATEMENT[2])),
+        "ledger": (30, F.array_contains("low", "date") & has("details", "description")),
         "details": (30, has("details")),
-        "wide": (30, F.size(F.filter("low", lambda x: x.rlike("date|time|desc|detail|narration|particular|amount|debit|credit|withdrawal|deposit|balance|merchant|ref|status|type|method"))) >= 2),
+        "wide": (30, F.size(F.filter("low", lambda x: x.rlike("|".join(_WIDE)))) >= 2),
     }[kind]
-    low = grid.withColumn("low", F.transform("cells", lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))))
-    found = low.where((F.col("row_idx") < head[0]) & head[1]).agg(F.min_by("cells", "row_idx").alias("cells"), F.min("row_idx").alias("row_idx")).first()
-    if found["row_idx"] is None:
-        if kind in ("ledger", "details"):
-            raise ValueError("no header row found")
-        found = low.agg(F.min_by("cells", "row_idx").alias("cells"), F.min("row_idx").alias("row_idx")).first()
-    names = [(c or "").strip() or f"column_{i}" for i, c in enumerate(found["cells"])]
-    rows = low.where((F.col("row_idx") > found["row_idx"]) & F.exists("low", lambda x: x != ""))
-    seen: set[str] = set()
-    cols = []
-    for i, n in enumerate(names):
-        if n.lower() not in seen:  # the first of equal headers
-            seen.add(n.lower())
-            cols.append(F.try_element_at("cells", F.lit(i + 1)).alias(n))
-    return rows.select(*cols)
-
-
-def read_grid(spark: SparkSession, path: str, password: str | None = None) -> DataFrame:
-    """SRC-05, SRC-06: first sheets as (path, row_idx, cells). openpyxl is used where it is installed."""
-
-    def rows(batches):
-        import io
-
-        import pandas as pd
-
-        try:
-            import openpyxl
-        except ImportError as e:
-            raise RuntimeError("reading spreadsheets needs openpyxl") from e
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                if content[:8] == bytes.fromhex("D0CF11E0A1B11AE1"):
-                    raise ValueError("Invalid password" if password else "Password required")
-                sheet = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True).worksheets[0]
-                yield pd.DataFrame([(file, i, [None if c is None else str(c) for c in r]) for i, r in enumerate(sheet.iter_rows(values_only=True))], columns=["path", "row_idx", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, row_idx int, cells array<string>")
+    is_head = (F.col("row_idx") < rows) & found
+    heads = low.groupBy("path").agg(F.min(F.when(is_head, F.struct("row_idx", "cells"))).alias("head"), F.min(F.struct("row_idx", "cells")).alias("first"))
+    if kind in ("ledger", "details") and not heads.where("head is null").isEmpty():
+        raise ValueError("no header row found")
+    heads = heads.select("path", F.coalesce("head", "first").alias("head")).select("path", F.col("head.row_idx").alias("__at"), F.transform("head.cells", lambda x, i: F.coalesce(F.nullif(F.trim(F.coalesce(x, F.lit(""))), F.lit("")), F.concat(F.lit("column_"), i.cast("string")))).alias("__names"))
+    body = low.join(heads, "path").where((F.col("row_idx") > F.col("__at")) & F.exists("low", lambda x: x != ""))
+    pairs = F.transform("__names", lambda n, i: F.struct(n.alias("n"), F.get("cells", i).alias("v"), F.array_position("__names", n).alias("first"), (i + 1).alias("i")))
+    own = F.filter(pairs, lambda p: p["first"] == p["i"])
+    return body.select("path", "row_idx", F.map_from_entries(F.transform(own, lambda p: F.struct(p["n"], p["v"]))).alias("values"))
 
 
 def resolve_headers(columns: list[str], synonyms: dict[str, list[str]] | None = None) -> dict[str, str]:
@@ -116,13 +118,14 @@ def resolve_headers(columns: list[str], synonyms: dict[str, list[str]] | None =
     return out
 
 
-def resolve_by_parts(columns: list[str], parts: dict[str, list[str]]) -> dict[str, str]:
-    """NRM-03: target -> the first column that holds one of the parts."""
+def resolve_by_parts(columns: list[str], parts: list[tuple[str, list[str], list[str]]] | None = None) -> dict[str, str]:
+    """NRM-03: target -> the first column that is taken for it: each column serves the first target of whose words it holds one, and none of its exceptions."""
     out: dict[str, str] = {}
-    for target, words in parts.items():
-        hit = next((c for c in columns if any(w in c.lower() for w in words) and c not in out.values()), None)
-        if hit is not None:
-            out[target] = hit
+    for column in columns:
+        low = column.lower()
+        target = next((t for t, words, but in parts or V.DETAIL_PARTS if any(w in low for w in words) and not any(w in low for w in but)), None)
+        if target is not None:
+            out.setdefault(target, column)
     return out
 
 
@@ -182,16 +185,6 @@ def normalised(df: DataFrame, file: Column | None = None) -> DataFrame:
     )
 
 
-def parse(spark: SparkSession, path: str, password: str | None = None) -> DataFrame:
-    """SRC-02: any statement file, by its suffix; an unknown one counts as CSV."""
-    how = SUFFIXES.get(suffix_of(path), ",")
-    if how == "grid":
-        return normalised(grid_table(read_grid(spark, path, password)))
-    if how == "json":
-        return normalised(read_json(spark, path))
-    return normalised(read_text(spark, path) if how is None else read_delimited(spark, path, how))
-
-
 def ledger_scan(spark: SparkSession, path: str, user_id, columns: list[str]) -> DataFrame:
     """SRC-12, SRC-13: one user's rows and columns, both pushed into the scan."""
     return spark.read.parquet(path).where(F.col("user_id") == user_id).select(*columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import new_rows
-from ..staging import fresh_path, materialize, table_at
+from ..staging import materialize, table_at
 
 
 def append_new(incoming: DataFrame, path: str, keys: list[str], order: str) -> DataFrame:
@@ -45,24 +45,31 @@ def append_corrections(df: DataFrame, path: str) -> None:
 
 
 class ModelStore:
-    """SNK-08 to 10: a table of fitted models: id, when, metric and parameters; the latest, the best, and a bounded number kept."""
+    """SNK-08 to 10: fitted models: id, when, metric and parameters, a folder each; the latest, the best, and a bounded number kept."""
 
-    SCHEMA = "model_id string, saved_at double, metric double, parameters string"
+    SCHEMA = "saved_at double, metric double, parameters string, model_id string"
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 5):
-        self.spark, self.path, self.keep = spark, path, keep
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
     def save(self, parameters: dict, metric: float) -> str:
+        """Saves a model; those older than the last `keep` go."""
         name = uuid.uuid4().hex
-        self.spark.createDataFrame([(name, time.time(), float(metric), json.dumps(parameters))], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
-        return name
+        row = self.spark.createDataFrame([(time.time(), float(metric), json.dumps(parameters))], "saved_at double, metric double, parameters string")
+        row.coalesce(1).write.parquet(f"{self.path}/model_id=m{name}")
+        old = self.table().orderBy(F.desc("saved_at")).offset(self.keep).select("model_id").collect()
+        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for r in old:
+            at = fs.Path(f"{self.path}/model_id={r['model_id']}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        return f"m{name}"
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def listing(self) -> DataFrame:
-        """Newest first, those that are kept, with their size in MB."""
-        return self.table().orderBy(F.desc("saved_at")).limit(self.keep).withColumn("mb", F.round(F.length("parameters") / 1e6, 2))
+        """Newest first, with their size in MB."""
+        return self.table().orderBy(F.desc("saved_at")).withColumn("mb", F.round(F.length("parameters") / 1e6, 2))
 
     def latest(self) -> dict | None:
         row = self.table().orderBy(F.desc("saved_at")).first()
