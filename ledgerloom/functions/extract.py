@@ -9,17 +9,6 @@ from . import vocabulary as V
 from .text import chain, extract_merchant, first_listed, safe, title
 from .vectors import let
 
-# Patterns of payment methods, in matching order.
-METHOD_PATTERNS = [
-    ("UPI", [r"(?i)UPI/([A-Z]+)/(\d+)/([^/]+)/([^/]+)/?([^/\s]*)", r"(?i)UPI-([A-Z]+)-(\d+)-([^/]+)-"]),
-    ("POS", [r"(?i)POS\s+(?:PURCH|DEBIT|CREDIT)?\s*(\d*)\s*([^\d].*?)(?:\s+\d{2}[/-]\d{2})?$", r"(?i)POS\s+(.*?)(?:\s+\d{4})?$"]),
-    ("ATM", [r"(?i)ATM\s+(?:WDL|DEP|WITHDRAWAL|DEPOSIT)\s*(\d*)\s*(.*)", r"(?i)ATM\s+(.*)"]),
-    ("INB", [r"(?i)INB\s+(.*?)(?:\s+\d{4})?$", r"(?i)IB\s+(.*?)(?:\s+\d{4})?$"]),
-    ("NEFT", [r"(?i)NEFT-[A-Z]*-?(\d+)-([^-]+)", r"(?i)NEFT/[^/]+/(\d+)/([^/]+)"]),
-    ("IMPS", [r"(?i)IMPS-[A-Z]*-?(\d+)-([^-]+)", r"(?i)IMPS/[^/]+/(\d+)/([^/]+)"]),
-    ("CASH", [r"(?i)CASH\s+(?:DEPOSIT|WITHDRAWAL|DEP|WDL)\s+(.*)", r"(?i)CASH\s+(.*)"]),
-]
-
 
 def _meta(**parts: Column) -> Column:
     return F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])
@@ -40,7 +29,7 @@ def method_details(col: Column | str) -> Column:
     none = F.lit("")
     group = lambda p, n: F.regexp_extract(text, p, n)
     out = F.when(text == "", _details("", none, none, none))
-    for method, patterns in METHOD_PATTERNS:
+    for method, patterns in V.METHOD_PATTERNS:
         for nth, p in enumerate(patterns):
             if method == "UPI":
                 name = F.trim(F.regexp_replace(group(p, 3), r"[0-9._-]+$", ""))
@@ -73,21 +62,21 @@ def statement_details(col: Column | str) -> Column:
         return F.struct(lit(method).alias("method"), entity.alias("entity"), ref.alias("ref"), location.alias("location"), lit(kind).alias("type"), meta.alias("meta"))
 
     g = lambda p, n: F.regexp_extract(text, p, n)
-    upi = r"UPI/([A-Z]+)/(\d+)/([^/]+)/([^/]+)/([^/]+)"
+    upi = V.STATEMENT_UPI
     parts = F.split(text, "/")
     app = F.element_at(F.split(F.trim(F.element_at(parts, -1)), r"\s+"), 1)
     upi_meta = F.map_filter(_meta(bank=F.trim(g(upi, 4)), upi_id=F.trim(g(upi, 5)), app=F.when((F.size(parts) > 6) & (app != ""), app)), lambda k, v: v.isNotNull())
     # card: what is left without prefixes and reference; the last word is the place
     ref = g(r"\b(\d{10,})\b", 1)
-    left = F.filter(F.split(F.replace(chain(text, [(rf"(?i)\b{p}\b", "") for p in ("POS", "ATM", "PURCH", "OTHPG", "SBIPG", "DBTPG")]), F.when(ref == "", "\u0000").otherwise(ref), none), r"\s+"), lambda w: w != "")
+    left = F.filter(F.split(F.replace(chain(text, [(rf"(?i)\b{p}\b", "") for p in V.CARD_WORDS]), F.when(ref == "", "\u0000").otherwise(ref), none), r"\s+"), lambda w: w != "")
     place = F.coalesce(F.try_element_at(left, F.lit(-1)), none)
     shop = F.trim(chain(F.array_join(F.slice(left, F.lit(1), F.greatest(F.size(left) - 1, F.lit(0))), " "), [(r"^\d+[^*]*\*", ""), (r"^\d+", ""), (r"^[A-Za-z0-9]+\*", ""), (r"^[A-Za-z0-9]+_", "")]))
     # cash machine: digits and capitals in front are its number
     cash = F.trim(F.regexp_replace(text, "ATM WDL|ATM CASH", ""))
     number = F.trim(F.regexp_extract(cash, r"^(\d+\s*[A-Z]*)", 1))
     online = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, "WDL|TFR|INB", "")), r"\bAT \d+.*", ""))
-    wire = r"(?:NEFT|RTGS)/([^/]+)/([^/]+)/([^/]+)"
-    person = F.trim(F.regexp_replace(F.trim(g(r"(?:OF|of)\s+(?:Mr|Mrs|Ms|Miss|MR|MRS|MS)?\s*\.?\s*([A-Z][A-Z\s]+)", 1)), r"\s+(?:MO|AT|M)\s*$", ""))
+    wire = V.STATEMENT_WIRE
+    person = F.trim(F.regexp_replace(F.trim(g(V.STATEMENT_PERSON, 1)), r"\s+(?:MO|AT|M)\s*$", ""))
     return (
         F.when(text.rlike(upi), made("UPI", F.trim(g(upi, 3)), g(upi, 2), kind=F.when(g(upi, 1) == "CR", "CREDIT").otherwise("DEBIT"), meta=upi_meta))
         .when(text.contains("POS") & text.contains("PURCH"), made("POS", F.when(shop == "", place).otherwise(shop), ref, F.when(shop == "", "").otherwise(place)))
@@ -119,25 +108,25 @@ def sbi_details(col: Column | str) -> Column:
     def made(merchant: Column, said: Column, kind: str, meta: Column = no_meta) -> Column:
         return F.struct(merchant.alias("merchant"), said.alias("clean_description"), F.lit(kind).alias("type"), meta.alias("meta"))
 
-    upi = r"^(WDL|DEP) TFR\s+UPI/(DR|CR)/([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^\s/]+)"
+    upi = V.SBI_UPI
     name, handle, app = _tidy(g(upi, 4)), _tidy(g(upi, 6)), _tidy(g(upi, 7))
     payee = F.coalesce(brand(name, handle, app), name)
-    pos = r"^POS ATM PURCH\s+(\S+)\s+(\S+)\s+(.*)$"
+    pos = V.SBI_POS
     words = F.filter(F.split(g(pos, 3), r"\s+"), lambda w: w != "")
     place = F.when(F.size(words) > 1, F.element_at(words, -1)).otherwise("")
     raw = F.array_join(F.when(F.size(words) > 1, F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words), " ")
     bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"^\d+[a-zA-Z0-9]*\*", ""), r"^\*", ""))
     shop = F.coalesce(brand(bare, raw), bare)
-    atm = r"^ATM WDL\s+ATM CASH\s+(.*)$"
+    atm = V.SBI_ATM
     tokens = F.filter(F.split(g(atm, 1), r"\s+"), lambda w: w != "")
     two = (F.size(tokens) > 1) & (F.length(F.try_element_at(tokens, F.lit(2))) <= 3)
     at = F.when(two, 2).otherwise(1)
     machine = F.array_join(F.slice(tokens, F.lit(1), at), " ")
     where = F.array_join(F.slice(tokens, at + 1, F.greatest(F.size(tokens) - at, F.lit(0))), " ")
-    inb = r"^WDL TFR\s+INB\s+(.*?)(?:\.\.\.|\s+AT\s+\d+)"
+    inb = V.SBI_INB
     bought = F.coalesce(brand(_tidy(g(inb, 1))), _tidy(g(inb, 1)))
     branch = F.trim(F.regexp_replace(text, r"^CASH DEPOSIT SELF\s+AT\s*", ""))
-    cdm = r"^CEMTEX DEP\s+(\S+)"
+    cdm = V.SBI_CDM
     any_brand = brand(text)
     dep, wdl = brand(g(r"^DEP TFR\s+(.*)", 1)), brand(g(r"^WDL TFR\s+(.*)", 1))
     suffix = lambda s, c, e: F.when(c != "", F.concat(F.lit(s), c, F.lit(e))).otherwise("")

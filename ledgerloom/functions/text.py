@@ -10,51 +10,6 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 
-#: (pattern, replacement) in order; Java patterns, which RE2 reads alike unless noted.
-CLEAN_STEPS = [
-    (r"[*\-_]", " "),
-    (r"[\w\.-]+@[\w\.-]+", ""),
-    (r"UPI(?:-|/)?\d+\w*", ""),
-    (r"UPI\s*-?", ""),
-    (r"\b(POS|ECOM|ATM|MPS|IMPS|NEFT|RTGS|ACH|MBk|WDL)\b", ""),
-    (r"\d{2}[-/]\d{2}[-/]\d{2,4}", ""),
-    (r"\d{2}[A-Z]{3}", ""),
-    (r"\b\d{4,}\b", ""),
-    (r"\b(TXN|REF|ID|NO|TRANSFER|PAYMENT|TO|BY|FROM|BILL|IN|VIA)\b", ""),
-    (r"[^A-Z\s]", " "),
-    (r"\s+", " "),
-]
-
-DETAIL_STEPS = [
-    *[(rf"(?i)\b{p}\b", "") for p in V.DETAIL_PREFIXES],
-    (r"(?i)\bSBIN[A-Z0-9]+\b", ""),
-    (r"\bAT \d{4,}\b.*", ""),
-    (r"\b\d{2}RAZ\*", ""),
-    (r"\d{2}[/-]\d{2}[/-]\d{2,4}", ""),
-    (r"\b\d{6,}\b", ""),
-    (r"(\d+)([A-Za-z]+)", "$1 $2"),
-    (r"\b\d+\b", ""),
-    (r"[\n\r\t]", " "),
-    (r"[^\p{L}\p{N}_\s]", " "),
-    (r"\s+", " "),
-]
-
-GROUP_STEPS = [
-    (r"#\d+[-\d]*", "#ORDER"),
-    (r"(?i)\btxn_\d+", "txn_XXXXX"),
-    (r"(?i)UPI/([^/]+)/\d+", "upi/$1/XXXXXXXXX"),
-    (r"-\d+@", "-XXXXX@"),
-    (r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", "DD/MM/YYYY"),
-    (r"\b\d{4}-\d{2}-\d{2}\b", "YYYY-MM-DD"),
-    (r"(?i)\b(RS\.?|INR|₹)\s*(\d+\.?\d*)", "$1 XXXX.XX"),
-    (r"\b\d{5,}\b", "XXXXX"),
-]
-
-P2P_NAME = r"(?i)(?:UPI|UPVDR|UPS|IMPS|NEFT)(?:/|-)\d+(?:/|-)([^/]+)(?:/|-)"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-PHONE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
-
-
 def chain(col: Column, steps: list[tuple[str, str]]) -> Column:
     """Replaces pattern after pattern."""
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, col)
@@ -97,24 +52,24 @@ def extract_merchant(col: Column | str, word_boundary: bool = False) -> Column:
     raw = safe(col)
     low = F.lower(raw)
     known = first_listed(low, V.MERCHANTS, 99 if word_boundary else 0)
-    name = F.trim(F.regexp_replace(F.trim(F.regexp_extract(low, P2P_NAME, 1)), r"[0-9._-]+$", ""))
+    name = F.trim(F.regexp_replace(F.trim(F.regexp_extract(low, V.P2P_NAME, 1)), r"[0-9._-]+$", ""))
     rest = chain(low, [(f"(?i){p}", " ") for p in V.MERCHANT_NOISE] + [(r"[^a-zA-Z\s]", " "), (r"\s+", " ")])
     return F.when(raw == "", "").otherwise(F.coalesce(known, F.when((F.length(name) > 2) & ~name.rlike(r"^\d+$"), title(name)), title(F.trim(rest))))
 
 
 def clean_description(col: Column | str) -> Column:
     """CLN-01: capitals only, without handles, references, dates and generic words."""
-    return F.trim(chain(F.upper(safe(col)), CLEAN_STEPS))
+    return F.trim(chain(F.upper(safe(col)), V.CLEAN_STEPS))
 
 
 def clean_details(col: Column | str) -> Column:
     """CLN-02: details without prefixes, codes, dates and numbers; the case stays."""
-    return F.trim(chain(safe(col), DETAIL_STEPS))
+    return F.trim(chain(safe(col), V.DETAIL_STEPS))
 
 
 def group_key(col: Column | str) -> Column:
     """CLN-03: small letters, with placeholders for what varies between similar descriptions."""
-    return chain(F.lower(F.trim(safe(col))), GROUP_STEPS)
+    return chain(F.lower(F.trim(safe(col))), V.GROUP_STEPS)
 
 
 def is_noise_segment(col: Column) -> Column:
@@ -131,14 +86,14 @@ def readable(col: Column | str) -> Column:
     """CLN-04: a readable name of a transaction, by the first of several readings that fits."""
     src = F.trim(safe(col))
     flat = F.trim(F.regexp_replace(src, r"\s+", " "))
-    person = F.trim(F.regexp_replace(F.trim(F.regexp_extract(flat, r"(?i)(?:UPI|UPVDR|UPS|IMPS|NEFT)(?:/|-)(?:DR|CR)?(?:/|-)?\d+(?:/|-)([^/]+)(?:/|-)", 1)), r"[0-9._-]+$", ""))
-    shop = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(flat, r"(?i)POS\s+ATM\s+PURCH\s+\w+\s+\d+\s*\d*([A-Za-z*]+[A-Za-z\s]*)", 1), r"\*", "")), r"\s+\d+$", ""))
-    refund = F.trim(F.regexp_extract(flat, r"(?i)DEP\s+TFR\s+VISA-IN-RMT:[0-9]+([A-Za-z]+)", 1))
+    person = F.trim(F.regexp_replace(F.trim(F.regexp_extract(flat, V.READ_PERSON, 1)), r"[0-9._-]+$", ""))
+    shop = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(flat, V.READ_SHOP, 1), r"\*", "")), r"\s+\d+$", ""))
+    refund = F.trim(F.regexp_extract(flat, V.READ_REFUND, 1))
     machine = F.trim(F.regexp_replace(F.regexp_replace(flat, r"(?i)CEMTEX\s+DEP", ""), r"\b\d+\b", ""))
     online = F.trim(F.regexp_replace(F.regexp_replace(flat, r"(?i)\b(WDL|TFR|INB)\b", ""), r"(?i)\bAT\s+\d+.*", ""))
     segments = F.filter(F.transform(F.split(flat, r"[/|>]"), F.trim), lambda p: (p != "") & ~is_noise_segment(p) & (F.length(p) >= 3) & ~p.contains("@"))
     segment = F.when(flat.contains("/") & (F.size(segments) > 0), word_title(F.regexp_replace(F.try_element_at(segments, F.lit(1)), r"[._-]+", " ")))
-    bare = F.trim(chain(flat, [(r"(?i)\b(UPI|IMPS|NEFT|RTGS|ACH|NACH|WDL|TFR|POS|MB|DR|CR|DEP|OTHPG|SBIPG|PURCH|ATM)\b", ""), (r"[0-9]+", " "), (r"[^a-zA-Z\s]", " "), (r"\s+", " ")]))
+    bare = F.trim(chain(flat, V.READ_BARE))
     short = F.when(bare == "", "Imported transaction").when(F.length(bare) <= 64, word_title(bare)).otherwise(F.concat(word_title(F.trim(F.substring(bare, 1, 61))), F.lit("...")))
     return F.when(src == "", "Imported transaction").otherwise(
         F.coalesce(
@@ -159,7 +114,7 @@ def readable(col: Column | str) -> Column:
 
 def redact(col: Column | str) -> Column:
     """PII-01: e-mail addresses and ten-digit telephone numbers as marks."""
-    return F.regexp_replace(F.regexp_replace(safe(col), EMAIL, "[EMAIL_REDACTED]"), PHONE, "[PHONE_REDACTED]")
+    return F.regexp_replace(F.regexp_replace(safe(col), V.EMAIL, "[EMAIL_REDACTED]"), V.PHONE, "[PHONE_REDACTED]")
 
 
 def keyword_category(col: Column | str) -> Column:

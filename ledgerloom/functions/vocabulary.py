@@ -120,6 +120,81 @@ IMPORT_CATEGORIES = [
 # Words that are no part of a name in a statement's details.
 DETAIL_PREFIXES = ["POS", "ATM", "PURCH", "PURCHASE", "OTHPG", "UPI", "WDL", "TFR", "ME", "MB", "IB", "DEP", "CR", "DR", "SBIPG", "Paym", "NEFT", "SBIN", "IMPS"]
 
+# Fixed values: (pattern, replacement) in order, that make a description of capitals only.
+CLEAN_STEPS = [
+    (r"[*\-_]", " "),
+    (r"[\w\.-]+@[\w\.-]+", ""),
+    (r"UPI(?:-|/)?\d+\w*", ""),
+    (r"UPI\s*-?", ""),
+    (r"\b(POS|ECOM|ATM|MPS|IMPS|NEFT|RTGS|ACH|MBk|WDL)\b", ""),
+    (r"\d{2}[-/]\d{2}[-/]\d{2,4}", ""),
+    (r"\d{2}[A-Z]{3}", ""),
+    (r"\b\d{4,}\b", ""),
+    (r"\b(TXN|REF|ID|NO|TRANSFER|PAYMENT|TO|BY|FROM|BILL|IN|VIA)\b", ""),
+    (r"[^A-Z\s]", " "),
+    (r"\s+", " "),
+]
+
+# Fixed values: (pattern, replacement) in order, that take codes out of details.
+DETAIL_STEPS = [
+    *[(rf"(?i)\b{p}\b", "") for p in DETAIL_PREFIXES],
+    (r"(?i)\bSBIN[A-Z0-9]+\b", ""),
+    (r"\bAT \d{4,}\b.*", ""),
+    (r"\b\d{2}RAZ\*", ""),
+    (r"\d{2}[/-]\d{2}[/-]\d{2,4}", ""),
+    (r"\b\d{6,}\b", ""),
+    (r"(\d+)([A-Za-z]+)", "$1 $2"),
+    (r"\b\d+\b", ""),
+    (r"[\n\r\t]", " "),
+    (r"[^\p{L}\p{N}_\s]", " "),
+    (r"\s+", " "),
+]
+
+# Fixed values: (pattern, placeholder) in order, for what varies between similar descriptions.
+GROUP_STEPS = [
+    (r"#\d+[-\d]*", "#ORDER"),
+    (r"(?i)\btxn_\d+", "txn_XXXXX"),
+    (r"(?i)UPI/([^/]+)/\d+", "upi/$1/XXXXXXXXX"),
+    (r"-\d+@", "-XXXXX@"),
+    (r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", "DD/MM/YYYY"),
+    (r"\b\d{4}-\d{2}-\d{2}\b", "YYYY-MM-DD"),
+    (r"(?i)\b(RS\.?|INR|₹)\s*(\d+\.?\d*)", "$1 XXXX.XX"),
+    (r"\b\d{5,}\b", "XXXXX"),
+]
+
+# Names in transfers, and personal data.
+P2P_NAME = r"(?i)(?:UPI|UPVDR|UPS|IMPS|NEFT)(?:/|-)\d+(?:/|-)([^/]+)(?:/|-)"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+PHONE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
+
+# What readable names are found by.
+READ_PERSON = r"(?i)(?:UPI|UPVDR|UPS|IMPS|NEFT)(?:/|-)(?:DR|CR)?(?:/|-)?\d+(?:/|-)([^/]+)(?:/|-)"
+READ_SHOP = r"(?i)POS\s+ATM\s+PURCH\s+\w+\s+\d+\s*\d*([A-Za-z*]+[A-Za-z\s]*)"
+READ_REFUND = r"(?i)DEP\s+TFR\s+VISA-IN-RMT:[0-9]+([A-Za-z]+)"
+READ_BARE = [(r"(?i)\b(UPI|IMPS|NEFT|RTGS|ACH|NACH|WDL|TFR|POS|MB|DR|CR|DEP|OTHPG|SBIPG|PURCH|ATM)\b", ""), (r"[0-9]+", " "), (r"[^a-zA-Z\s]", " "), (r"\s+", " ")]
+
+# Patterns of payment methods, in matching order.
+METHOD_PATTERNS = [
+    ("UPI", [r"(?i)UPI/([A-Z]+)/(\d+)/([^/]+)/([^/]+)/?([^/\s]*)", r"(?i)UPI-([A-Z]+)-(\d+)-([^/]+)-"]),
+    ("POS", [r"(?i)POS\s+(?:PURCH|DEBIT|CREDIT)?\s*(\d*)\s*([^\d].*?)(?:\s+\d{2}[/-]\d{2})?$", r"(?i)POS\s+(.*?)(?:\s+\d{4})?$"]),
+    ("ATM", [r"(?i)ATM\s+(?:WDL|DEP|WITHDRAWAL|DEPOSIT)\s*(\d*)\s*(.*)", r"(?i)ATM\s+(.*)"]),
+    ("INB", [r"(?i)INB\s+(.*?)(?:\s+\d{4})?$", r"(?i)IB\s+(.*?)(?:\s+\d{4})?$"]),
+    ("NEFT", [r"(?i)NEFT-[A-Z]*-?(\d+)-([^-]+)", r"(?i)NEFT/[^/]+/(\d+)/([^/]+)"]),
+    ("IMPS", [r"(?i)IMPS-[A-Z]*-?(\d+)-([^-]+)", r"(?i)IMPS/[^/]+/(\d+)/([^/]+)"]),
+    ("CASH", [r"(?i)CASH\s+(?:DEPOSIT|WITHDRAWAL|DEP|WDL)\s+(.*)", r"(?i)CASH\s+(.*)"]),
+]
+
+# Patterns of two kinds of statements.
+STATEMENT_UPI = r"UPI/([A-Z]+)/(\d+)/([^/]+)/([^/]+)/([^/]+)"
+STATEMENT_WIRE = r"(?:NEFT|RTGS)/([^/]+)/([^/]+)/([^/]+)"
+STATEMENT_PERSON = r"(?:OF|of)\s+(?:Mr|Mrs|Ms|Miss|MR|MRS|MS)?\s*\.?\s*([A-Z][A-Z\s]+)"
+CARD_WORDS = ("POS", "ATM", "PURCH", "OTHPG", "SBIPG", "DBTPG")
+SBI_UPI = r"^(WDL|DEP) TFR\s+UPI/(DR|CR)/([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^\s/]+)"
+SBI_POS = r"^POS ATM PURCH\s+(\S+)\s+(\S+)\s+(.*)$"
+SBI_ATM = r"^ATM WDL\s+ATM CASH\s+(.*)$"
+SBI_INB = r"^WDL TFR\s+INB\s+(.*?)(?:\.\.\.|\s+AT\s+\d+)"
+SBI_CDM = r"^CEMTEX DEP\s+(\S+)"
+
 # Segments of a description that name no one.
 NOISE_SEGMENTS = ["UPI", "IMPS", "NEFT", "RTGS", "ACH", "NACH", "CREDIT", "DEBIT", "PAYMENT", "TRANSFER", "BANK", "AXIS BANK", "HDFC BANK", "SBI", "ICICI", "YES BANK", "KOTAK", "WDL", "TFR", "POS", "MB"]
 

@@ -36,24 +36,24 @@ FROM events
 #: Bank-style descriptions of many shapes.
 LINES = """
 SELECT id, user_id, name, CASE id % 20
-  WHEN 0 THEN concat('WDL TFR UPI/DR/', CAST(600000000000 + id AS STRING), '/', name, '/SBIN/', lower(name), CAST(id % 97 AS STRING), '/Paym')
-  WHEN 1 THEN concat('POS ATM PURCH OTHPG ', CAST(3155010000 + id AS STRING), ' ', CAST(id % 90 + 10 AS STRING), 'Pho*', name, ' RECHARGE BANGALORE')
-  WHEN 2 THEN concat('ATM WDL ATM CASH ', CAST(id % 9000 + 1000 AS STRING), ' SP OFFICE DARGAMITTA, NELLORE')
-  WHEN 3 THEN concat('WDL TFR INB ', name, ' Seller Services AT 04413 PBB NELLORE')
-  WHEN 4 THEN 'CASH DEPOSIT SELF AT 04413 PBB NELLORE'
-  WHEN 5 THEN concat('CEMTEX DEP ', CAST(10000000 + id AS STRING), ' 040623 ', name, ' RECHARGE')
-  WHEN 6 THEN concat('NEFT/', CAST(id AS STRING), '/', name, '/HDFC/x')
-  WHEN 7 THEN concat('DEP TFR SBIY', CAST(id AS STRING), 'O6924 OF Mr ', upper(name), ' RAO MO')
-  WHEN 8 THEN concat('UPI-', upper(name), '-', CAST(id AS STRING), '@ybl')
+  WHEN 0 THEN concat('WDL TFR UPI/DR/', CAST(600000000000 + id AS STRING), '/', name, '/BNKA/', lower(name), CAST(id % 97 AS STRING), '/Appx')
+  WHEN 1 THEN concat('POS ATM PURCH OTHPG ', CAST(4400000000 + id AS STRING), ' ', CAST(id % 90 + 10 AS STRING), 'Sto*', name, ' COUNTER RIVERTON')
+  WHEN 2 THEN concat('ATM WDL ATM CASH ', CAST(id % 9000 + 1000 AS STRING), ' MQ HILL ROAD, EASTPORT')
+  WHEN 3 THEN concat('WDL TFR INB ', name, ' Web Store AT 07741 HILL EASTPORT')
+  WHEN 4 THEN 'CASH DEPOSIT SELF AT 07741 HILL EASTPORT'
+  WHEN 5 THEN concat('CEMTEX DEP ', CAST(10000000 + id AS STRING), ' 111111 ', name, ' COUNTER')
+  WHEN 6 THEN concat('NEFT/', CAST(id AS STRING), '/', name, '/BNKB/x')
+  WHEN 7 THEN concat('DEP TFR BNKX', CAST(id AS STRING), 'Q7731 OF Mr ', upper(name), ' FIELD MO')
+  WHEN 8 THEN concat('UPI-', upper(name), '-', CAST(id AS STRING), '@bnka')
   WHEN 9 THEN concat('IMPS-ABC-', CAST(id AS STRING), '-', name, '-done')
-  WHEN 10 THEN concat(name, ' order #', CAST(id AS STRING), '-77 TXN_', CAST(id AS STRING))
+  WHEN 10 THEN concat(name, ' order #', CAST(id AS STRING), '-31 TXN_', CAST(id AS STRING))
   WHEN 11 THEN concat('UPI/PAYTM/', CAST(100000 + id AS STRING), '/', name, '/bank')
-  WHEN 12 THEN concat('payment 14/02/2026 INR 500.00 to ', name, ' 2026-02-14')
+  WHEN 12 THEN concat('payment 03/11/2025 INR 75.50 to ', name, ' 2025-11-03')
   WHEN 13 THEN concat('salary credited by ', name)
   WHEN 14 THEN concat('DEP TFR VISA-IN-RMT:', CAST(300000000000 + id AS STRING), upper(name))
-  WHEN 15 THEN concat('WDL TFR UPVDR/', CAST(600000000000 + id AS STRING), '/', upper(name), './FDRL/bha')
-  WHEN 16 THEN concat('Contact ', lower(name), '@company.com or 555.123.', CAST(1000 + id % 9000 AS STRING))
-  WHEN 17 THEN concat('NEFT-SBIN000', CAST(id % 10000 AS STRING), '-RENT ', name)
+  WHEN 15 THEN concat('WDL TFR UPVDR/', CAST(600000000000 + id AS STRING), '/', upper(name), './BNKC/xyz')
+  WHEN 16 THEN concat('Contact ', lower(name), '@example.org or 555.867.', CAST(1000 + id % 9000 AS STRING))
+  WHEN 17 THEN concat('NEFT-BNKA000', CAST(id % 10000 AS STRING), '-RENT ', name)
   WHEN 18 THEN ''
   ELSE concat('Unknown   Store ', name, ' ', CAST(id AS STRING)) END AS description
 FROM (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 17

@@ -36,7 +36,7 @@ def listed_sql(x: str, listing, whole_to: int = 0) -> str:
 
 
 def merchant_sql(x: str) -> str:
-    name = f"trim(regexp_replace(trim(regexp_extract(lower({x}), {q(T.P2P_NAME)}, 1)), '[0-9._-]+$', ''))"
+    name = f"trim(regexp_replace(trim(regexp_extract(lower({x}), {q(V.P2P_NAME)}, 1)), '[0-9._-]+$', ''))"
     rest = chain_sql(f"lower({x})", [(f"(?i){p}", " ") for p in V.MERCHANT_NOISE] + [(r"[^a-zA-Z\s]", " "), (r"\s+", " ")])
     return f"CASE WHEN {x} = '' THEN '' ELSE coalesce({listed_sql(f'lower({x})', V.MERCHANTS)}, CASE WHEN length({name}) > 2 AND NOT regexp_matches({name}, '^\\d+$') THEN {title_sql(name)} END, {title_sql(f'trim({rest})')}) END"
 
@@ -59,22 +59,22 @@ def mer02_brand(spark, d):
     return adapted(spark, d, "lines").select("id", E.brand(F.col("name"), F.col("description")).alias("brand"))
 
 
-@query(f"SELECT id, trim({chain_sql('upper(description)', T.CLEAN_STEPS)}) AS cleaned FROM {_X}")
+@query(f"SELECT id, trim({chain_sql('upper(description)', V.CLEAN_STEPS)}) AS cleaned FROM {_X}")
 def cln01_clean_description(spark, d):
     return adapted(spark, d, "lines").select("id", T.clean_description("description").alias("cleaned"))
 
 
-@query(f"SELECT id, trim({chain_sql('description', T.DETAIL_STEPS)}) AS cleaned FROM {_X}")
+@query(f"SELECT id, trim({chain_sql('description', V.DETAIL_STEPS)}) AS cleaned FROM {_X}")
 def cln02_clean_details(spark, d):
     return adapted(spark, d, "lines").select("id", T.clean_details("description").alias("cleaned"))
 
 
-@query(f"SELECT id, {chain_sql('lower(trim(description))', T.GROUP_STEPS)} AS grouped FROM {_X}")
+@query(f"SELECT id, {chain_sql('lower(trim(description))', V.GROUP_STEPS)} AS grouped FROM {_X}")
 def cln03_group_key(spark, d):
     return adapted(spark, d, "lines").select("id", T.group_key("description").alias("grouped"))
 
 
-@query(f"SELECT grouped, count(*) AS n, min(id) AS first_id FROM (SELECT id, {chain_sql('lower(trim(description))', T.GROUP_STEPS)} AS grouped FROM {_X}) GROUP BY 1")
+@query(f"SELECT grouped, count(*) AS n, min(id) AS first_id FROM (SELECT id, {chain_sql('lower(trim(description))', V.GROUP_STEPS)} AS grouped FROM {_X}) GROUP BY 1")
 def agg17_groups(spark, d):
     keyed = adapted(spark, d, "lines").select("id", T.group_key("description").alias("grouped"))
     return keyed.groupBy("grouped").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
@@ -114,7 +114,7 @@ def cat04_salary_guard(spark, d):
     return adapted(spark, d, "lines").select("id", T.salary_guard(F.lit("Salary"), "description").alias("category"))
 
 
-@query(f"WITH k AS (SELECT id, {chain_sql('lower(trim(description))', T.GROUP_STEPS)} AS g FROM {_X}) SELECT id, coalesce({listed_sql('g', V.KEYWORD_RULES, 4)}, 'none') AS category FROM k")
+@query(f"WITH k AS (SELECT id, {chain_sql('lower(trim(description))', V.GROUP_STEPS)} AS g FROM {_X}) SELECT id, coalesce({listed_sql('g', V.KEYWORD_RULES, 4)}, 'none') AS category FROM k")
 def joi04_classify_distinct(spark, d):
     df = adapted(spark, d, "lines").select("id", "description")
     return L.classify_distinct(df, "description", T.group_key("description"), lambda k: F.coalesce(T.keyword_category(k), F.lit("none"))).select("id", "category")
@@ -153,6 +153,6 @@ def ext03_sbi_details(spark, d):
     return adapted(spark, d, "lines").withColumn("x", E.sbi_details("description")).select("id", *_flat(F.col("x"), "merchant", "clean_description", "type"), F.to_json("x.meta").alias("meta"))
 
 
-@query(f"SELECT id, CASE WHEN length(name) > 4 THEN name ELSE trim({chain_sql('description', T.DETAIL_STEPS)}) END AS best FROM {_X}")
+@query(f"SELECT id, CASE WHEN length(name) > 4 THEN name ELSE trim({chain_sql('description', V.DETAIL_STEPS)}) END AS best FROM {_X}")
 def ext04_best_name(spark, d):
     return adapted(spark, d, "lines").select("id", E.best_name(F.when(F.length("name") > 4, F.col("name")).otherwise(""), F.col("description")).alias("best"))
