@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run() writes each result as
 Parquet in the shared folder and reads it again for the next. All stages but the last return the columns of documents.
-SQL can't express the stages, so ORACLE_SQL is None and tests hold each against a brute-force version.
+SQL can't express the stages, so ORACLE_SQL is None; tests hold each stage's rows against a plain version of it.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import dart_minhash, gear_dedup, packing, quality_rff, wu_manber
-from ledgerloom.llm.shared import documents, materialize
+from ledgerloom.llm.shared import documents, fresh_path, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +46,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs

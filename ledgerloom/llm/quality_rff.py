@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .shared import map_slices, materialize
+from .shared import free_names, map_slices, materialize
 from .textops import Words, crc32_mod, text_bytes
 
 FEATURES, SEED, WIDTH, RIDGE, BINS = 256, 7, 1.5, 1.0, 4096
@@ -69,14 +70,16 @@ def statistics(data: np.ndarray, ofs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
+
+
 def statistics_table(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) for each row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = statistics(*text_bytes(batch.column("text")))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "stats"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(statistics(*text_bytes(batch.column("text"))))], ["doc_id", "stats"])
 
     return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, stats array<double>")
 
@@ -204,11 +207,16 @@ def fit(labelled: DataFrame, ridge: float = RIDGE) -> Model:
     return Model(fourier, beta, isotonic(sx / k, sy / k, k))
 
 
+def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stats, y) of the labels that may be learned from."""
+    own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & (crc32_mod("__id", HELD_MOD) != HELD))
+    return stats.join(own, F.col("doc_id") == F.col("__id")).select("stats", "y")
+
+
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. Labels of held-out ids are never seen."""
     stats = materialize(statistics_table(docs), "rff-stats")
-    own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & (crc32_mod("__id", HELD_MOD) != HELD))
-    model = fit(stats.join(own, F.col("doc_id") == F.col("__id")).select("stats", "y"))
+    model = fit(_labelled(stats, labels))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +229,23 @@ def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs whose text scores at least the threshold: a filter that scores the texts where they are."""
-    stats = materialize(statistics_table(docs.where("doc_id is not null")), "rff-stats")
-    own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & (crc32_mod("__id", HELD_MOD) != HELD))
-    model = fit(stats.join(own, F.col("doc_id") == F.col("__id")).select("stats", "y"))
+    """docs whose text scores at least the threshold.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(model.score(statistics(*text_bytes(batch.column("text")))) >= threshold))
+    The rows are written once along with their statistics, so that no text is read twice by Python and none is shuffled.
+    """
+    (name,) = free_names(docs, "stats")
+
+    def put(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column(name, _lists(statistics(*text_bytes(batch.column("text")))))
+
+    wide = materialize(map_slices(docs, put, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])), "rff-documents")
+    model = fit(_labelled(wide.select("doc_id", F.col(name).alias("stats")), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.schema.get_field_index(name)
+                good = model.score(_stats(batch.column(at))) >= threshold
+                yield batch.select([c for c in batch.schema.names if c != name]).filter(pa.array(good))
 
-    return map_slices(docs, run, docs.schema)
+    return wide.mapInArrow(run, docs.schema)

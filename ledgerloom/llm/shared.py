@@ -4,30 +4,30 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import staging
+
 SLICE_BYTES = 2 << 20
 #: Spark contexts that have the package.
 _SHIPPED: list = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Folders made since the innermost temporary() began, for it to remove.
+_MADE: list[list[str]] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    path = staging.fresh_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +37,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the folders that were made in it: for results that are written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _MADE.pop():
+            at = fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for columns beside those of df, in which case doesn't count."""
     taken = {c.lower() for c in df.columns}
