@@ -7,7 +7,8 @@ words themselves are compared. The words of a batch of texts are searched in man
 its own shifts.
 
 Test items are read in blocks of at most `block_bytes` of text; each block is sent to the executors by itself and
-searched in a pass of its own, so a larger test set costs more passes and no more memory.
+searched in a pass of its own, which is written before the next begins, so a larger test set costs more passes and no
+more memory.
 
 Null texts have no words; items without words or without an id have no windows. Items that repeat count once per id.
 Rows of documents come out one for one, also repeated ones and those without an id. Extra columns are ignored.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_slices
+from .shared import fresh_path, map_slices, materialize
 from .textops import LOWER, U, Words, mix, text_bytes
 
 WINDOW = 10
@@ -120,9 +121,14 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-2 * total // block_bytes) if total > block_bytes else 1
+    if n == 1:
+        yield [(r["item"], r["text"]) for r in items.collect()]
+        return
+    path = fresh_path(items.sparkSession, "wm-items")
+    items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n))).write.partitionBy("block").parquet(path)
+    dealt = items.sparkSession.read.schema("item string, text string, block long").parquet(path)
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+        yield [(r["item"], r["text"]) for r in dealt.where(F.col("block") == b).select("item", "text").collect()]
 
 
 def _scan(tables, last: bool):
@@ -169,14 +175,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         following = next(blocks, None)
         if following is None:
             return map_slices(df, _scan(matchers(block, window), True), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<long>, item_ids array<string>")
-        df = map_slices(df, _scan(matchers(block, window), False), f"doc_id {kind}, text string, spans array<long>, items array<string>")
+        df = materialize(map_slices(df, _scan(matchers(block, window), False), f"doc_id {kind}, text string, spans array<long>, items array<string>"), "wm-pass")
         block = following
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold an occurrence of a window of a test item: a filter without any shuffle."""
     df = docs
-    for block in item_blocks(benchmark, block_bytes):
+    for i, block in enumerate(item_blocks(benchmark, block_bytes)):
+        df = materialize(df, "wm-pass") if i else df
         tables = matchers(block, window)
 
         def run(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
