@@ -80,7 +80,46 @@ def agg17_groups(spark, d):
     return keyed.groupBy("grouped").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-@query()
+# What each kind of line should give is written down by kind (id % 20), apart from names that are looked up in lists.
+
+
+def words_sql(x: str) -> str:
+    """Each word with its first letter large, blanks squeezed."""
+    return f"array_to_string(list_transform(list_filter(string_split(lower({x}), ' '), lambda w: w <> ''), lambda w: upper(w[1:1]) || w[2:]), ' ')"
+
+
+def by_kind(kinds: dict[int, str], rest: str) -> str:
+    return "CASE id % 20 " + " ".join(f"WHEN {k} THEN {v}" for k, v in kinds.items()) + f" ELSE {rest} END"
+
+
+_NAME = words_sql("name")
+_READ = by_kind(
+    {
+        0: _NAME,
+        1: "'Sto' || lower(name) || ' Counter Riverton'",
+        2: "'ATM Withdrawal'",
+        3: f"{_NAME} || ' Web Store'",
+        4: "'Cash Deposit'",
+        5: f"{_NAME} || ' Counter'",
+        6: _NAME,
+        7: f"'Bnkx Q Of Mr ' || {_NAME} || ' Field Mo'",
+        8: f"{_NAME} || ' Bnka'",
+        9: f"'Abc ' || {_NAME} || ' Done'",
+        10: f"{_NAME} || ' Order Txn'",
+        11: "'Paytm'",
+        12: "'Payment 03'",
+        13: f"'Salary Credited By ' || {_NAME}",
+        15: _NAME,
+        16: f"'Contact ' || {_NAME} || ' Example Org Or'",
+        17: f"'Bnka Rent ' || {_NAME}",
+        18: "'Imported transaction'",
+        19: f"'Unknown Store ' || {_NAME}",
+    },
+    "'?'",
+)
+
+
+@query(f"SELECT id, coalesce({listed_sql('lower(description)', V.MERCHANTS)}, {_READ}) AS title FROM {_X}")
 def cln04_readable(spark, d):
     return adapted(spark, d, "lines").select("id", T.readable("description").alias("title"))
 
@@ -129,7 +168,19 @@ def _flat(col, *names):
     return [F.coalesce(col[n], F.lit("")).alias(n) for n in names]
 
 
-@query()
+def _entity(x: str) -> str:
+    """A merchant, or else the text as a title."""
+    return f"coalesce(nullif({merchant_sql(x)}, ''), {title_sql(x)})"
+
+
+_NUMBER, _SHOP = "CAST(4400000000 + id AS VARCHAR)", "CAST(id % 90 + 10 AS VARCHAR) || 'Sto*' || name || ' COUNTER RIVERTON'"
+_KIND1 = by_kind({0: "'UPI'", 1: "'POS'", 2: "'ATM'", 3: "'INB'", 4: "'CASH'", 9: "'IMPS'", 11: "'UPI'", 17: "'NEFT'"}, "''")
+_ENTITY1 = by_kind({0: _entity("name"), 1: _entity(f"('ATM PURCH OTHPG ' || {_NUMBER} || ' ' || {_SHOP})"), 2: "'ATM Withdrawal'", 3: _entity("(name || ' Web Store AT 07741 HILL EASTPORT')"), 4: "'Cash Transaction'", 9: title_sql("name"), 11: _entity("name"), 17: title_sql("'RENT ' || name")}, merchant_sql("description"))
+_REF1 = by_kind({0: "CAST(600000000000 + id AS VARCHAR)", 9: "CAST(id AS VARCHAR)", 11: "CAST(100000 + id AS VARCHAR)", 17: "'000' || CAST(id % 10000 AS VARCHAR)"}, "''")
+_PLACE1 = by_kind({1: "'RIVERTON'", 2: "'ATM CASH ' || CAST(id % 9000 + 1000 AS VARCHAR) || ' MQ HILL ROAD, EASTPORT'", 4: "'SELF AT 07741 HILL EASTPORT'"}, "''")
+
+
+@query(f"SELECT id, {_KIND1} AS method, {_ENTITY1} AS entity, {_REF1} AS reference, {_PLACE1} AS location FROM {_X}")
 def ext01_method_details(spark, d):
     return adapted(spark, d, "lines").withColumn("x", E.method_details("description")).select("id", *_flat(F.col("x"), "method", "entity", "reference", "location"))
 
@@ -143,12 +194,58 @@ def ext02_upi(spark, d):
     return x.select("id", *_flat(F.col("x"), "ref", "entity"), F.col("x.meta")["bank"].alias("bank"), F.col("x.meta")["upi_id"].alias("upi_id"))
 
 
-@query()
+_KIND2 = by_kind({0: "'UPI'", 1: "'POS'", 2: "'ATM'", 3: "'INB'", 4: "'CASH'", 5: "'CASH'", 6: "'NEFT'", 7: "'TRANSFER'", 14: "'TRANSFER'", 15: "'TRANSFER'"}, "'OTHERS'")
+_ENTITY2 = by_kind({0: "name", 1: "name || ' COUNTER'", 3: "name || ' Web Store'", 6: "name", 7: "upper(name) || ' FIELD'"}, "''")
+_REF2 = by_kind({0: "CAST(600000000000 + id AS VARCHAR)", 1: _NUMBER, 2: "CAST(id % 9000 + 1000 AS VARCHAR) || ' MQ'", 6: "CAST(id AS VARCHAR)"}, "''")
+_PLACE2 = by_kind({1: "'RIVERTON'", 2: "'HILL ROAD, EASTPORT'", 4: "'07741 HILL EASTPORT'"}, "''")
+_TYPE2 = by_kind({4: "'DEPOSIT'", 5: "'DEPOSIT'", 7: "'CREDIT'", 14: "'CREDIT'"}, "'DEBIT'")
+_META2 = by_kind({0: """'{"bank":"BNKA","upi_id":"' || lower(name) || CAST(id % 97 AS VARCHAR) || '","app":"Appx"}'""", 6: """'{"bank":"BNKB"}'"""}, "'{}'")
+
+
+@query(f"SELECT id, {_KIND2} AS method, {_ENTITY2} AS entity, {_REF2} AS ref, {_PLACE2} AS location, {_TYPE2} AS type, {_META2} AS meta FROM {_X}")
 def ext02_statement_details(spark, d):
     return adapted(spark, d, "lines").withColumn("x", E.statement_details("description")).select("id", *_flat(F.col("x"), "method", "entity", "ref", "location", "type"), F.to_json("x.meta").alias("meta"))
 
 
-@query()
+def _brand(x: str) -> str:
+    tight = f"replace(lower({x}), ' ', '')"
+    return f"coalesce({listed_sql(tight, V.SBI_BRANDS)}, {listed_sql(f'lower({x})', V.SBI_BRANDS)})"
+
+
+_PAYEE = f"coalesce({_brand("name || ' ' || lower(name) || CAST(id % 97 AS VARCHAR) || ' Appx'")}, name)"
+_BOUGHT = f"coalesce({_brand("name || ' COUNTER ' || CAST(id % 90 + 10 AS VARCHAR) || 'Sto*' || name || ' COUNTER'")}, name || ' COUNTER')"
+_ONLINE = f"coalesce({_brand("name || ' Web Store'")}, name || ' Web Store')"
+_ANY = _brand("description")
+_DEP, _WDL = _brand("substr(description, 9)"), _brand("substr(description, 9)")
+_MERCHANT3 = by_kind({0: _PAYEE, 1: _BOUGHT, 2: "'ATM Withdrawal'", 3: _ONLINE, 4: "'Self Deposit'", 5: f"coalesce({_ANY}, 'Cash Deposit Machine')", 7: f"coalesce({_DEP}, 'Unknown')", 14: f"coalesce({_DEP}, 'Unknown')", 15: f"coalesce({_WDL}, 'Unknown')"}, "'Unknown'")
+_SAID3 = by_kind(
+    {
+        0: f"'UPI Transfer to ' || {_PAYEE}",
+        1: f"'POS Purchase at ' || {_BOUGHT} || ' (RIVERTON)'",
+        2: "'ATM Cash Withdrawal at HILL ROAD, EASTPORT'",
+        3: f"'Online Transfer to ' || {_ONLINE}",
+        4: "'Cash Deposit at 07741 HILL EASTPORT'",
+        5: f"coalesce('CDM Deposit via ' || {_ANY}, 'CDM Deposit') || ' (Ref: ' || CAST(10000000 + id AS VARCHAR) || ')'",
+        7: f"coalesce('Refund from ' || {_DEP}, description)",
+        14: f"coalesce('Refund from ' || {_DEP}, description)",
+        15: f"coalesce('Payment to ' || {_WDL}, description)",
+    },
+    "description",
+)
+_TYPE3 = by_kind({0: "'upi'", 1: "'pos'", 2: "'atm'", 3: "'inb'", 4: "'cash_deposit'", 5: "'cash_deposit'", **{k: f"CASE WHEN {_DEP} IS NULL THEN 'unknown' ELSE 'upi' END" for k in (7, 14, 15)}}, "'unknown'")
+_META3 = by_kind(
+    {
+        0: """'{"utr":"' || CAST(600000000000 + id AS VARCHAR) || '","bank":"BNKA","mode":"DR","app":"Appx"}'""",
+        1: f"""'{{"ref":"' || {_NUMBER} || '","location":"RIVERTON","gateway":"OTHPG"}}'""",
+        2: """'{"atmId":"' || CAST(id % 9000 + 1000 AS VARCHAR) || ' MQ","location":"HILL ROAD, EASTPORT"}'""",
+        4: """'{"branch":"07741 HILL EASTPORT"}'""",
+        5: """'{"ref":"' || CAST(10000000 + id AS VARCHAR) || '"}'""",
+    },
+    "'{}'",
+)
+
+
+@query(f"SELECT id, {_MERCHANT3} AS merchant, {_SAID3} AS clean_description, {_TYPE3} AS type, {_META3} AS meta FROM {_X}")
 def ext03_sbi_details(spark, d):
     return adapted(spark, d, "lines").withColumn("x", E.sbi_details("description")).select("id", *_flat(F.col("x"), "merchant", "clean_description", "type"), F.to_json("x.meta").alias("meta"))
 
