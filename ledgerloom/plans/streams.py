@@ -38,3 +38,33 @@ def str03_dedup(spark, d):
 def str_daily_spend(spark, d):
     out = _run(spark, I.daily_spend(_stream(spark, d), "ts", "1 day"))
     return out.select("user_id", "date", F.col("spend").cast("decimal(18,2)").alias("spend"), F.col("income").cast("decimal(18,2)").alias("income"))
+
+
+_ENDS = "(SELECT max(epoch_us(ts)) FROM events) - 60000000"
+
+
+@query(f"""WITH w AS (SELECT user_id, CAST(floor(epoch_us(ts) / 10000000.0) AS BIGINT) * 10 - 10 * k AS start FROM events, range(6) r(k)) SELECT user_id, start, count(*) AS n FROM w WHERE (start + 60) * 1000000 <= {_ENDS} GROUP BY 1, 2""")
+def str07_request_rate(spark, d):
+    return _run(spark, I.request_rate(_stream(spark, d), "ts")).select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
+@query(f"SELECT user_id, category, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS total FROM {duck('moves')} GROUP BY 1, 2")
+def str08_category_totals(spark, d):
+    folder = _folder(spark)
+    totals = I.category_totals(_stream(spark, d))
+    # complete output: each batch has all totals
+    totals.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(totals.schema).parquet(f"{folder}/out").withColumn("total", F.col("total").cast("decimal(18,2)"))
+
+
+@query(f"SELECT min(id) AS id, user_id, category FROM {duck('moves')} GROUP BY 2, 3")
+def str01_ingest(spark, d):
+    folder = _folder(spark)
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("category"))
+    first = events.groupBy("user_id", "category").agg(F.min("id").alias("first"))
+    early = events.join(first.where("user_id % 2 = 0"), ["user_id", "category"], "left_semi")
+    # two deliveries, of which the second repeats the first; each run takes up where the last one ended
+    for part in (early, events):
+        part.write.mode("append").parquet(f"{folder}/in")
+        I.ingest(spark, f"{folder}/in", events.schema, f"{folder}/ledger", f"{folder}/state", ["user_id", "category"], "id").awaitTermination()
+    return spark.read.parquet(f"{folder}/ledger")
