@@ -6,8 +6,10 @@ taken apart into bit planes (or byte planes): plane p holds bit p of every id, p
 compressed with zstandard by itself. The index lists, per chunk, its place, number of ids and plane sizes, and, per
 document, doc_id and number of ids, in file order.
 
-Documents are dealt by ranges of doc_id, so that files and the documents in them ascend. Each file is written under a
-temporary name and renamed, so a task that runs again leaves the same file. Ids go through files in the shared folder.
+Documents are dealt by ranges of doc_id, so that files and the documents in them ascend. A task begins another file after
+`FILE_IDS` ids or `FILE_DOCS` documents, so that no index outgrows memory. Each file is written under a temporary name and
+renamed, so a task that runs again leaves the same files. Ids go through files in the shared folder. What stands in a
+file, and so where its documents start, is read from its index.
 
 Null text counts as empty: the end id alone. Null doc_ids come first. Repeated rows are written each; rows of one
 doc_id stand in the order of their text's hash. Extra columns are ignored. An empty table gives no file and no row.
@@ -30,7 +32,7 @@ from .shared import fresh_path, materialize, slices
 from .tokenization import encoder, public_path
 
 MAGIC = b"LLBP0001"
-BLOCK = 1 << 16
+BLOCK, FILE_IDS, FILE_DOCS = 1 << 16, 1 << 28, 1 << 20
 
 
 def planes(ids: np.ndarray, unit: str = "bit") -> list[bytes]:
@@ -63,9 +65,11 @@ class Writer:
         self.at = file.write(MAGIC)
         self.chunks: list[list] = []
         self.docs: list[tuple[int | None, int]] = []
+        self.n_ids = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id, len(ids) // 4))
+        self.n_ids += len(ids) // 4
         self.waiting.append(np.frombuffer(ids, "<u4"))
         self.n_waiting += len(ids) // 4
         if self.n_waiting >= self.block:
@@ -132,48 +136,64 @@ def _open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1) if uri.startswith("file:") else uri)
 
 
-def _write(folder: str, path: str, end_id: int, block: int, unit: str):
+def _write(folder: str, path: str, end_id: int, block: int, unit: str, file_ids: int, file_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        enc, end, out, n = encoder(path), end_id.to_bytes(4, "little"), None, 0
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        enc, end = encoder(path), end_id.to_bytes(4, "little")
         where, root = _open_fs(folder)
-        name = f"{root}/part-{part:06d}.llbp"
-        temporary = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+        out, name, nth = None, "", 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            where.move(f"{root}/{name}.{attempt}.tmp", f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([nth], pa.int64()), pa.array([f"{folder}/{name}"])], ["part", "nth", "file"])
+
         for batch in slices(batches):
-            if out is None:
-                where.create_dir(root, recursive=True)
-                out = Writer(where.open_output_stream(temporary), block, unit)
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.ids(batch.column("text").to_pylist()), strict=True):
+                if out is not None and (out.n_ids >= file_ids or len(out.docs) >= file_docs):
+                    yield done()
+                    out, nth = None, nth + 1
+                if out is None:
+                    where.create_dir(root, recursive=True)
+                    name = f"part-{part:06d}-{nth:04d}.llbp"
+                    out = Writer(where.open_output_stream(f"{root}/{name}.{attempt}.tmp"), block, unit)
                 out.add(doc, ids + end)
-                n += len(ids) // 4 + 1
         if out is not None:
-            docs = len(out.docs)
-            out.close()
-            where.move(temporary, name)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/part-{part:06d}.llbp"]), pa.array([docs], pa.int64()), pa.array([n], pa.int64())], ["part", "file", "n_docs", "n_ids"])
+            yield done()
 
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, block: int = BLOCK, unit: str = "bit", files: int | None = None) -> DataFrame:
-    """Writes docs' ids in ascending doc_id order; the manifest: part, file, n_docs, n_ids, base (ids in files before)."""
+def write_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, block: int = BLOCK, unit: str = "bit", files: int | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Writes docs' ids in ascending doc_id order; the files in their order: part, nth (of the part), file."""
     spark = docs.sparkSession
     path = tokenizer_path or public_path("byte_bpe_50k.json")
     folder = fresh_path(spark, "bitplanes")
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__tie", F.xxhash64("text"))
     dealt = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__tie").drop("__tie")
-    manifest = materialize(dealt.mapInArrow(_write(folder, path, end_id, block, unit), "part long, file string, n_docs long, n_ids long"), "manifest")
-    # one row per file
-    rows, base, out = sorted(manifest.collect()), 0, []
-    for r in rows:
-        out.append((r["part"], r["file"], r["n_docs"], r["n_ids"], base))
-        base += r["n_ids"]
-    return spark.createDataFrame(out, "part long, file string, n_docs long, n_ids long, base long")
+    return materialize(dealt.mapInArrow(_write(folder, path, end_id, block, unit, file_ids, file_docs), "part long, nth long, file string"), "files")
+
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of ids in each file, by its index."""
+    for batch in batches:
+        n = []
+        for file in batch.column("file").to_pylist():
+            where, name = _open_fs(file)
+            with where.open_input_file(name) as f:
+                n.append(sum(x for _, x, _ in Reader(f).chunks))
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("nth"), batch.column("file"), pa.array(n, pa.int64())], ["part", "nth", "file", "n"])
 
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+
+def read_ids(files: DataFrame) -> DataFrame:
+    """Per document, from the files (part, nth, file): doc_id, start, n_tokens, ids_crc32."""
+    # one row per file
+    base, placed = 0, []
+    for r in sorted(files.mapInArrow(_totals, "part long, nth long, file string, n long").collect()):
+        placed.append((r["file"], base))
+        base += r["n"]
+    manifest = files.sparkSession.createDataFrame(placed, "file string, base long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +210,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(max(1, len(placed)), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
