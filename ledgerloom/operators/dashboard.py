@@ -18,6 +18,12 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+def _in_months(date: str, as_of: Column, n: int = 1) -> Column:
+    """Whether the date lies in the month of as_of or the n - 1 before: a range, so that scans can skip by statistics."""
+    this = F.trunc(as_of, "month")
+    return (F.col(date) >= F.add_months(this, 1 - n)) & (F.col(date) < F.add_months(this, 1))
+
+
 def weekday_spend(df: DataFrame, date: str = "transaction_date") -> DataFrame:
     """AGG-03: Sunday (0) to Saturday, also those without spend."""
     sums = df.where("amount < 0").groupBy((F.dayofweek(date) - 1).alias("weekday")).agg(F.sum(-F.col("amount")).alias("spend"))
@@ -32,11 +38,9 @@ def percent_change(now: Column, before: Column) -> Column:
 
 def month_over_month(df: DataFrame, as_of: Column, date: str = "transaction_date") -> DataFrame:
     """AGG-04"""
-    month, this = F.trunc(date, "month"), F.trunc(as_of, "month")
-    s = df.where("amount < 0").agg(
-        _zero(F.sum(F.when(month == this, -F.col("amount")))).alias("current"),
-        _zero(F.sum(F.when(month == F.add_months(this, -1), -F.col("amount")))).alias("previous"),
-    )
+    this = F.trunc(as_of, "month")
+    two = df.where(_in_months(date, as_of, 2) & (F.col("amount") < 0))
+    s = two.agg(_zero(F.sum(F.when(F.col(date) >= this, -F.col("amount")))).alias("current"), _zero(F.sum(F.when(F.col(date) < this, -F.col("amount")))).alias("previous"))
     return s.select("current", "previous", percent_change(F.col("current").cast("double"), F.col("previous").cast("double")).alias("pct"))
 
 
@@ -74,7 +78,7 @@ def period_average(df: DataFrame, as_of: Column, period: str = "month", date: st
     """AGG-09: total spend of the period, and by active week of the month or active day of the last seven."""
     day = F.to_date(date)
     if period == "month":
-        own, active = df.where(F.trunc(day, "month") == F.trunc(as_of, "month")), F.countDistinct(F.when(F.col("amount") < 0, week_of_month(date)))
+        own, active = df.where(_in_months(date, as_of)), F.countDistinct(F.when(F.col("amount") < 0, week_of_month(date)))
     else:
         own, active = df.where((day > F.date_sub(as_of, 7)) & (day <= as_of)), F.countDistinct(F.when(F.col("amount") < 0, day))
     s = own.agg(_zero(F.sum(spent())).alias("total"), active.alias("active"))
@@ -91,7 +95,7 @@ def seven_days(df: DataFrame, as_of: Column, date: str = "transaction_date") ->
 
 def month_weeks(df: DataFrame, as_of: Column, date: str = "transaction_date") -> DataFrame:
     """AGG-10: spend of W1 to W5 of the month."""
-    sums = df.where((F.trunc(date, "month") == F.trunc(as_of, "month")) & (F.col("amount") < 0)).groupBy(week_of_month(date).alias("w")).agg(F.sum(-F.col("amount")).alias("spend"))
+    sums = df.where(_in_months(date, as_of) & (F.col("amount") < 0)).groupBy(week_of_month(date).alias("w")).agg(F.sum(-F.col("amount")).alias("spend"))
     weeks = df.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("w"))
     return weeks.join(sums, "w", "left").select(F.concat(F.lit("W"), F.col("w").cast("string")).alias("week"), _zero(F.col("spend")).alias("spend"))
 

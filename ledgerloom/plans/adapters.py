@@ -83,5 +83,5 @@ def duck(name: str) -> str:
 
 
 def last_day(df: DataFrame, date: str = "transaction_date"):
-    """The last day of a ledger as a literal: it stands for today."""
-    return F.lit(df.agg(F.max(F.to_date(date))).first()[0]).cast("date")
+    """The last day of a ledger, as a subquery of one row: it stands for today."""
+    return df.agg(F.max(F.to_date(date)).alias("last")).scalar()
