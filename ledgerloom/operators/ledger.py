@@ -140,6 +140,11 @@ def recent(df: DataFrame, n: int = 50, date: str = "transaction_date", key: str
     return df.orderBy(F.desc(date), F.desc(key)).limit(n)
 
 
+def visible_prefix(df: DataFrame, n: int, date: str = "transaction_date", key: str = "id") -> DataFrame:
+    """WIN-07: the first n rows of the months, newest first, with their month."""
+    return recent(df, n, date, key).withColumn("month", F.date_format(date, "yyyy-MM"))
+
+
 def page_after(df: DataFrame, last_date, last_key, n: int, date: str = "transaction_date", key: str = "id") -> DataFrame:
     """TOP-06: the page after a (date, id), newest first."""
     return recent(df.where((F.col(date) < last_date) | ((F.col(date) == last_date) & (F.col(key) < last_key))), n, date, key)
@@ -172,12 +177,22 @@ def correction_rows_by_category(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(column).alias("corrected_category", "d")).select(F.explode("d").alias("description"), "corrected_category")
 
 
+def listed(df: DataFrame, by: str, value: str, name: str, block: int = 10_000) -> DataFrame:
+    """(by, block, <name>): the different values of each group, sorted, in as many blocks of about `block` values as it takes, dealt by hash."""
+    pairs = df.where(F.col(value).isNotNull()).select(F.col(by), F.col(value).alias("__v")).distinct()
+    sizes = pairs.groupBy(F.col(by).alias("__by")).agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
+    dealt = pairs.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).select(by, "__v", F.pmod(F.xxhash64("__v"), F.col("__n")).alias("block"))
+    return dealt.groupBy(by, "block").agg(F.sort_array(F.collect_list("__v")).alias(name))
+
+
 def training_view(df: DataFrame, block: int = 10_000) -> DataFrame:
-    """EXP-03: (category, block, descriptions): the different texts of each label, in as many blocks of about `block` texts as it takes, dealt by hash."""
-    pairs = df.where("description is not null").select("category", "description").distinct()
-    sizes = pairs.groupBy(F.col("category").alias("__c")).agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
-    dealt = pairs.join(sizes, F.col("category").eqNullSafe(F.col("__c"))).select("category", "description", F.pmod(F.xxhash64("description"), F.col("__n")).alias("block"))
-    return dealt.groupBy("category", "block").agg(F.sort_array(F.collect_list("description")).alias("descriptions"))
+    """EXP-03: (category, block, descriptions): the different texts of each label."""
+    return listed(df, "category", "description", "descriptions", block)
+
+
+def grouped_texts(df: DataFrame, text: str, key: Column, block: int = 10_000) -> DataFrame:
+    """AGG-17: (grouped, block, members): the different texts that have one normal form."""
+    return listed(df.select(key.alias("grouped"), text), "grouped", text, "members", block)
 
 
 def split_by_order(df: DataFrame, order: list[str], share: float = 0.9) -> DataFrame:

@@ -128,4 +128,4 @@ def win06_latest_per_user(spark, d):
 
 @query(f"WITH r AS (SELECT id, strftime(transaction_date, '%Y-%m') AS month, row_number() OVER (ORDER BY transaction_date DESC, id DESC) AS rank FROM {duck('ledger')}) SELECT id, month FROM r WHERE rank <= 120")
 def win07_visible_prefix(spark, d):
-    return L.recent(adapted(spark, d, "ledger"), 120).select("id", F.date_format("transaction_date", "yyyy-MM").alias("month"))
+    return L.visible_prefix(adapted(spark, d, "ledger"), 120).select("id", "month")

@@ -74,10 +74,10 @@ def cln03_group_key(spark, d):
     return adapted(spark, d, "lines").select("id", T.group_key("description").alias("grouped"))
 
 
-@query(f"SELECT grouped, count(*) AS n, min(id) AS first_id FROM (SELECT id, {chain_sql('lower(trim(description))', V.GROUP_STEPS)} AS grouped FROM {_X}) GROUP BY 1")
+@query(f"SELECT grouped, count(DISTINCT description) AS n, array_to_string(list_sort(list(DISTINCT description)), '|') AS members FROM (SELECT description, {chain_sql('lower(trim(description))', V.GROUP_STEPS)} AS grouped FROM {_X}) GROUP BY 1")
 def agg17_groups(spark, d):
-    keyed = adapted(spark, d, "lines").select("id", T.group_key("description").alias("grouped"))
-    return keyed.groupBy("grouped").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    found = L.grouped_texts(adapted(spark, d, "lines"), "description", T.group_key("description"))
+    return found.select("grouped", F.size("members").cast("bigint").alias("n"), F.array_join("members", "|").alias("members"))
 
 
 # What each kind of line should give is written down by kind (id % 20), apart from names that are looked up in lists.
