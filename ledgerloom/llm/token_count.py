@@ -5,7 +5,8 @@ spliced at a boundary in their overlap at which both begin a token and before wh
 drops white space and never merges across it, so what stands on either side cannot change the other. The left chunk counts up
 to there and the right one from there on, and both have to give the same tokens from the boundary to the overlap's
 last white space. When no such boundary exists or the tokens differ, the overlap is widened, up to the rest of the text.
-Other texts are encoded whole, each distinct unit between blanks once per worker.
+Other texts are encoded whole, each distinct unit between blanks once per worker. A text that holds the string of a special
+token is taken apart there first, as the library does, so that its parts go either way too.
 
 Null text counts as empty. Rows come out one for one, also repeated ones and those without an id; extra columns are
 ignored.
@@ -30,15 +31,20 @@ def _encode(tok, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     return [(lo + a, i) for (a, _), i in zip(e.offsets, e.ids, strict=True)]
 
 
+def _blank(c: str) -> bool:
+    """White space to the tokenizer: the four separators from U+001C on are none."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 def _splice(text: str, lo: int, hi: int, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> int | None:
     """The first proven boundary in the overlap text[lo:hi], if there is one."""
     stop = hi
-    while stop > lo and not text[stop - 1].isspace():
+    while stop > lo and not _blank(text[stop - 1]):
         stop -= 1
     ours, theirs = ([t for t in x if lo < t[0] < stop] for x in (left, right))
     begins = {t[0] for t in theirs}
     for p, _ in ours:
-        if text[p - 1].isspace() and p in begins:
+        if _blank(text[p - 1]) and p in begins:
             return p if [t for t in ours if t[0] >= p] == [t for t in theirs if t[0] >= p] else None
     return None
 
@@ -74,13 +80,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         count = counter(path)
         _, ofs = text_bytes(batch.column("text"))
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        small = [i for i, t in enumerate(texts) if len(t) <= huge or count.special.search(t)]
-        n = [0] * len(texts)
-        for i, x in zip(small, count.count([texts[i] for i in small]), strict=True):
-            n[i] = x
-        for i in set(range(len(texts))).difference(small):
-            n[i] = spliced_count(count.tok, texts[i], chunk, overlap)
+        n = [0] * batch.num_rows
+        small: list[tuple[int, str]] = []
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            parts = count.special.split(t or "")
+            n[i] = len(parts) - 1
+            for part in parts:
+                if len(part) <= huge:
+                    small.append((i, part))
+                else:
+                    n[i] += spliced_count(count.tok, part, chunk, overlap)
+        for (i, _), x in zip(small, count.count([p for _, p in small]), strict=True):
+            n[i] += x
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ofs[1:] - ofs[:-1]), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -132,7 +132,8 @@ class Counter:
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.special = re.compile("|".join(map(re.escape, special_strings(path))) or r"(?!)")
-        self.model, self.normalizer = self.tok.model, self.tok.normalizer
+        self.model = self.tok.model
+        self.normalize = self.tok.normalizer.normalize_str if self.tok.normalizer is not None else str
         self.memo: dict[str, int] = {}
 
     def whole(self, text: str) -> int:
@@ -143,7 +144,7 @@ class Counter:
 
         Normalising can make a mark of a letter, and a piece of letters ends before a mark.
         """
-        if u.isalpha() and (n := self.normalizer.normalize_str(u)).isalpha():
+        if u.isalpha() and (n := self.normalize(u)).isalpha():
             return len(self.model.tokenize(n.encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET)))
         return self.whole(u)
 
@@ -161,7 +162,7 @@ class Counter:
         for u in new:
             if len(u) > MEMO_CHARS:
                 long[u] = self.whole(u)
-            elif u[-1:] in (",", ".") and "A" <= u[-2:-1] < "\u0250" and u[-2].isalpha() and (u[-2].isascii() or self.normalizer.normalize_str(u[-2]).isalpha()):
+            elif u[-1:] in (",", ".") and "A" <= u[-2:-1] < "\u0250" and u[-2].isalpha() and (u[-2].isascii() or self.normalize(u[-2]).isalpha()):
                 # a letter and the mark after it are always in different pieces
                 word = memo.get(u[:-1])
                 if word is None:
