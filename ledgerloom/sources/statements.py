@@ -104,12 +104,19 @@ def statement_rows(files: DataFrame, synonyms: dict[str, list[str]] | None = Non
         at = {t: names.index(n) for t, n in found.items()}
         return [(path, None, i, list(at), {t: r[k] if k < len(r) and r[k] != "" else None for t, k in at.items()}) for i, r in enumerate(grid[head + 1 :])]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file", "error", "row_idx", "has", "cells"]).astype({"row_idx": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = of(path, bytes(content or b""))
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[i : i + 10_000], columns=["file", "error", "row_idx", "has", "cells"]).astype({"row_idx": "Int32"})
+                rows += of(path, bytes(content or b""))
+                while len(rows) >= 10_000:
+                    yield frame(rows[:10_000])
+                    rows = rows[10_000:]
+        if rows:
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, ROWS)
 
