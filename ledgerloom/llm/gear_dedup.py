@@ -10,7 +10,10 @@ is common then holds `min_words` words. Only bytes that are proven equal are rem
 
 Null text counts as empty: no cuts, no passages. Texts without two cuts have no chunk. Rows whose doc_id is null
 can't be named, so they are left as they are. Rows that repeat an id with the same text count as one occurrence.
-Extra columns are kept and ignored.
+Extra columns are kept and ignored, whatever their names.
+
+The chunks within a run are compared by digest, what is added to a run by its bytes. A chunk is mostly under 50 words, so
+one chance match of digests makes no passage.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_slices, materialize
+from .shared import free_names, map_slices, materialize
 from .textops import BYTE_HASH, IS_WORD, U, inverse_powers, mix, powers, text_bytes
 
 WINDOW = 16
@@ -268,10 +271,11 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) ->
 
     doc_id has to name one text. All columns come through, and n_chars, where there is one, follows the new text.
     """
-    found = _with_runs(docs, min_words, min_chunk)
+    own, spans = free_names(docs, "id", "runs")
+    found = _with_runs(docs, min_words, min_chunk).withColumnsRenamed({"__id": own, "__runs": spans})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs_at = batch.schema.get_field_index("__runs")
+        runs_at = batch.schema.get_field_index(spans)
         data, ofs = text_bytes(batch.column("text"))
         col = batch.column(runs_at)
         touched = np.flatnonzero(~np.asarray(col.is_null()))
@@ -302,5 +306,5 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) ->
         names = [x for i, x in enumerate(batch.schema.names) if i != runs_at]
         return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
-    return map_slices(joined, run, docs.schema)
+    key = docs.select(F.col("doc_id").cast("long").alias(own), *docs.columns)
+    return map_slices(key.join(found, own, "left").drop(own), run, docs.schema)
