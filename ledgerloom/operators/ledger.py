@@ -91,7 +91,8 @@ def already_seen(files: DataFrame, uploaded: DataFrame) -> DataFrame:
 def similar_to(df: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
     """JOI-07: (chosen id, id) of other rows with the same description, or the same merchant if that says anything.
 
-    Two equi-joins instead of one with OR, which could only be a nested loop.
+    For the few rows that a user looks at; similar_counts is for all of them. Two equi-joins instead of one with OR,
+    which could only be a nested loop.
     """
     d, c = safe("description"), safe("merchant_name")
     one = chosen.select(F.col(key).alias("chosen_id"), d.alias("__d"), c.alias("__m"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import global_rank
+
 ENCODER, HORIZON, LEAST_DAYS = 60, 30, 90
 
 
@@ -60,10 +64,26 @@ def robust_scaled(df: DataFrame, columns: list[str], by: list[str] | None = None
     return out.drop(*[f"__{c}_{s}" for c in columns for s in ("mid", "iqr")])
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles over all rows, linear between neighbours: by rank, so that no task holds all values."""
+    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    ranked = global_rank(values, ["x"])
+    n = values.count()
+    at = [(n - 1) * q for q in shares]
+    wanted = sorted({int(f(p)) + 1 for p in at for f in (math.floor, math.ceil)}) if n else []
+    x = {r["rank"]: r["x"] for r in ranked.where(F.col("rank").isin(wanted)).collect()} if n else {}
+    return [x[math.floor(p) + 1] + (x[math.ceil(p) + 1] - x[math.floor(p) + 1]) * (p - math.floor(p)) if n else None for p in at]
+
+
 def robust_stats(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Median and IQR (0 as 1) of each column, by group or, in one row, of all rows."""
+    if not by:
+        found = {c: quantiles(df, c, [0.25, 0.5, 0.75]) for c in columns}
+        row = [x for lo, mid, hi in found.values() for x in (mid, None if lo is None else (hi - lo) or 1.0)]
+        return df.sparkSession.createDataFrame([row], ", ".join(f"`__{c}_mid` double, `__{c}_iqr` double" for c in columns))
     q = lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = df.groupBy(*(by or [])).agg(*[q(c).alias(c) for c in columns])
-    return s.select(*(by or []), *[x for c in columns for x in (F.col(c)[1].alias(f"__{c}_mid"), F.when(F.col(c)[2] == F.col(c)[0], 1.0).otherwise(F.col(c)[2] - F.col(c)[0]).alias(f"__{c}_iqr"))])
+    s = df.groupBy(*by).agg(*[q(c).alias(c) for c in columns])
+    return s.select(*by, *[x for c in columns for x in (F.col(c)[1].alias(f"__{c}_mid"), F.when(F.col(c)[2] == F.col(c)[0], 1.0).otherwise(F.col(c)[2] - F.col(c)[0]).alias(f"__{c}_iqr"))])
 
 
 def unscaled(col: Column, mid: Column, iqr: Column) -> Column:
