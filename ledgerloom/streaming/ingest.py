@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.ledger import new_rows
 from ..staging import table_at
 
 
+class Progress(StreamingQueryListener):
+    """STR-06: says each tenth of `total` rows that the session's streams have come past, and 100 at their end."""
+
+    def __init__(self, total: int, say: Callable[[int], None]):
+        self.total, self.say, self.rows, self.said = total, say, 0, 0
+
+    def seen(self, rows: int) -> None:
+        self.rows += rows
+        tenth = min(100, 100 * self.rows // max(1, self.total)) // 10 * 10
+        if tenth > self.said:
+            self.said = tenth
+            self.say(tenth)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.seen(event.progress.numInputRows)
+
+    def onQueryTerminated(self, event) -> None:
+        self.seen(max(0, self.total - self.rows))
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """STR-03: the first row of each key within the watermark; state is bounded by `late`. Later repeats meet the sink's anti-join."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)

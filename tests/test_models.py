@@ -111,3 +111,28 @@ def test_substring_views(spark):
     views = {r.id: r.v for r in df.select("id", A.substring_view(F.col("id"), F.col("t")).alias("v")).collect()}
     assert all(v in "a b c d e f" and len(v.split()) >= 2 for i, v in views.items() if i < 50) and len(set(views.values())) > 5
     assert (views[50], views[51]) == ("a b", "")
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    import time
+
+    from ledgerloom.streaming import ingest as I
+
+    rows = spark.range(200).select((F.col("id") % 7).alias("user_id"), F.col("id").cast("string").alias("fingerprint"), "id")
+    rows.repartition(1).write.parquet(f"{tmp_path}/in")
+    said = []
+    listener = I.Progress(400, said.append)
+    spark.streams.addListener(listener)
+    try:
+        I.ingest(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/ledger", f"{tmp_path}/state", ["user_id", "fingerprint"], "id").awaitTermination()
+        for _ in range(50):
+            if said[-1:] == [100]:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert said == [50, 100]
+    steps = I.Progress(1000, said.append)
+    for _ in range(25):
+        steps.seen(40)
+    assert said[2:] == [10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
