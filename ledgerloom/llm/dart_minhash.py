@@ -10,8 +10,8 @@ whose exact similarity decides.
 Texts with equal word sequences are one class from the start. In each bucket of a band a few hubs are compared with all
 members of other classes, and leave the bucket; similar pairs merge classes. A bucket whose members are in one class
 then is done. The first rounds take hubs of the bucket's most common class, which soon gathers what is alike; the later
-ones take eight times as many hubs each, of all its other classes, until no bucket holds two: as many rounds as a
-bucket's size has octal digits. Every pair of a bucket is either compared, or in one class already, or can't be similar.
+ones take 64 times as many hubs each, of all its other classes, until no bucket holds two, so there are few rounds
+whatever a bucket's size. Every pair of a bucket is either compared, or in one class already, or can't be similar.
 
 The last is proved before a pair is made. Shingles that no other candidate holds count for nothing; a document's weight
 in the others is kept in `PROFILE` parts, by the shingle's hash. The sum of the lesser weights, part by part, is no less
@@ -179,7 +179,7 @@ def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, bands.shape[1], 0))]), pa.int32()), pa.array(bands[has].ravel()))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text_hash"), pa.array(keys, pa.binary()), _nodes(keys), lists], ["doc_id", "text_hash", "key", "node", "bands"])
 
-    return map_slices(_slim(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, key binary, node long, bands array<long>", most=1 << 20)
+    return map_slices(_slim(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, key binary, node long, bands array<long>", most=1 << 19)
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
     mine = F.collect_list("bucket").over(Window.partitionBy("member")).alias("buckets")
     held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).withColumn("label", F.col("member")).select("bucket", *own, mine), "dart-held")
     labels, seen = None, None
-    for slots, common in itertools.chain(_ROUNDS, ((8**n, False) for n in itertools.count(2))):
+    for slots, common in itertools.chain(_ROUNDS, ((64**n, False) for n in itertools.count(1))):
         # an open bucket holds two labels at least
         shares = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         split = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "label")).alias("most")).where("k > 1").select("bucket", F.col("most.label").alias("most"))
