@@ -5,9 +5,8 @@ Bloom filter of the n-grams that are common in it, and the filters are bit-slice
 so the bitwise and of an n-gram's slots names all languages that contain it. A text's bits are counted per language,
 corrected for the filters' false positives, and the largest corrected count decides; its share is the score.
 
-An n-gram enters a language's filter if its share among that language's n-grams is at least `min_share` and at least
-`relative` times its share in any other language, so a filter holds at most 1/min_share n-grams. Counts cover all
-training rows.
+An n-gram enters a language's filter if its share among that language's n-grams is at least `min_share`, so a filter
+holds at most 1/min_share n-grams, and that many come to the driver for each language. Counts cover all training rows.
 
 Null text, and text without a letter, is `und` with score 0; so is all text if there is nothing to learn from. Text in
 which no n-gram is known goes to the most frequent learned language, with score 1/languages. Ties go to the more
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import map_slices, materialize, slices
 from .textops import LOWER, U, crc32_mod, mix, text_bytes
 
-N, MIN_SHARE, RELATIVE, HASHES, BITS_EACH = 4, 4e-6, 0.25, 4, 12
+N, MIN_SHARE, HASHES, BITS_EACH = 4, 4e-6, 4, 12
 HELD_MOD, HELD = 4, 2
 
 #: Letters and bytes beyond ASCII as they are, lower-cased; all others as blanks.
@@ -117,20 +116,16 @@ class Filters:
         return out
 
 
-def learn(train: DataFrame, min_share: float = MIN_SHARE, relative: float = RELATIVE) -> Filters | None:
+def learn(train: DataFrame, min_share: float = MIN_SHARE) -> Filters | None:
     """The filters of the languages in train (text, lang), those with more n-grams first."""
     counts = gram_counts(train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null"))
-
     counts = materialize(counts, "lang-grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals, key=lambda x: (-totals[x], x))
     if not langs:
         return None
     share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))]), F.col("lang"))
-    shares = counts.select("lang", "gram", share.alias("p")).where(F.col("p") >= min_share)
-    best = shares.groupBy("gram").agg(F.max("p").alias("best"))
-    # at most 1/min_share rows a language
-    kept = shares.join(best, "gram").where(F.col("p") >= relative * F.col("best")).select("lang", "gram").toArrow()
+    kept = counts.where(share >= min_share).select("lang", "gram").toArrow()
     lang, gram = np.array(kept.column("lang").to_pylist(), object), kept.column("gram").to_numpy().astype(np.uint32)
     return Filters(langs, [(i, np.sort(gram[lang == x])) for i, x in enumerate(langs)])
 
