@@ -316,3 +316,27 @@ def test_temporary_tables_go(spark, docs_of, tmp_path):
     with temporary(spark):
         G.repeated_passages(docs).write.parquet(f"{tmp_path}/out")
     assert set(folder.iterdir()) == before and spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_long_texts_are_scored_whole(spark, docs_of):
+    rng = random.Random(2)
+    long = prose(rng, 200_000)
+    docs = docs_of([long, prose(rng, 60), "$$ ## 12 !! " * 20, None])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in quality_rff.score_table(docs, labels).collect())
+    got = {r.doc_id: r for r in langbloom.identify(docs).collect()}
+    assert got[0].lang_pred == got[1].lang_pred == "aa" and got[3].lang_pred == "und"
+    data = np.frombuffer(long.encode(), np.uint8)
+    assert math.isclose(quality_rff.statistics(data, np.array([0, len(data)]))[0][len(quality_rff._GROUPS)], math.log1p(len(data)))
+
+
+def test_preferences_of_empty_tables_and_extra_columns(spark):
+    from ledgerloom.llm import preference
+
+    turns = spark.createDataFrame([(1, 0, "user", "q", "x", 1), (1, 1, "assistant", "a", "y", 2)], "pair_id long, turn long, role string, text string, c string, n long")
+    assert preference.preference_pairs(turns.limit(0), turns).count() == 0
+    other = turns.withColumn("text", turns.c)
+    r = preference.preference_pairs(turns, other).first()
+    assert (r.n_prefix_turns, r.prompt) == (0, "") and r.chosen.startswith("<|im_start|>user\nq")
+    same = preference.preference_pairs(turns, turns).first()
+    assert (same.n_prefix_turns, same.chosen, same.rejected) == (2, "", "")
