@@ -267,7 +267,7 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
     # They stay as they are when it leaves one as a hub, for then it has met who is there
     mine = F.collect_list("bucket").over(Window.partitionBy("member")).alias("buckets")
     held = materialize(held.join(least, "bucket").where(reach >= F.col("least") - 1e-6).withColumn("label", F.col("member")).select("bucket", *own, mine), "dart-held")
-    labels, seen = None, None
+    labels = None
     for slots, common in itertools.chain(_ROUNDS, ((64**n, False) for n in itertools.count(1))):
         # an open bucket holds two labels at least
         shares = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -282,14 +282,11 @@ def similar_classes(active: DataFrame, docs: DataFrame, threshold: float = THRES
         hubs = materialize(hubs.withColumn("hub_buckets", F.collect_list("bucket").over(Window.partitionBy("hub_member"))), "dart-hubs")
         meet = held.alias("h").join(hubs.alias("u"), (F.col("h.bucket") == F.col("u.bucket")) & (F.col("label") != F.col("hub_label")) & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("h.bucket")) & _may_be_alike(threshold))
         pairs = meet.select(F.greatest("member", "hub_member").alias("member"), F.least("member", "hub_member").alias("hub")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["member", "hub"], "left_anti")
-        pairs = materialize(pairs, "dart-pairs")
-        sims = materialize(_compared(pairs, shingles), "dart-sims")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        labels = _merged(labels, sims.where(F.col("sim") >= threshold))
+        sims = materialize(_compared(materialize(pairs, "dart-pairs"), shingles), "dart-sims")
+        merged = _merged(labels, sims.where(F.col("sim") >= threshold))
         rest = held.join(hubs.select("bucket", F.col("hub_member").alias("member")), ["bucket", "member"], "left_anti")
-        if labels is not None:
+        if merged is not labels:
+            labels = merged
             rest = rest.withColumnRenamed("label", "was").join(labels, rest.member == labels.node, "left").withColumn("label", F.coalesce("label", "member"))
         held = materialize(rest.select("bucket", *own, "buckets"), "dart-held")
 
