@@ -42,6 +42,8 @@ SHINGLE, K, ROWS, THRESHOLD = 5, 120, 5, 0.8
 PROFILE, MOST = 64, 32_767
 #: Hubs of a bucket in each round, and whether they are of its most common class or of all others.
 _ROUNDS = [(1, True), (8, True)]
+#: Cells into which darts are thrown at once.
+CELLS = 1 << 20
 _EXACT = 2.0**-53
 _STEP, _CELL, _MAX = U(0xD1342543DE82EF95), U(0xC2B2AE3D27D4EB4F), (1 << 64) - 1
 
@@ -84,10 +86,28 @@ def throw_darts(element: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> t
 
 
 def signatures(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
-    """An n_docs x k array; documents without elements stay 0."""
+    """An n_docs x k array; documents without elements stay 0. `doc` ascends.
+
+    A short document has few elements and so needs high ranks: documents go in groups of about CELLS cells of unit weight and rank.
+    """
     sig = np.zeros((n_docs, k), U)
     total = np.bincount(doc, weight, n_docs)
-    darts = np.where(total > 0, k * (np.log(k) + 3), 0.0)
+    darts = k * (np.log(k) + 3)
+    cells = np.cumsum(np.bincount(doc, np.ceil(weight) * np.ceil(darts / np.maximum(total, 1e-300))[doc], n_docs))
+    at = np.searchsorted(doc, np.arange(n_docs + 1))
+    i = 0
+    while i < n_docs:
+        j = max(i + 1, int(np.searchsorted(cells, (cells[i - 1] if i else 0) + CELLS, side="right")))
+        own = slice(at[i], at[j])
+        sig[i:j] = _signatures(element[own], weight[own], doc[own] - i, total[i:j], k, darts)
+        i = j
+    return sig
+
+
+def _signatures(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, total: np.ndarray, k: int, first: float) -> np.ndarray:
+    n_docs = len(total)
+    sig = np.zeros((n_docs, k), U)
+    darts = np.where(total > 0, first, 0.0)
     open_docs = total > 0
     while open_docs.any():
         use = open_docs[doc]
