@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, dart_minhash, gear_dedup, langbloom, packing, preference, quality_rff, token_count, webp_columns, wu_manber
+from . import bitplane, dart_minhash, gear_dedup, langbloom, line_dedup, packing, preference, quality_rff, token_alignment, token_count, turn_repair, webp_columns, wu_manber
 from .shared import documents
 
 
@@ -55,5 +55,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langbloom.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_webp_media, op3_decontamination, op4_preference_pairs, op5_packing, op6_bit_planes, op7_substring_dedup, op8_token_counts, op9_quality, op10_language)}
-ORACLES = {"op4_preference_pairs": preference.SQL}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_webp_media, op3_decontamination, op4_preference_pairs, op5_packing, op6_bit_planes, op7_substring_dedup, op8_token_counts, op9_quality, op10_language, op11_line_dedup, op12_turn_repair, op13_token_alignment)}
+ORACLES = {"op4_preference_pairs": preference.SQL, "op11_line_dedup": line_dedup.SQL, "op12_turn_repair": turn_repair.SQL}
