@@ -6,8 +6,8 @@ distinct doc_id, combined before each shuffle, so one line in a third of all doc
 least `min_docs` documents lose all their lines but those in the largest doc_id that holds them. Only the positions that
 go are shuffled back; a text is taken apart once more beside them and the stretches between them are strung together.
 
-The join of lines with frequent keys is a sort-merge join on the hash, whose hot keys adaptive execution splits; no list
-is longer than the lines of one text.
+The frequent keys are written before lines meet them, so that both sides of that join are shuffled as they are and
+adaptive execution splits its hot keys; no list is longer than the lines of one text.
 
 Null or empty text is one empty line; null text stays null. Rows without doc_id are no document of the count and keep their lines.
 Rows that repeat a doc_id are one document, whether or not their texts differ; each row loses its own lines. Keys are
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_names
+from .shared import free_names, materialize
 
 BLANKS = " \t\n\v\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +52,7 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     lines = line_keys(docs, min_chars)
     held = lines.select("h1", "h2", "id").distinct()
     frequent = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    frequent = materialize(frequent, "frequent-lines")
     gone = lines.join(frequent, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
     return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
