@@ -6,9 +6,9 @@ there before it merges, and no entry of the other has a blank after another char
 vocabulary). So the tokens of a piece don't depend on its text, and a text's groups and links are those of its pieces in
 a row. Each distinct piece of a block of texts is encoded and aligned once; the rest is sums over where it occurs.
 
-Tokens are exploded with their positions; running sums of their lengths give their ends; a full outer join on piece and end
-puts the ends of both sides side by side. Between two neighbouring ends there is one token of either side, so every
-joined row is one link: of the tokens that end there or, seen from the text's end, began last before it. Running counts
+Tokens are exploded with their positions; running sums of their lengths give their ends; both sides meet by piece and end, in
+one grouping (a full outer join would forget how its rows lie, and shuffle them). Between two neighbouring ends there is
+one token of either side, so every row that comes of it is one link: of the tokens that end there or, seen from the text's end, began last before it. Running counts
 of common ends number the groups. No pairs within a group are tried, so a group of any length is linear.
 
 The tables of a block are bucketed by it and stay where they are; the counts of id pairs are combined before they are
@@ -21,27 +21,28 @@ text, a longer text alone. Other columns are ignored.
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, materialize, slices, temporary
 from .tokenization import odd_space, public_path
 
-#: A token travels as length << ID_BITS | id.
+#: A token travels as length, one bit for its side, id.
 ID_BITS = 20
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: Fixed value: how byte-level tokenizers of this kind split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
-#: Pieces that a coder keeps before it starts anew, and the longest piece kept.
-MEMO_PIECES, MEMO_CHARS = 500_000, 48
 
 
 def cut(text: str) -> list[str]:
@@ -53,21 +54,30 @@ def cut(text: str) -> list[str]:
 
 
 class ByteCoder:
-    """Ids of a byte-level tokenizer, special strings being plain text, and the bytes of its entries."""
+    """Ids of a byte-level tokenizer, special strings being plain text, and the bytes of its entries.
+
+    The merges of its file are worked by tiktoken, which is several times quicker on short pieces; ids that don't follow
+    the merges, or other settings than those checked here, are refused.
+    """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         from .tokenization import BYTE_ALPHABET
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges, split = spec["model"]["vocab"], spec["model"]["merges"], spec["pre_tokenizer"]
+        plain = spec["normalizer"] is None and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        special = {x["content"] for x in spec["added_tokens"]}
+        if not plain or any(vocab["".join(m if isinstance(m, list) else m.split(" "))] != 256 + i for i, m in enumerate(merges)):
+            raise ValueError("not a plain byte-level vocabulary in the order of its merges")
         byte_of = {c: b for b, c in BYTE_ALPHABET.items()}
-        self.bytes = {i: bytes(byte_of[c] for c in entry) for entry, i in self.tok.get_vocab(with_added_tokens=False).items()}
+        self.bytes = {i: bytes(byte_of[c] for c in entry) for entry, i in vocab.items() if entry not in special}
+        self.model = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
 
     def ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        return list(map(self.model.encode_ordinary, pieces))
 
 
 class PieceCoder:
@@ -93,26 +103,39 @@ class PieceCoder:
 
 
 class Aligner:
-    """tokens(pieces): for each piece the two sides' packed tokens, or None if a side doesn't give its bytes back."""
+    """tokens(pieces): both sides' packed tokens of all pieces in a row, how many each piece has, and which pieces a side doesn't give back."""
 
     def __init__(self, a_path: str, b_path: str):
         self.sides = ByteCoder(a_path), PieceCoder(b_path)
-        self.packed = [{i: len(x) << ID_BITS | i for i, x in s.bytes.items()} for s in self.sides]
-        self.memo: dict[str, tuple[list[int], list[int]] | None] = {}
-
-    def tokens(self, pieces: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        new = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo, new = {}, pieces
-        found = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, *ids in zip(some, *(s.ids(some) for s in self.sides), strict=True):
-                raw = p.encode("utf-8", "surrogatepass")
-                same = all(b"".join([s.bytes[t] for t in x]) == raw for s, x in zip(self.sides, ids, strict=True))
-                pair = tuple([w[t] for t in x] for w, x in zip(self.packed, ids, strict=True)) if same else None
-                (self.memo if len(p) <= MEMO_CHARS else found)[p] = pair
-        return [self.memo[p] if p in self.memo else found[p] for p in pieces]
+        self.packed = []
+        for k, side in enumerate(self.sides):
+            table = np.zeros(max(side.bytes) + 1, np.int32)
+            for i, raw in side.bytes.items():
+                table[i] = len(raw) << (ID_BITS + 1) | k << ID_BITS | i
+            self.packed.append(table)
+
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        lost = np.zeros(len(raw), bool)
+        flat, counts = [], []
+        for side, table in zip(self.sides, self.packed, strict=True):
+            ids = side.ids(pieces)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            every = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            total = np.concatenate([[0], np.cumsum(table[every] >> (ID_BITS + 1))])
+            end = np.cumsum(n)
+            lost |= total[end] - total[end - n] != size
+            if b"".join(map(side.bytes.__getitem__, every.tolist())) != b"".join(raw):
+                lost |= np.fromiter((b"".join(map(side.bytes.__getitem__, x)) != r for x, r in zip(ids, raw, strict=True)), bool, len(raw))
+            flat.append(table[every])
+            counts.append(n)
+        n = counts[0] + counts[1]
+        out = np.empty(int(n.sum()), np.int32)
+        at = np.cumsum(n) - n
+        for tokens, k, begin in zip(flat, counts, (at, at + counts[0]), strict=True):
+            out[np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(len(tokens))] = tokens
+        return out, n, lost
 
 
 class _Numbers(dict):
@@ -124,34 +147,35 @@ class _Numbers(dict):
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
-_NAMES = ["block", "piece", "a", "b", "places", "doc", "doc_id"]
+_NAMES = ["block", "piece", "tokens", "docs", "positions", "doc", "doc_id"]
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 
 
 def _block(aligner: Aligner, batch: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
-    """The distinct pieces of the texts with their tokens and places (document << 32 | position), and the documents."""
+    """The distinct pieces of the texts with their tokens and the documents and positions they stand at, and the documents."""
     numbers = _Numbers()
     held = [np.fromiter(map(numbers.__getitem__, cut(t)), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()]
-    tokens = aligner.tokens(list(numbers))
-    lost = {i for i, t in enumerate(tokens) if t is None}
-    if lost:
-        held = [x if lost.isdisjoint(x.tolist()) else np.zeros(0, np.int32) for x in held]
+    tokens, n_tokens, lost = aligner.tokens(list(numbers))
+    if lost.any():
+        held = [x if not lost[x].any() else np.zeros(0, np.int32) for x in held]
     n = np.array([len(x) for x in held], np.int64)
     piece = np.concatenate([*held, np.zeros(0, np.int32)])
-    at = (np.repeat(np.arange(len(n)), n) << 32) | (np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n))
     order = np.argsort(piece, kind="stable")
+    doc, position = np.repeat(np.arange(len(n)), n)[order], (np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n))[order]
     count = np.bincount(piece, minlength=len(numbers))
-    used = np.flatnonzero(count)
-    lists = lambda k: pa.array([tokens[i][k] for i in used], pa.list_(pa.int32()))
-    places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[used])]), pa.int32()), pa.array(at[order]))
+    used = count > 0
     none = lambda m, kind: pa.nulls(m, kind)
-    ids, rows, k = batch.column("doc_id"), batch.num_rows, len(used)
-    pieces = [pa.array(np.full(k, block)), pa.array(used, pa.int32()), lists(0), lists(1), places, none(k, pa.int32()), none(k, ids.type)]
-    docs = [pa.array(np.full(rows, block)), none(rows, pa.int32()), *(none(rows, x.type) for x in pieces[2:5]), pa.array(np.arange(rows), pa.int32()), ids]
+    ids, rows, k = batch.column("doc_id"), batch.num_rows, int(used.sum())
+    pieces = [pa.array(np.full(k, block)), pa.array(np.flatnonzero(used), pa.int32()), _lists(tokens[np.repeat(used, n_tokens)], n_tokens[used]), _lists(doc, count[used]), _lists(position, count[used]), none(k, pa.int32()), none(k, ids.type)]
+    docs = [pa.array(np.full(rows, block)), *(none(rows, x.type) for x in pieces[1:5]), pa.array(np.arange(rows), pa.int32()), ids]
     return [pa.RecordBatch.from_arrays(x, _NAMES) for x in (pieces, docs)]
 
 
 def token_table(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """Rows of pieces (block, piece, a, b, places) and of documents (block, doc, doc_id)."""
+    """Rows of pieces (block, piece, tokens, docs, positions) and of documents (block, doc, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _ALIGNERS:
@@ -161,7 +185,7 @@ def token_table(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) ->
             yield from _block(aligner, part, TaskContext.get().partitionId() << 32 | i)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, piece int, a array<int>, b array<int>, places array<long>, doc int, doc_id {kind}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, piece int, tokens array<int>, docs array<int>, positions array<int>, doc int, doc_id {kind}")
 
 
 @contextmanager
@@ -184,8 +208,9 @@ def _bucketed(spark: SparkSession) -> Iterator:
     def store(df: DataFrame, name: str) -> DataFrame:
         table = f"{name}_{uuid.uuid4().hex}"
         names.append(table)
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").bucketBy(buckets, "block").option("path", fresh_path(spark, name)).saveAsTable(table)
+        # several to a partition, so that few hold more than one block
+        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").option("path", fresh_path(spark, name)).saveAsTable(table)
         return spark.table(table)
 
     try:
@@ -195,39 +220,39 @@ def _bucketed(spark: SparkSession) -> Iterator:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def _ends(pieces: DataFrame, side: str) -> DataFrame:
-    """(block, piece, end, id) of one side's tokens."""
-    packed = pieces.select("block", "piece", F.posexplode(side).alias("pos", "token"))
-    running = Window.partitionBy("block", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return packed.select("block", "piece", F.sum(F.shiftright("token", ID_BITS)).over(running).alias("end"), F.col("token").bitwiseAND((1 << ID_BITS) - 1).alias(side))
+def _ends(pieces: DataFrame) -> DataFrame:
+    """(block, piece, end, a, b): the ids of the tokens that end at each end of either side."""
+    packed = pieces.select("block", "piece", F.posexplode("tokens").alias("pos", "token"))
+    side = F.shiftright("token", ID_BITS).bitwiseAND(1)
+    running = Window.partitionBy("block", "piece", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = packed.withColumn("side", side).select("block", "piece", "side", F.sum(F.shiftright("token", ID_BITS + 1)).over(running).alias("end"), F.col("token").bitwiseAND((1 << ID_BITS) - 1).alias("id"))
+    of = lambda k, name: F.max(F.when(F.col("side") == k, F.col("id"))).alias(name)
+    return ends.groupBy("block", "piece", "end").agg(of(0, "a"), of(1, "b"))
 
 
 def aligned(pieces: DataFrame) -> DataFrame:
-    """(block, piece, end, a, b, link, group) of (block, piece, a, b): a row for each end; link packs the ids of the tokens that hold the bytes before it, group counts from the text's end."""
-    both = _ends(pieces, "a").join(_ends(pieces, "b"), ["block", "piece", "end"], "full_outer")
+    """(block, piece, end, a, b, link, group) of (block, piece, tokens): a row for each end; link packs the ids of the tokens that hold the bytes before it, group counts from the text's end."""
     back = Window.partitionBy("block", "piece").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     holds = lambda side: F.last(side, ignorenulls=True).over(back)
     link = F.shiftleft(holds("a").cast("long"), 32).bitwiseOR(holds("b").cast("long"))
-    return both.select("block", "piece", "end", "a", "b", link.alias("link"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back).alias("group"))
-
-
-def _side_text(ends: Column, side: str) -> Column:
-    """One side's ids of a piece: commas within groups, a semicolon after each group."""
-    return F.array_join(F.transform(ends, lambda x: F.when(x[side].isNull(), "").otherwise(F.concat(x[side].cast("string"), F.when(x["a"].isNull() | x["b"].isNull(), ",").otherwise(";")))), "")
+    return _ends(pieces).select("block", "piece", "end", "a", "b", link.alias("link"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back).alias("group"))
 
 
 def piece_table(pieces: DataFrame) -> DataFrame:
     """(block, piece, n_a, n_b, n_groups, n_links, links, groups)."""
-    ends = F.array_sort(F.collect_list(F.struct("end", "a", "b")))
-    found = aligned(pieces).groupBy("block", "piece").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.collect_list("link").alias("links"), ends.alias("ends"))
-    # the last group ends with the piece, so both texts end with a semicolon
-    groups = F.zip_with(F.split(_side_text(F.col("ends"), "a"), ";"), F.split(_side_text(F.col("ends"), "b"), ";"), lambda a, b: F.concat(a, F.lit("|"), b))
+    # one side's ids of a piece: commas within groups, a semicolon after each; the last group ends with the piece
+    after = F.when(F.col("a").isNull() | F.col("b").isNull(), ",").otherwise(";")
+    text = lambda side: F.when(F.col(side).isNull(), "").otherwise(F.concat(F.col(side).cast("string"), after)).alias(f"{side}_text")
+    rows = aligned(pieces).select("block", "piece", "a", "b", "link", "group", F.struct("end", text("a"), text("b")).alias("at"))
+    found = rows.groupBy("block", "piece").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.collect_list("link").alias("links"), F.sort_array(F.collect_list("at")).alias("at"))
+    side = lambda c: F.split(F.array_join(F.col(f"at.{c}_text"), ""), ";")
+    groups = F.zip_with(side("a"), side("b"), lambda a, b: F.concat(a, F.lit("|"), b))
     return found.select("block", "piece", "n_a", "n_b", "n_groups", "n_links", "links", F.array_join(F.slice(groups, 1, F.col("n_groups").cast("int")), ";").alias("groups"))
 
 
 def link_counts(pieces: DataFrame, links: DataFrame) -> DataFrame:
     """(link, n, best): in how many documents each id pair is linked, and whether that is the most of its first id."""
-    held = pieces.select("block", "piece", F.array_distinct(F.transform("places", lambda p: F.shiftright(p, 32).cast("int"))).alias("docs"))
+    held = pieces.select("block", "piece", F.array_distinct("docs").alias("docs"))
     met = held.join(links.select("block", "piece", F.array_distinct("links").alias("links")), ["block", "piece"])
     pairs = met.select("block", "links", F.explode("docs").alias("doc")).select("block", "doc", F.explode("links").alias("link")).distinct()
     counts = materialize(pairs.groupBy("link").agg(F.count(F.lit(1)).alias("n")), "alignment-counts")
@@ -246,9 +271,9 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
         counts = link_counts(pieces, found)
         weights = found.select("block", "piece", F.explode("links").alias("link")).join(counts, "link").select("block", "piece", "n", "best").repartition("block")
         weights = weights.groupBy("block", "piece").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-        parts = pieces.select("block", "piece", "places").join(found.drop("links"), ["block", "piece"]).join(weights, ["block", "piece"])
-        parts = parts.select("block", F.explode("places").alias("at"), *sums, "groups").select("block", F.shiftright("at", 32).cast("int").alias("doc"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos"), *sums, "groups")
-        whole = parts.groupBy("block", "doc").agg(*[F.sum(c).alias(c) for c in sums], F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("parts"))
+        parts = pieces.select("block", "piece", "docs", "positions").join(found.drop("links"), ["block", "piece"]).join(weights, ["block", "piece"])
+        parts = parts.select("block", F.inline(F.arrays_zip("docs", "positions")).alias("doc", "pos"), *sums, "groups")
+        whole = parts.groupBy("block", "doc").agg(*[F.sum(c).alias(c) for c in sums], F.sort_array(F.collect_list(F.struct("pos", "groups"))).alias("parts"))
         whole = whole.select("block", "doc", *sums, F.array_join(F.col("parts.groups"), ";").alias("groups"))
         all_docs = table.where("doc is not null").select("block", "doc", "doc_id")
         out = all_docs.join(whole, ["block", "doc"], "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums], F.coalesce("groups", F.lit("")).alias("groups"))

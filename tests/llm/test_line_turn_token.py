@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 from ledgerloom.llm import line_dedup, token_alignment, turn_repair
 from ledgerloom.llm.tokenization import public_path
@@ -188,9 +189,11 @@ def plain_alignment(rows):
             at = out[-1][1]
         return out
 
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
     held, counts = [], Counter()
     for i, t in rows:
-        a = a_side.tok.encode(" " + t, add_special_tokens=False).ids if t else []
+        a = library.encode(" " + t, add_special_tokens=False).ids if t else []
         b = b_side.model.encode(t) if t else []
         if any(b"".join(s.bytes[x] for x in ids) != (" " + (t or "")).encode() for s, ids in ((a_side, a), (b_side, b))):
             a = b = []
