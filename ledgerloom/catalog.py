@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, dashboard, geometry, imports, models, normal, series, streams, text  # noqa: F401  they register themselves
+from .plans import core, dashboard, geometry, imports, models, normal, series, sheets, streams, text  # noqa: F401  they register themselves
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

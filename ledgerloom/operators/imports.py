@@ -10,6 +10,7 @@ from ..functions import vocabulary as V
 from ..functions.text import first_listed, readable, safe
 from ..sources.sinks import append_new
 from ..sources.statements import canonical, either, failures, read_statements
+from ..staging import materialize
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def payloads(lines: DataFrame, user_id: Column) -> DataFrame:
 
 def import_files(spark: SparkSession, path: str, user_id, ledger: str, password: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One call from files to the ledger at `ledger`: the rows that were new, and the files that couldn't be read."""
-    rows = read_statements(spark, path, password=password)
+    # written once: lines and failures are both read from it, and no file is taken apart again
+    rows = materialize(read_statements(spark, path, password=password), "statements")
     fresh = payloads(canonical(rows), F.lit(user_id)).withColumn("place", F.struct("file", "row_idx")).drop("file", "row_idx")
     return append_new(fresh, ledger, ["user_id", "fingerprint"], "place"), failures(rows)
 

@@ -11,6 +11,7 @@ from ..operators import ledger as L
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources import statements as S
+from ..sources.ledger_store import held
 from ..staging import fresh_path
 from .adapters import adapted, duck, table
 from .registry import query
@@ -250,7 +251,7 @@ def snk01_appended(spark, d):
     rows, path = adapted(spark, d, "ledger").select("user_id", "description", "id"), fresh_path(spark, "ledger")
     for part in (rows.where("id % 2 = 0"), rows, rows):
         K.append_new(part, path, ["user_id", "description"], "id")
-    return spark.read.parquet(path)
+    return held(spark, path, ["user_id", "description"])
 
 
 @query(f"SELECT CAST(transaction_date AS VARCHAR) || ',' || CASE WHEN regexp_matches(d, '[\",]') THEN '\"' || replace(d, '\"', '\"\"') || '\"' ELSE d END || ',' || merchant_name || ',' || category || ',' || amount || ',expense' AS line FROM (SELECT *, description || CASE id % 3 WHEN 0 THEN ', \"x\"' ELSE '' END AS d FROM {_L}) WHERE merchant_name <> ''")

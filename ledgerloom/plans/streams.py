@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.ledger_store import held
 from ..staging import fresh_path
 from ..streaming import ingest as I
 from .adapters import duck
@@ -67,4 +68,4 @@ def str01_ingest(spark, d):
     for part in (early, events):
         part.write.mode("append").parquet(f"{folder}/in")
         I.ingest(spark, f"{folder}/in", events.schema, f"{folder}/ledger", f"{folder}/state", ["user_id", "category"], "id").awaitTermination()
-    return spark.read.parquet(f"{folder}/ledger")
+    return held(spark, f"{folder}/ledger", ["user_id", "category"])

@@ -9,8 +9,8 @@ from ..functions import normalize as N
 from ..functions import vocabulary as V
 from ..functions.text import extract_merchant
 
-#: How a file is read: by a separator, by one that its first line tells, as JSON or as a grid.
-SUFFIXES = {".csv": ",", ".tsv": "\t", ".txt": None, ".pdf": None, ".json": "json", ".xlsx": "grid", ".xlsm": "grid", ".xls": "grid"}
+#: How a file is read: by a separator, by one that its first line tells (of equals the comma), as JSON or as a grid.
+SUFFIXES = {".csv": None, ".tsv": "\t", ".txt": None, ".pdf": None, ".json": "json", ".xlsx": "grid", ".xlsm": "grid", ".xls": "grid"}
 # What may be uploaded.
 ALLOWED = [".csv", ".tsv", ".xls", ".xlsx", ".xlsm", ".json", ".txt"]
 MOST_BYTES = 10 * 1024 * 1024
@@ -52,6 +52,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("transactions").alias("t")).select("t.*") if "transactions" in df.columns else df
 
 
+#: Among how many rows a header is looked for.
+HEADER_ROWS = 30
+# Parts of the headers of statements.
 _STATEMENT = [["date"], ["desc", "particular", "detail", "narration"], ["amount", "debit", "credit", "dr", "cr"]]
 # Parts of the headers of tables of any kind.
 _WIDE = ["date", "time", "desc", "detail", "narration", "particular", "amount", "debit", "credit", "withdrawal", "deposit", "balance", "merchant", "ref", "status", "type", "method"]
@@ -64,7 +67,7 @@ def header_row(grid: list[list[str | None]], kind: str = "statement") -> int:
     first of 30 rows with a cell 'date' and a word for details, else an error; details: the first of 30 with 'details',
     else an error; wide: the first of 30 with two cells that look like headers, else the first row.
     """
-    for i, row in enumerate(grid[: 20 if kind == "statement" else 30]):
+    for i, row in enumerate(grid[: 20 if kind == "statement" else HEADER_ROWS]):
         low = [(c or "").strip().lower() for c in row]
         holds = lambda words: any(w in c for c in low for w in words)  # noqa: B023, E731
         found = {

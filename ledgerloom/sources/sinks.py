@@ -9,17 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ledger import new_rows
-from ..staging import materialize, table_at
+from .ledger_store import Ledger
 
 
 def append_new(incoming: DataFrame, path: str, keys: list[str], order: str) -> DataFrame:
-    """SNK-01 to 03: appends what the ledger at `path` doesn't hold; the rows appended. One write, which commits whole or not."""
-    old = table_at(incoming.sparkSession, path)
-    fresh = new_rows(incoming, incoming.limit(0) if old is None else old, keys, order)
-    fresh = materialize(fresh, "appended")  # what is read again is what was written
-    fresh.write.mode("append").parquet(path)
-    return fresh
+    """SNK-01 to 03: appends what the ledger at `path` doesn't hold; the rows appended. They come in whole or not at all, and once, whoever else writes."""
+    return Ledger(incoming.sparkSession, path, keys).append(incoming, order)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,9 +18,25 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.text import extract_merchant
-from .readers import ALLOWED, MOST_BYTES, OUTPUT, SUFFIXES, header_row, resolve_headers, sniff_separator, suffix_of
+from .readers import ALLOWED, HEADER_ROWS, MOST_BYTES, OUTPUT, SUFFIXES, header_row, resolve_headers, sniff_separator, suffix_of
+from .sheets import first_sheet
 
-ROWS = "file string, error string, row_idx int, has array<string>, cells map<string,string>"
+ROWS = "file string, error string, row_idx int, has array<string>, up boolean, cells map<string,string>"
+#: A field may be as long as its file.
+csv.field_size_limit(MOST_BYTES)
+
+
+def plain_number(text: str | None) -> float:
+    """normalize.plain_amount of one cell."""
+    rest = re.sub(r"^[A-Za-z₹$€£¥]+\s*", "", text or "", flags=re.ASCII).strip(" ")
+    return float(rest) if re.fullmatch(N.NUMBER, rest, re.ASCII) else 0.0
+
+
+def none_negative(cells: list[dict[str, str | None]], has: list[str]) -> bool:
+    """NRM-11: whether no amount of a file is under 0; a file's rows are all at hand where it is read."""
+    if "debit" in has and "credit" in has:
+        return all(plain_number(c["credit"]) >= plain_number(c["debit"]) for c in cells)
+    return "amount" not in has or all(plain_number(c["amount"]) >= 0 for c in cells)
 
 
 def decoded(content: bytes) -> str:
@@ -40,16 +57,18 @@ def kind_of(path: str, content: bytes) -> str:
     return end if end in SUFFIXES and SUFFIXES[end] != "grid" else ".csv"
 
 
-def _sheet(content: bytes, kind: str, password: str | None) -> list[list[str | None]]:
-    """SRC-05, SRC-06: the first sheet's cells; openpyxl is used where it is installed."""
+def _sheet(content: bytes, kind: str, password: str | None) -> tuple[list[list[str | None]], int]:
+    """SRC-05, SRC-06, SRC-11: the first sheet's rows that hold anything, and which of them is the header."""
     if kind == ".xls":
         raise ValueError("Invalid password" if password else "Password required")
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise ValueError("reading spreadsheets needs openpyxl") from e
-    sheet = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True).worksheets[0]
-    return [[None if c is None else str(c) for c in r] for r in sheet.iter_rows(values_only=True)]
+    rows = list(first_sheet(content))
+    # the header is looked for among the first rows as they stand, empty ones counted
+    top: list[list[str | None]] = [[] for _ in range(HEADER_ROWS)]
+    for at, cells in rows:
+        if at < HEADER_ROWS:
+            top[at] = cells
+    head = header_row(top, "statement")
+    return [cells for _, cells in rows], max(0, sum(at <= head for at, _ in rows) - 1)
 
 
 def _objects(text: str) -> list[list[str | None]]:
@@ -67,8 +86,7 @@ def grid_of(path: str, content: bytes, password: str | None = None) -> tuple[lis
     """A file's cells, and which row is the header."""
     kind = kind_of(path, content)
     if SUFFIXES[kind] == "grid":
-        grid = _sheet(content, kind, password)
-        return grid, header_row(grid, "statement")
+        return _sheet(content, kind, password)
     text = decoded(content)
     if kind == ".json":
         return _objects(text), 0
@@ -80,7 +98,7 @@ def grid_of(path: str, content: bytes, password: str | None = None) -> tuple[lis
 def statement_rows(files: DataFrame, synonyms: dict[str, list[str]] | None = None, password: str | None = None, guarded: bool = True) -> DataFrame:
     """ROWS of files (path, content): a row for each line of a statement, with its cells by target, and which targets the file has.
 
-    A file that can't be read, or that the guards keep out (SRC-16: suffix, size, emptiness), gives one row with its error.
+    A file that can't be read, for whatever reason, or that the guards keep out (SRC-16: suffix, size, emptiness), gives one row with its error; others aren't touched by it.
     """
 
     def wrong(path: str, content: bytes) -> str | None:
@@ -93,19 +111,21 @@ def statement_rows(files: DataFrame, synonyms: dict[str, list[str]] | None = Non
         if error is None:
             try:
                 grid, head = grid_of(path, content, password)
-            except (ValueError, csv.Error) as e:
-                error = str(e) or type(e).__name__
+            except Exception as e:  # what one file does to a parser mustn't end the others' import
+                error = str(e) if isinstance(e, (ValueError, csv.Error)) and str(e) else f"{type(e).__name__}: {e}"
+        if error is None and not grid:
+            error = "no rows"
         if error is not None:
-            return [(path, error, None, None, None)]
-        if not grid:
-            return [(path, "no rows", None, None, None)]
+            return [(path, error, None, None, None, None)]
         names = [(n or "").strip() or f"column_{i}" for i, n in enumerate(grid[head])]
         found = resolve_headers(names, synonyms)
         at = {t: names.index(n) for t, n in found.items()}
-        return [(path, None, i, list(at), {t: r[k] if k < len(r) and r[k] != "" else None for t, k in at.items()}) for i, r in enumerate(grid[head + 1 :])]
+        cells = [{t: r[k] if k < len(r) and r[k] != "" else None for t, k in at.items()} for r in grid[head + 1 :]]
+        up = none_negative(cells, list(at))
+        return [(path, None, i, list(at), up, c) for i, c in enumerate(cells)]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["file", "error", "row_idx", "has", "cells"]).astype({"row_idx": "Int32"})
+        return pd.DataFrame(rows, columns=["file", "error", "row_idx", "has", "up", "cells"]).astype({"row_idx": "Int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -127,17 +147,13 @@ def read_statements(spark: SparkSession, path: str, synonyms: dict[str, list[str
 
 
 def canonical(rows: DataFrame, day=N.to_day) -> DataFrame:
-    """NRM-01 to 19 over ROWS: (file, row_idx) and OUTPUT of every line; files with an error give none.
-
-    Whether a file's amounts are all positive, which decides on the signs by status, is worked out by file and joined.
-    """
+    """NRM-01 to 19 over ROWS: (file, row_idx) and OUTPUT of every line; files with an error give none."""
     c = lambda t: F.col("cells")[t]
     has = lambda t: F.array_contains("has", t)
     text = lambda t: F.coalesce(c(t), F.lit(""))
     net = F.when(has("debit") & has("credit"), N.plain_amount(c("credit")) - N.plain_amount(c("debit"))).when(has("amount"), N.plain_amount(c("amount"))).otherwise(0.0)
     base = rows.where("error is null").withColumn("amount", net)
-    up = base.groupBy("file").agg((F.coalesce(F.min(F.when(F.col("amount") != 0, F.col("amount"))), F.lit(0.0)) >= 0).alias("up"))
-    base = base.join(up, "file").withColumn("amount", F.when(has("status"), N.status_signed(F.col("amount"), c("status"), F.col("up"))).otherwise(F.col("amount")))
+    base = base.withColumn("amount", F.when(has("status"), N.status_signed(F.col("amount"), c("status"), F.col("up"))).otherwise(F.col("amount")))
     raw = F.when(has("merchant"), text("merchant")).otherwise(text("description"))
     made = {
         "date": day(c("date")),

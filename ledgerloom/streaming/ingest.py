@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..operators.ledger import new_rows
-from ..staging import table_at
+from ..sources.sinks import append_new
 
 
 class Progress(StreamingQueryListener):
@@ -61,7 +60,6 @@ def ingest(spark: SparkSession, source: str, schema: str, ledger: str, checkpoin
     """STR-01 to 03: files that are new since the checkpoint, in micro-batches, appended to the ledger if it doesn't hold them."""
 
     def write(batch: DataFrame, _: int) -> None:
-        old = table_at(batch.sparkSession, ledger)
-        new_rows(batch, batch.limit(0) if old is None else old, keys, order).write.mode("append").parquet(ledger)
+        append_new(batch, ledger, keys, order)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
