@@ -3,17 +3,20 @@
 A gear hash over the last 16 bytes marks cut points, so equal passages have equal cuts wherever they stand and
 whatever was inserted before them. Every cut starts a chunk that ends at the first cut at least `min_chunk` bytes
 on (chunks overlap, so no cut depends on where chunking began). Chunks are compared by a 64-bit digest. Of each
-digest the occurrence with the least (doc_id, start) is kept. The others' spans are joined to runs. Runs are anchors
-only: each is extended byte by byte, its start against the text before the first chunk's kept occurrence, its end against
-the text after the last chunk's, and trimmed to words that are whole in both. It is a repeated passage if the span that
-is common then holds `min_words` words. Only bytes that are proven equal are removed.
-
-Null text counts as empty: no cuts, no passages. Texts without two cuts have no chunk. Rows whose doc_id is null
-can't be named, so they are left as they are. Rows that repeat an id with the same text count as one occurrence.
-Extra columns are kept and ignored, whatever their names.
-
-The chunks within a run are compared by digest, what is added to a run by its bytes. A chunk is mostly under 50 words, so
-one chance match of digests makes no passage.
+digest the occurrence with the least (doc_id, start) is kept. A run is a stretch of a text that others of its chunks cover;
+each place that its chunks are kept at is an alignment of it: a kept text and a distance. Along every alignment the
+stretches of common chunks are extended byte by byte against that kept text alone, over the whole run and beyond its
+ends, and trimmed to words that are whole in both. A stretch that then holds `min_words` words is a repeated passage: it
+stands, as it is, in the kept text at keep_start. Of passages within a longer one only the longer is given.
+
+A document is a (doc_id, text): rows that repeat both count as one occurrence, two texts under one id are two documents,
+and of these the order is by a hash of the text. Null text counts as empty: no cuts, no passages. Texts without two cuts have
+no chunk. Rows whose doc_id is null can't be named, so they are left as they are. Extra columns are kept and ignored,
+whatever their names.
+
+The chunks within a stretch are compared by digest, what is added to it by its bytes. A chunk is mostly under 50 words, so
+one chance match of digests makes no passage. A passage whose parts stand in different earlier documents is found if one
+of the texts that its chunks are kept at holds `min_words` words of it in a row.
 """
 
 from __future__ import annotations
@@ -95,20 +98,24 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_chunk: int) -> tuple[np.nd
 
 
 def chunk_table(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
-    """(digest, doc_id, at): at packs start << 20 | length."""
+    """(digest, doc_id, doc_hash, at): at packs start << 20 | length."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
         d, s, n, digest = chunks(data, ofs, min_chunk)
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[d], pa.int64()), pa.array((s << LENGTH_BITS) | n)], ["digest", "doc_id", "at"])
+        ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "doc_hash"))
+        return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[d], pa.int64()), pa.array(hashes[d], pa.int64()), pa.array((s << LENGTH_BITS) | n)], ["digest", "doc_id", "doc_hash", "at"])
+
+    return map_slices(_keyed(docs).where("doc_id is not null and length(text) > 0"), run, "digest long, doc_id long, doc_hash long, at long")
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
-    return map_slices(src, run, "digest long, doc_id long, at long")
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
 
 
 def repeated_chunks(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
-    """(doc_id, at, keep_doc_id, keep_at) of every chunk whose digest occurs elsewhere and that isn't the kept occurrence.
+    """(doc_id, doc_hash, at, keep_doc_id, keep_hash, keep_at) of every chunk whose digest occurs elsewhere and that isn't the kept occurrence.
 
     Counting is pre-aggregated by digest before the shuffle; the join back is a sort-merge join whose hot digests
     adaptive execution splits. Chunks are made twice rather than stored.
@@ -116,19 +123,33 @@ def repeated_chunks(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
     seen = chunk_table(docs, min_chunk).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     seen = materialize(seen, "gear-digests")
     held = materialize(chunk_table(docs, min_chunk).join(seen, "digest"), "gear-chunks")
-    keep = materialize(held.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("k")).select("digest", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.at").alias("keep_at")), "gear-keep")
-    return held.join(keep, "digest").where("doc_id <> keep_doc_id or at <> keep_at").select("doc_id", "at", "keep_doc_id", "keep_at")
+    keep = held.groupBy("digest").agg(F.min(F.struct("doc_id", "doc_hash", "at")).alias("k")).select("digest", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.doc_hash").alias("keep_hash"), F.col("k.at").alias("keep_at"))
+    keep = materialize(keep, "gear-keep")
+    return held.join(keep, "digest").where("doc_id <> keep_doc_id or doc_hash <> keep_hash or at <> keep_at").drop("digest")
+
+
+def _joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each stretch of overlapping or touching spans; `start` ascending."""
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    return start[first], np.append(reach[first[1:] - 1], reach[-1])
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, first row and row of the longest chunk at the end of each run of overlapping or touching spans; `at` ascending."""
+def _aligned(at: np.ndarray, doc: np.ndarray, hashed: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(s, e, lead, tail, keep_doc_id, keep_hash, keep_start) of each stretch of chunks along an alignment; lead and tail reach from it to the ends of its run."""
     s, e = at >> LENGTH_BITS, (at >> LENGTH_BITS) + (at & ((1 << LENGTH_BITS) - 1))
-    reach = np.maximum.accumulate(e)
-    new = np.append(True, s[1:] > reach[:-1])
-    first = np.flatnonzero(new)
-    end = np.append(reach[first[1:] - 1], reach[-1])
-    # reach ascends over the whole text, and the row that first gets to an end is the longest chunk there
-    return s[first], end, first, np.searchsorted(reach, end)
+    order = np.argsort(s, kind="stable")
+    run_s, run_e = _joined(s[order], e[order])
+    shift = (keep >> LENGTH_BITS) - s
+    order = np.lexsort((s, shift, hashed, doc))
+    s, e, doc, hashed, shift = s[order], e[order], doc[order], hashed[order], shift[order]
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1]) | (shift[1:] != shift[:-1])))
+    out = []
+    for i, j in zip(new, [*new[1:], len(s)], strict=True):
+        a, b = _joined(s[i:j], e[i:j])
+        run = np.searchsorted(run_s, a, side="right") - 1
+        out.append((a, b, a - run_s[run], run_e[run] - b, np.full(len(a), doc[i]), np.full(len(a), hashed[i]), a + shift[i]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _words(data: np.ndarray) -> int:
@@ -161,87 +182,95 @@ def common_span(data: np.ndarray, s: int, e: int, before: np.ndarray, after: np.
     return (a + first + int(at[0]), a + last) if len(at) else (s, s)
 
 
-def passages(data: np.ndarray, runs: list[dict], min_words: int) -> list[tuple[int, int, int, int, int]]:
+def passages(data: np.ndarray, stretches: list[dict], min_words: int) -> list[tuple[int, int, int, int, int]]:
     """(start, end, words, keep_doc_id, keep_start) of the repeated passages of one text, at whole words."""
-    out = []
-    for r in runs:
+    found = {}
+    for r in stretches:
         start, end = min(r["s"], len(data)), min(r["e"], len(data))
         s, e = common_span(data, start, end, np.frombuffer(r["before"], np.uint8), np.frombuffer(r["after"], np.uint8))
-        words = _words(data[s:e])
-        if words >= min_words:
-            out.append((s, e, words, r["keep_doc_id"], r["keep_start"] + s - r["s"]))
-    return sorted(out)
+        if 2 * min_words - 1 <= e - s:
+            kept = (r["keep_doc_id"], r["keep_start"] + s - r["s"])
+            found[s, e] = min(found.get((s, e), kept), kept)
+    out, reach = [], -1
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        if e > reach:  # else it lies within one before
+            reach = e
+            words = _words(data[s:e])
+            if words >= min_words:
+                out.append((s, e, words, *found[s, e]))
+    return out
+
+
+_STRETCH = ["s", "e", "lead", "tail", "keep_doc_id", "keep_hash", "keep_start"]
 
 
-def _run_table(repeats: DataFrame) -> DataFrame:
-    """(doc_id, s, e, keep_doc_id, keep_start, last_doc_id, last_end) of every run: where its first chunk is kept, and where its last one ends there."""
-    spans = repeats.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "keep_doc_id", "keep_at")).alias("spans"))
+def _stretch_table(repeats: DataFrame) -> DataFrame:
+    """(doc_id, doc_hash) and _STRETCH of the stretches of chunks along each alignment of each document."""
+    spans = repeats.distinct().groupBy("doc_id", "doc_hash").agg(F.collect_list(F.struct("at", "keep_doc_id", "keep_hash", "keep_at")).alias("spans"))
+    names = ["doc_id", "doc_hash", *_STRETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             rows = []
-            for i, (at, doc, keep) in zip(ids, _spans(batch.column("spans")), strict=True):
-                order = np.argsort(at, kind="stable")
-                at, doc, keep = at[order], doc[order], keep[order]
-                s, e, first, last = _runs(at)
-                rows.append((np.full(len(s), i), s, e, doc[first], keep[first] >> LENGTH_BITS, doc[last], (keep[last] >> LENGTH_BITS) + (keep[last] & ((1 << LENGTH_BITS) - 1))))
+            for i, h, spans_of in zip(batch.column("doc_id").to_pylist(), batch.column("doc_hash").to_pylist(), _spans(batch.column("spans")), strict=True):
+                got = _aligned(*spans_of)
+                rows.append((np.full(len(got[0]), i), np.full(len(got[0]), h), *got))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*rows, strict=True)], names)
 
-    names = ["doc_id", "s", "e", "keep_doc_id", "keep_start", "last_doc_id", "last_end"]
     return spans.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int) -> DataFrame:
-    """(doc, pos, behind, bytes) for each (doc, pos, behind) asked for: the bytes before pos or, if `behind`, after it, as far as a run can go on.
+    """(doc, hash, pos, behind, reach, bytes) for each asked for: the bytes before pos or, if `behind`, after it, as far as a run can go on that goes on for `reach` bytes.
 
     Every natural cut with 16 common bytes before it is a cut of both texts. So a common span that went on to the cut
     before a run's start, or to the first cut at least `min_chunk` after its end, would have one more common chunk.
     """
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("pos", "behind")).alias("asked"))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
+    wanted = asked.groupBy("doc", "hash").agg(F.collect_list(F.struct("pos", "behind", "reach")).alias("asked"))
+    src = _keyed(docs).where("text is not null").withColumnsRenamed({"doc_id": "doc", "doc_hash": "hash"})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
         rows = []
-        for i, (doc, ask) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+        for i, (doc, hashed, ask) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "hash", "asked")), strict=True)):
             text = data[ofs[i] : ofs[i + 1]]
             whole = np.array([0, len(text)])
             cuts, natural = cut_points(text, whole)[0], natural_cuts(text, whole)[0]
             for x in ask:
-                pos = x["pos"]
+                pos, reach = x["pos"], x["reach"]
                 if x["behind"]:
-                    k = np.searchsorted(cuts, pos + min_chunk)
+                    k = np.searchsorted(cuts, pos + reach + min_chunk)
                     part = text[pos : cuts[k] + 1 if k < len(cuts) else len(text)]
                 else:
-                    k = np.searchsorted(natural, pos)
+                    k = np.searchsorted(natural, pos - reach)
                     part = text[max(0, int(natural[k - 1]) - WINDOW) if k else 0 : pos]
-                rows.append((doc, pos, x["behind"], part.tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc", "pos", "behind", "bytes"])
-
-    found = map_slices(src.join(wanted, "doc"), run, "doc long, pos long, behind boolean, bytes binary")
-    return materialize(found.dropDuplicates(["doc", "pos", "behind"]), "gear-surroundings")
-
-
-def _with_runs(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
-    """(__id, __runs) of each document that holds a chunk kept elsewhere, with what stands around the kept occurrence."""
-    runs = materialize(_run_table(repeated_chunks(docs, min_chunk)), "gear-runs")
-    starts = runs.select(F.col("keep_doc_id").alias("doc"), F.col("keep_start").alias("pos"), F.lit(False).alias("behind"))
-    ends = runs.select(F.col("last_doc_id").alias("doc"), F.col("last_end").alias("pos"), F.lit(True).alias("behind"))
-    around = _surroundings(docs, starts.unionByName(ends).distinct(), min_chunk)
-    before = around.where("not behind").select(F.col("doc").alias("keep_doc_id"), F.col("pos").alias("keep_start"), F.col("bytes").alias("before"))
-    after = around.where("behind").select(F.col("doc").alias("last_doc_id"), F.col("pos").alias("last_end"), F.col("bytes").alias("after"))
-    runs = runs.join(before, ["keep_doc_id", "keep_start"]).join(after, ["last_doc_id", "last_end"])
+                rows.append((doc, hashed, pos, x["behind"], reach, part.tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["doc", "hash", "pos", "behind", "reach", "bytes"])
+
+    found = map_slices(src.join(wanted, ["doc", "hash"]), run, "doc long, hash long, pos long, behind boolean, reach long, bytes binary")
+    return materialize(found.dropDuplicates(["doc", "hash", "pos", "behind", "reach"]), "gear-surroundings")
+
+
+def _with_stretches(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
+    """(__id, __hash, __runs) of each document that holds a chunk kept elsewhere, with what stands around the kept occurrence."""
+    runs = materialize(_stretch_table(repeated_chunks(docs, min_chunk)), "gear-runs")
+    runs = runs.withColumn("keep_end", F.col("keep_start") + F.col("e") - F.col("s"))
+    of = lambda pos, reach, behind: runs.select(F.col("keep_doc_id").alias("doc"), F.col("keep_hash").alias("hash"), F.col(pos).alias("pos"), F.col(reach).alias("reach"), F.lit(behind).alias("behind"))
+    around = _surroundings(docs, of("keep_start", "lead", False).unionByName(of("keep_end", "tail", True)).distinct(), min_chunk)
+    kept = {"doc": "keep_doc_id", "hash": "keep_hash"}
+    before = around.where("not behind").drop("behind").withColumnsRenamed(kept | {"pos": "keep_start", "reach": "lead", "bytes": "before"})
+    after = around.where("behind").drop("behind").withColumnsRenamed(kept | {"pos": "keep_end", "reach": "tail", "bytes": "after"})
+    runs = runs.join(before, ["keep_doc_id", "keep_hash", "keep_start", "lead"]).join(after, ["keep_doc_id", "keep_hash", "keep_end", "tail"])
     # so many words need a byte each, and one between them
     runs = runs.where(F.col("e") - F.col("s") + F.length("before") + F.length("after") >= 2 * min_words - 1)
-    return materialize(runs.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs")), "gear-spans")
+    return materialize(runs.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs")), "gear-spans")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) -> DataFrame:
     """One row per repeated passage: doc_id, start, length (bytes), n_words, passage (text), keep_doc_id, keep_start."""
-    found = _with_runs(docs, min_words, min_chunk)
+    found = _with_stretches(docs, min_words, min_chunk)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
@@ -254,25 +283,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_chunk: int = 64)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "n_words", "passage", "keep_doc_id", "keep_start"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(src.join(found, F.col("doc_id") == F.col("__id")).drop("__id"), run, "doc_id long, start long, length long, n_words long, passage string, keep_doc_id long, keep_start long")
+    src = _keyed(docs)
+    return map_slices(src.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("doc_hash") == F.col("__hash"))).drop("__id", "__hash", "doc_hash"), run, "doc_id long, start long, length long, n_words long, passage string, keep_doc_id long, keep_start long")
 
 
-def _spans(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _spans(col: pa.Array) -> list[tuple[np.ndarray, ...]]:
     out = []
     for i in range(len(col)):
         x = col.slice(i, 1).flatten()
-        out.append(tuple(x.field(f).to_numpy(zero_copy_only=False) for f in ("at", "keep_doc_id", "keep_at")))
+        out.append(tuple(x.field(f).to_numpy(zero_copy_only=False) for f in ("at", "keep_doc_id", "keep_hash", "keep_at")))
     return out
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) -> DataFrame:
     """docs without the later occurrences of repeated passages; a row goes if a passage was cut from it and no word is left.
 
-    doc_id has to name one text. All columns come through, and n_chars, where there is one, follows the new text.
+    All columns come through, and n_chars, where there is one, follows the new text.
     """
-    own, spans = free_names(docs, "id", "runs")
-    found = _with_runs(docs, min_words, min_chunk).withColumnsRenamed({"__id": own, "__runs": spans})
+    own, hashed, spans = free_names(docs, "id", "hash", "runs")
+    found = _with_stretches(docs, min_words, min_chunk).withColumnsRenamed({"__id": own, "__hash": hashed, "__runs": spans})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         runs_at = batch.schema.get_field_index(spans)
@@ -306,5 +335,5 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) ->
         names = [x for i, x in enumerate(batch.schema.names) if i != runs_at]
         return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
-    key = docs.select(F.col("doc_id").cast("long").alias(own), *docs.columns)
-    return map_slices(key.join(found, own, "left").drop(own), run, docs.schema)
+    key = docs.select(F.col("doc_id").cast("long").alias(own), F.xxhash64(F.col("text").cast("string")).alias(hashed), *docs.columns)
+    return map_slices(key.join(found, [own, hashed], "left").drop(own, hashed), run, docs.schema)

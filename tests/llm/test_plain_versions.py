@@ -64,6 +64,65 @@ def test_passages_equal_all_places_compared(docs_of):
         assert kept[r.keep_start : r.keep_start + r.length] == r.passage.encode() and (r.keep_doc_id, r.keep_start) < (r.doc_id, r.start)
 
 
+def maximal_passages(texts, least=50):
+    """(doc_id, start, words) of each text's longest runs with any text before it, those within longer ones left out."""
+    ids = sorted(texts)
+    raw = {i: (texts[i] or "").encode() for i in ids}
+    out = set()
+    for k, i in enumerate(ids):
+        found = sorted({(s, e, n) for j in ids[:k] for s, e, n in common_runs(raw[i], raw[j], least)}, key=lambda x: (x[0], -x[1]))
+        reach = -1
+        for s, e, n in found:
+            if e > reach:
+                reach = e
+                out.add((i, s, n))
+    return out
+
+
+def check_kept(got, texts):
+    for r in got:
+        assert texts[r.keep_doc_id].encode()[r.keep_start : r.keep_start + r.length] == r.passage.encode() == texts[r.doc_id].encode()[r.start : r.start + r.length]
+
+
+def test_parts_from_different_texts_make_no_passage(docs_of):
+    rng = random.Random(77)
+    texts = []
+    for _ in range(30):
+        a, b, c = (prose(rng, 24) for _ in range(3))
+        texts += [f"{prose(rng, 9)} {a} {b} {prose(rng, 9)}", f"{prose(rng, 9)} {b} {c} {prose(rng, 9)}", f"{prose(rng, 9)} {a} {b} {c} {prose(rng, 9)}"]
+    docs = docs_of(texts)
+    assert maximal_passages(dict(enumerate(texts))) == set() and G.repeated_passages(docs).count() == 0
+    assert {r.doc_id: r.text for r in G.remove_repeats(docs).collect()} == dict(enumerate(texts))
+
+
+def test_passages_that_overlap_and_occur_often(docs_of):
+    rng = random.Random(78)
+    texts = []
+    for _ in range(8):
+        a, b, c = (prose(rng, rng.choice([24, 40, 70])) for _ in range(3))
+        parts = [[a, b], [b, c], [a, b, c], [c, a, b]]
+        texts += [" ".join([prose(rng, 9), *p, prose(rng, 9)]) for p in parts]
+    # and passages that stand in many texts and, last, twice in one
+    often = prose(rng, 66)
+    texts += [f"{prose(rng, 12)} {often} {prose(rng, 12)}" for _ in range(6)]
+    texts = dict(enumerate(texts))
+    got = G.repeated_passages(docs_of(list(texts.items()))).collect()
+    check_kept(got, texts)
+    assert {(r.doc_id, r.start, r.n_words) for r in got} == maximal_passages(texts) and len(got) > 15
+    twice = {0: f"{prose(rng, 12)} {often} {prose(rng, 12)} {often} {prose(rng, 3)}"}
+    got = G.repeated_passages(docs_of(list(twice.items()))).collect()
+    check_kept(got, twice)
+    assert [(r.n_words, r.keep_start < r.start) for r in got] == [(66, True)]
+
+
+def test_two_texts_under_one_id_are_two_documents(docs_of):
+    rng = random.Random(79)
+    shared, own = prose(rng, 80), prose(rng, 300)
+    rows = [(1, f"{prose(rng, 9)} {shared} {prose(rng, 9)}"), (5, f"{prose(rng, 90)} {shared} {prose(rng, 30)}"), (5, own), (5, own)]
+    cut = sorted(r.text for r in G.remove_repeats(docs_of(rows)).collect())
+    assert cut == sorted([rows[0][1], rows[1][1].replace(f"{shared} ", ""), own, own]) or cut == sorted([rows[0][1], rows[1][1].replace(shared, ""), own, own])
+
+
 # ---- the pipeline's stages
 
 
