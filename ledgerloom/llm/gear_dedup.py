@@ -22,13 +22,14 @@ of the texts that its chunks are kept at holds `min_words` words of it in a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free_names, map_slices, materialize
+from .shared import SLICE_BYTES, free_names, map_slices, materialize, slices
 from .textops import BYTE_HASH, IS_WORD, U, inverse_powers, mix, powers, text_bytes
 
 WINDOW = 16
@@ -37,6 +38,8 @@ MAX_GAP = 256
 CUT_MASK = np.uint32(0b11111 << 11)
 GEAR = (mix(np.arange(256, dtype=U) + U(77 << 16)) >> U(32)).astype(np.uint32)
 LENGTH_BITS = 20
+#: Bytes of text that are cut into chunks at once: working on them takes some fifty times as much.
+CHUNK_SLICE = 512 << 10
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -106,12 +109,17 @@ def chunk_table(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
         ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "doc_hash"))
         return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[d], pa.int64()), pa.array(hashes[d], pa.int64()), pa.array((s << LENGTH_BITS) | n)], ["digest", "doc_id", "doc_hash", "at"])
 
-    return map_slices(_keyed(docs).where("doc_id is not null and length(text) > 0"), run, "digest long, doc_id long, doc_hash long, at long")
+    return map_slices(_keyed(docs).where("doc_id is not null and length(text) > 0"), run, "digest long, doc_id long, doc_hash long, at long", most=CHUNK_SLICE)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(text).alias("doc_hash"), text.alias("text"))
+
+
+def _text_hash(text: Column) -> Column:
+    """Tells texts under one id apart; 32 bits, since it travels with every chunk."""
+    return F.hash(text).cast("long")
 
 
 def repeated_chunks(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
@@ -230,33 +238,57 @@ def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int) -> DataFram
     wanted = asked.groupBy("doc", "hash").agg(F.collect_list(F.struct("pos", "behind", "reach")).alias("asked"))
     src = _keyed(docs).where("text is not null").withColumnsRenamed({"doc_id": "doc", "doc_hash": "hash"})
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, ofs = text_bytes(batch.column("text"))
-        rows = []
-        for i, (doc, hashed, ask) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "hash", "asked")), strict=True)):
-            text = data[ofs[i] : ofs[i + 1]]
-            whole = np.array([0, len(text)])
-            cuts, natural = cut_points(text, whole)[0], natural_cuts(text, whole)[0]
-            for x in ask:
-                pos, reach = x["pos"], x["reach"]
-                if x["behind"]:
-                    k = np.searchsorted(cuts, pos + reach + min_chunk)
-                    part = text[pos : cuts[k] + 1 if k < len(cuts) else len(text)]
-                else:
-                    k = np.searchsorted(natural, pos - reach)
-                    part = text[max(0, int(natural[k - 1]) - WINDOW) if k else 0 : pos]
-                rows.append((doc, hashed, pos, x["behind"], reach, part.tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["doc", "hash", "pos", "behind", "reach", "bytes"])
-
-    found = map_slices(src.join(wanted, ["doc", "hash"]), run, "doc long, hash long, pos long, behind boolean, reach long, bytes binary")
-    return materialize(found.dropDuplicates(["doc", "hash", "pos", "behind", "reach"]), "gear-surroundings")
+    names, kinds = ["doc", "hash", "pos", "behind", "reach", "bytes"], (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, ofs = text_bytes(batch.column("text"))
+            rows, held = [], 0
+            for i, (doc, hashed, ask) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "hash", "asked")), strict=True)):
+                text = data[ofs[i] : ofs[i + 1]]
+                whole = np.array([0, len(text)])
+                cuts, natural = cut_points(text, whole)[0], natural_cuts(text, whole)[0]
+                for x in ask:
+                    pos, reach = x["pos"], x["reach"]
+                    if x["behind"]:
+                        k = np.searchsorted(cuts, pos + reach + min_chunk)
+                        part = text[pos : cuts[k] + 1 if k < len(cuts) else len(text)]
+                    else:
+                        k = np.searchsorted(natural, pos - reach)
+                        part = text[max(0, int(natural[k - 1]) - WINDOW) if k else 0 : pos]
+                    rows.append((doc, hashed, pos, x["behind"], reach, part.tobytes()))
+                    held += len(part) + 64
+                    if held > SLICE_BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+            yield table(rows)
+
+    found = src.join(wanted, ["doc", "hash"]).mapInArrow(run, "doc long, hash long, pos long, behind boolean, reach long, bytes binary")
+    with _few_rows(docs.sparkSession):
+        return materialize(found.dropDuplicates(["doc", "hash", "pos", "behind", "reach"]), "gear-surroundings")
+
+
+@contextmanager
+def _few_rows(spark: SparkSession, most: int = 200) -> Iterator[None]:
+    """Jobs in it hand Python workers so many rows at once: rows that hold what stands around stretches are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _with_stretches(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
     """(__id, __hash, __runs) of each document that holds a chunk kept elsewhere, with what stands around the kept occurrence."""
-    runs = materialize(_stretch_table(repeated_chunks(docs, min_chunk)), "gear-runs")
-    runs = runs.withColumn("keep_end", F.col("keep_start") + F.col("e") - F.col("s"))
+    repeats = repeated_chunks(docs, min_chunk)
+    with _few_rows(docs.sparkSession):
+        runs = materialize(_stretch_table(repeats), "gear-runs")
+    # as powers of two, so that many copies of a text ask for few stretches of it
+    rounded = lambda c: F.when(F.col(c) == 0, 0).otherwise(F.pow(2.0, F.ceil(F.log2(F.greatest(F.col(c), F.lit(128)))))).cast("long")
+    runs = runs.withColumns({"keep_end": F.col("keep_start") + F.col("e") - F.col("s"), "lead": rounded("lead"), "tail": rounded("tail")})
     of = lambda pos, reach, behind: runs.select(F.col("keep_doc_id").alias("doc"), F.col("keep_hash").alias("hash"), F.col(pos).alias("pos"), F.col(reach).alias("reach"), F.lit(behind).alias("behind"))
     around = _surroundings(docs, of("keep_start", "lead", False).unionByName(of("keep_end", "tail", True)).distinct(), min_chunk)
     kept = {"doc": "keep_doc_id", "hash": "keep_hash"}
@@ -268,23 +300,29 @@ def _with_stretches(docs: DataFrame, min_words: int, min_chunk: int) -> DataFram
     return materialize(runs.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs")), "gear-spans")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) -> DataFrame:
-    """One row per repeated passage: doc_id, start, length (bytes), n_words, passage (text), keep_doc_id, keep_start."""
+def _passage_table(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
+    """(doc_id, doc_hash, start, length, n_words, passage, keep_doc_id, keep_start), once for each passage of a document."""
     found = _with_stretches(docs, min_words, min_chunk)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
-        ids = batch.column("doc_id").to_pylist()
+        ids, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "doc_hash"))
         rows = []
         for i, runs in enumerate(batch.column("__runs").to_pylist()):
             text = data[ofs[i] : ofs[i + 1]]
-            rows += [(ids[i], s, e - s, w, text[s:e].tobytes().decode("utf-8", "replace"), kd, ks) for s, e, w, kd, ks in passages(text, runs, min_words)]
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "n_words", "passage", "keep_doc_id", "keep_start"])
+            rows += [(ids[i], hashes[i], s, e - s, w, text[s:e].tobytes().decode("utf-8", "replace"), kd, ks) for s, e, w, kd, ks in passages(text, runs, min_words)]
+        cols = list(zip(*rows, strict=True)) or [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "doc_hash", "start", "length", "n_words", "passage", "keep_doc_id", "keep_start"])
 
-    src = _keyed(docs)
-    return map_slices(src.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("doc_hash") == F.col("__hash"))).drop("__id", "__hash", "doc_hash"), run, "doc_id long, start long, length long, n_words long, passage string, keep_doc_id long, keep_start long")
+    texts = _keyed(docs).join(found, (F.col("doc_id") == F.col("__id")) & (F.col("doc_hash") == F.col("__hash"))).drop("__id", "__hash")
+    with _few_rows(docs.sparkSession):
+        return materialize(map_slices(texts, run, "doc_id long, doc_hash long, start long, length long, n_words long, passage string, keep_doc_id long, keep_start long"), "gear-passages")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) -> DataFrame:
+    """One row per repeated passage: doc_id, start, length (bytes), n_words, passage (text), keep_doc_id, keep_start; rows that repeat a document repeat its passages."""
+    return _passage_table(docs, min_words, min_chunk).drop("doc_hash")
 
 
 def _spans(col: pa.Array) -> list[tuple[np.ndarray, ...]]:
@@ -300,40 +338,37 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, min_chunk: int = 64) ->
 
     All columns come through, and n_chars, where there is one, follows the new text.
     """
-    own, hashed, spans = free_names(docs, "id", "hash", "runs")
-    found = _with_stretches(docs, min_words, min_chunk).withColumnsRenamed({"__id": own, "__hash": hashed, "__runs": spans})
+    own, hashed, spans = free_names(docs, "id", "hash", "spans")
+    found = _passage_table(docs, min_words, min_chunk).groupBy(F.col("doc_id").alias(own), F.col("doc_hash").alias(hashed)).agg(F.collect_set(F.struct("start", "length")).alias(spans))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs_at = batch.schema.get_field_index(spans)
+        at = batch.schema.get_field_index(spans)
         data, ofs = text_bytes(batch.column("text"))
-        col = batch.column(runs_at)
-        touched = np.flatnonzero(~np.asarray(col.is_null()))
         texts = batch.column("text").to_pylist()
         keep = np.ones(batch.num_rows, bool)
         lengths = {}
-        for i, runs in zip(touched, col.take(pa.array(touched)).to_pylist(), strict=True):
-            text = data[ofs[i] : ofs[i + 1]]
-            cut = passages(text, runs, min_words)
+        for i, cut in enumerate(batch.column(at).to_pylist()):
             if not cut:
                 continue
+            text = data[ofs[i] : ofs[i + 1]]
             left = np.ones(len(text), bool)
-            for s, e, *_ in cut:
-                left[s:e] = False
+            for x in cut:
+                left[x["start"] : x["start"] + x["length"]] = False
             text = text[left]
             keep[i] = _words(text) > 0
             texts[i] = text.tobytes().decode("utf-8", "replace")
-            lengths[int(i)] = len(texts[i])
+            lengths[i] = len(texts[i])
         cols = list(batch.columns)
         cols[batch.schema.get_field_index("text")] = pa.array(texts, pa.string())
-        at = batch.schema.get_field_index("n_chars")
-        if at >= 0 and lengths:
-            n = cols[at].to_pylist()
+        chars = batch.schema.get_field_index("n_chars")
+        if chars >= 0 and lengths:
+            n = cols[chars].to_pylist()
             for i, length in lengths.items():
                 n[i] = length
-            cols[at] = pa.array(n, cols[at].type)
-        del cols[runs_at]
-        names = [x for i, x in enumerate(batch.schema.names) if i != runs_at]
+            cols[chars] = pa.array(n, cols[chars].type)
+        del cols[at]
+        names = [x for i, x in enumerate(batch.schema.names) if i != at]
         return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
-    key = docs.select(F.col("doc_id").cast("long").alias(own), F.xxhash64(F.col("text").cast("string")).alias(hashed), *docs.columns)
+    key = docs.select(F.col("doc_id").cast("long").alias(own), _text_hash(F.col("text").cast("string")).alias(hashed), *docs.columns)
     return map_slices(key.join(found, [own, hashed], "left").drop(own, hashed), run, docs.schema)
