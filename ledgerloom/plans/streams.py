@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..sources.ledger_store import held
 from ..staging import fresh_path
+from ..sources.incremental import Changes
 from ..streaming import ingest as I
+from ..streaming import stateful as T
 from .adapters import duck
 from .registry import query
 
@@ -69,3 +71,69 @@ def str01_ingest(spark, d):
         part.write.mode("append").parquet(f"{folder}/in")
         I.ingest(spark, f"{folder}/in", events.schema, f"{folder}/ledger", f"{folder}/state", ["user_id", "category"], "id").awaitTermination()
     return held(spark, f"{folder}/ledger", ["user_id", "category"])
+
+
+_MOST, _SPAN = 3, 21_600
+
+
+@query(f"SELECT event_id AS id, user_id, coalesce(lag(ts, {_MOST}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= ts - INTERVAL {_SPAN} SECOND, true) AS allowed FROM events WHERE ts IS NOT NULL")
+def str07_limiter(spark, d):
+    with T.keyed_state(spark):
+        return _run(spark, T.limited(_stream(spark, d), "ts", _MOST, _SPAN))
+
+
+#: Each customer as a job and its orders as events: submitted, then claimed, renewed, completed and failed at changing pace.
+_EVENTS = """
+SELECT job_id, id, secs, n, CASE WHEN n = 0 THEN 'submitted' ELSE CASE (id * 7 + n) % 5 WHEN 0 THEN 'claimed' WHEN 1 THEN 'failed' WHEN 2 THEN 'claimed' WHEN 3 THEN 'heartbeat' ELSE 'completed' END END AS event
+FROM (SELECT o_custkey AS job_id, o_orderkey AS id, CAST(floor(o_orderkey / 10) AS BIGINT) AS secs, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)
+"""
+_JOBS_SQL = f"""
+WITH RECURSIVE numbered AS ({_EVENTS}),
+life AS (
+  SELECT job_id, n, 'pending' AS status, 0 AS attempts, 0 AS until FROM numbered WHERE n = 0
+  UNION ALL
+  SELECT job_id, n, CASE WHEN event = 'claimed' AND status = 'pending' THEN 'processing' WHEN event = 'completed' AND status = 'processing' THEN 'completed'
+      WHEN event = 'failed' AND status = 'processing' THEN if(attempts < 3, 'waiting', 'failed') ELSE status END,
+    attempts + if(event = 'claimed' AND status = 'pending', 1, 0),
+    CASE WHEN event = 'claimed' AND status = 'pending' OR event = 'heartbeat' AND status = 'processing' THEN secs + 300
+      WHEN event = 'failed' AND status = 'processing' AND attempts < 3 THEN secs + 60 WHEN status IN ('processing', 'waiting') AND event NOT IN ('completed', 'failed') THEN until WHEN status = 'waiting' THEN until ELSE 0 END
+  FROM (SELECT e.job_id, e.n, e.secs, e.event, w.attempts,
+      CASE WHEN lapsed AND e.secs >= w.until + 60 AND w.attempts < 3 OR w.status = 'waiting' AND e.secs >= w.until THEN 'pending' WHEN lapsed AND w.attempts < 3 THEN 'waiting' WHEN lapsed THEN 'failed' ELSE w.status END AS status,
+      CASE WHEN lapsed THEN w.until + 60 ELSE w.until END AS until
+    FROM (SELECT l.*, e2.secs AS now, l.status = 'processing' AND e2.secs > l.until AS lapsed FROM life l JOIN numbered e2 ON e2.job_id = l.job_id AND e2.n = l.n + 1) w
+    JOIN numbered e ON e.job_id = w.job_id AND e.n = w.n + 1))
+SELECT job_id, max_by(status, n) AS status, CAST(max_by(attempts, n) AS BIGINT) AS attempts FROM life GROUP BY job_id
+"""
+
+
+@query(_JOBS_SQL)
+def mdl17_job_states(spark, d):
+    folder = _folder(spark)
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    events = spark.sql(_EVENTS.replace("FROM orders)", "FROM {orders})"), orders=orders)
+    events = events.select("job_id", "id", "event", F.timestamp_seconds("secs").alias("ts"))
+    # two deliveries, of which the second brings the first once more
+    early = F.col("id") <= orders.agg(F.expr("max(o_orderkey) div 2")).scalar()
+    for part in (events.where(early), events):
+        part.write.mode("append").parquet(f"{folder}/in")
+        with T.keyed_state(spark):
+            states = T.job_states(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+            states.writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(states.schema).parquet(f"{folder}/out").groupBy("job_id").agg(F.max_by(F.struct("status", "attempts"), "last_id").alias("s"))
+    return last.select("job_id", "s.*")
+
+
+@query("SELECT event_id AS id, CAST(CASE WHEN ts <= (SELECT min(ts) FROM events) + INTERVAL 5 DAY THEN 1 WHEN ts <= (SELECT min(ts) FROM events) + INTERVAL 12 DAY THEN 2 ELSE 3 END AS BIGINT) AS run FROM events WHERE event_id % 3 <> 0")
+def src14_incremental(spark, d):
+    """Three runs over events that grow; the second one stops before it is done and is taken up when there are more events already."""
+    folder = _folder(spark)
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("updated_at"), (F.col("event_id") % 3 != 0).alias("is_manual"))
+    begin = events.agg(F.min("updated_at")).scalar()
+    changes = Changes(spark, f"{folder}/marks")
+    upto = lambda days: events.where(F.col("updated_at") <= begin + F.expr(f"interval {days} days"))
+    for days, ends in ((5, True), (12, False), (99, True), (99, True)):
+        run, rows = changes.begin(upto(days))
+        if ends:
+            rows.select("id", F.lit(run).cast("bigint").alias("run")).write.mode("append").parquet(f"{folder}/out")
+            changes.done(run)
+    return spark.read.parquet(f"{folder}/out")
