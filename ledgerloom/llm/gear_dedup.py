@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, free_names, map_slices, materialize, slices
+from .shared import SLICE_BYTES, free_names, map_slices, materialize, release, slices
 from .textops import BYTE_HASH, IS_WORD, U, inverse_powers, mix, powers, text_bytes
 
 WINDOW = 16
@@ -225,6 +225,7 @@ def _stretch_table(repeats: DataFrame) -> DataFrame:
                 rows.append((np.full(len(got[0]), i), np.full(len(got[0]), h), *got))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*rows, strict=True)], names)
+        release()
 
     return spans.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -270,7 +271,7 @@ def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int) -> DataFram
 
 
 @contextmanager
-def _few_rows(spark: SparkSession, most: int = 200) -> Iterator[None]:
+def _few_rows(spark: SparkSession, most: int = 16) -> Iterator[None]:
     """Jobs in it hand Python workers so many rows at once: rows that hold what stands around stretches are wide."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -297,7 +298,7 @@ def _with_stretches(docs: DataFrame, min_words: int, min_chunk: int) -> DataFram
     runs = runs.join(before, ["keep_doc_id", "keep_hash", "keep_start", "lead"]).join(after, ["keep_doc_id", "keep_hash", "keep_end", "tail"])
     # so many words need a byte each, and one between them
     runs = runs.where(F.col("e") - F.col("s") + F.length("before") + F.length("after") >= 2 * min_words - 1)
-    return materialize(runs.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs")), "gear-spans")
+    return runs.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs"))
 
 
 def _passage_table(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
