@@ -11,8 +11,9 @@ one grouping (a full outer join would forget how its rows lie, and shuffle them)
 one token of either side, so every row that comes of it is one link: of the tokens that end there or, seen from the text's end, began last before it. Running counts
 of common ends number the groups. No pairs within a group are tried, so a group of any length is linear.
 
-The tables of a block are bucketed by it and stay where they are; the counts of id pairs are combined before they are
-shuffled. Blocks are named by partition and order, and written once.
+The tables of a block are bucketed by it and stay where they are: nothing of a piece or a document is shuffled. A block's pieces
+and documents meet in one task of bounded size, which counts documents by id pair, and strings the pieces of each document
+together; only those counts are shuffled.
 
 A row is a document, whether or not its id is null or repeated. Null and empty texts, and texts that either side's bytes don't give
 back (those with U+2581, which the second side reads as a blank), have zeros and ''. A block has about `block_bytes` of
@@ -21,6 +22,7 @@ text, a longer text alone. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -30,15 +32,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize, slices, temporary
+from .shared import fresh_path, materialize, release, slices, temporary
 from .tokenization import odd_space, public_path
 
 #: A token travels as length, one bit for its side, id.
 ID_BITS = 20
+#: A piece's number: its partition, the block within that, the piece within the block.
+PIECE_BITS, BLOCK_BITS = 30, 13
+#: Pieces encoded in one call.
+AT_ONCE = 1 << 15
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Fixed value: how byte-level tokenizers of this kind split a text before they merge.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,7 +154,7 @@ class _Numbers(dict):
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
-_NAMES = ["block", "piece", "tokens", "docs", "positions", "doc", "doc_id"]
+_NAMES = ["block", "piece", "tokens", "row", "doc_id", "held"]
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -155,49 +162,60 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _block(aligner: Aligner, batch: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
-    """The distinct pieces of the texts with their tokens and the documents and positions they stand at, and the documents."""
+    """The distinct pieces of the texts with their tokens, and the documents with the pieces that they hold, in order."""
     numbers = _Numbers()
     held = [np.fromiter(map(numbers.__getitem__, cut(t)), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()]
-    tokens, n_tokens, lost = aligner.tokens(list(numbers))
+    names = list(numbers)
+    del numbers
+    # few at a time: lists of Python's numbers take many times the bytes of their text
+    parts = [aligner.tokens(names[i : i + AT_ONCE]) for i in range(0, max(1, len(names)), AT_ONCE)]
+    tokens, n_tokens, lost = map(np.concatenate, zip(*parts, strict=True))
     if lost.any():
         held = [x if not lost[x].any() else np.zeros(0, np.int32) for x in held]
-    n = np.array([len(x) for x in held], np.int64)
-    piece = np.concatenate([*held, np.zeros(0, np.int32)])
-    order = np.argsort(piece, kind="stable")
-    doc, position = np.repeat(np.arange(len(n)), n)[order], (np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n))[order]
-    count = np.bincount(piece, minlength=len(numbers))
-    used = count > 0
-    none = lambda m, kind: pa.nulls(m, kind)
-    ids, rows, k = batch.column("doc_id"), batch.num_rows, int(used.sum())
-    pieces = [pa.array(np.full(k, block)), pa.array(np.flatnonzero(used), pa.int32()), _lists(tokens[np.repeat(used, n_tokens)], n_tokens[used]), _lists(doc, count[used]), _lists(position, count[used]), none(k, pa.int32()), none(k, ids.type)]
-    docs = [pa.array(np.full(rows, block)), *(none(rows, x.type) for x in pieces[1:5]), pa.array(np.arange(rows), pa.int32()), ids]
-    return [pa.RecordBatch.from_arrays(x, _NAMES) for x in (pieces, docs)]
+    inside = np.concatenate([*held, np.zeros(0, np.int32)])
+    used = np.bincount(inside, minlength=len(names)) > 0
+    pieces = np.flatnonzero(used)
+    rows, k = batch.num_rows, len(pieces)
+    ids, begun = batch.column("doc_id"), np.array([len(x) for x in held])
+    of_pieces = [pa.array(np.full(k, block)), pa.array(block << PIECE_BITS | pieces), _lists(tokens[np.repeat(used, n_tokens)], n_tokens[used]), pa.nulls(k, pa.int32()), pa.nulls(k, ids.type), pa.nulls(k, pa.list_(pa.int32()))]
+    of_docs = [pa.array(np.full(rows, block)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.list_(pa.int32())), pa.array(np.arange(rows), pa.int32()), ids, _lists(inside, begun)]
+    return [pa.RecordBatch.from_arrays(x, _NAMES) for x in (of_pieces, of_docs)]
 
 
 def token_table(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """Rows of pieces (block, piece, tokens, docs, positions) and of documents (block, doc, doc_id)."""
+    """Rows of pieces (block, piece, tokens) and of documents (block, row, doc_id, held: numbers of pieces in the block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _ALIGNERS:
             _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
-        aligner = _ALIGNERS[a_path, b_path]
+        aligner, partition = _ALIGNERS[a_path, b_path], TaskContext.get().partitionId()
         for i, part in enumerate(slices(batches, "text", block_bytes)):
-            yield from _block(aligner, part, TaskContext.get().partitionId() << 32 | i)
+            if i >> BLOCK_BITS or partition >> (63 - PIECE_BITS - BLOCK_BITS):
+                raise ValueError("too many blocks to number: make them larger, or partitions smaller")
+            yield from _block(aligner, part, partition << BLOCK_BITS | i)
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, piece int, tokens array<int>, docs array<int>, positions array<int>, doc int, doc_id {kind}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, piece long, tokens array<int>, row int, doc_id {kind}, held array<int>")
 
 
 @contextmanager
-def _blocks_together(spark: SparkSession) -> Iterator[None]:
-    """Jobs in it join tables that are bucketed by block on block and more without a shuffle."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def _sorted_together(spark: SparkSession) -> Iterator[None]:
+    """Jobs in it join tables that are bucketed by block on block and more without a shuffle, and group rows that lie in order as they lie."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _parts(spark: SparkSession) -> int:
+    """Buckets and partitions: several to a shuffle partition, so that few hold more than one block."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @contextmanager
@@ -208,9 +226,7 @@ def _bucketed(spark: SparkSession) -> Iterator:
     def store(df: DataFrame, name: str) -> DataFrame:
         table = f"{name}_{uuid.uuid4().hex}"
         names.append(table)
-        # several to a partition, so that few hold more than one block
-        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").option("path", fresh_path(spark, name)).saveAsTable(table)
+        df.write.format("parquet").option("compression", "zstd").bucketBy(_parts(spark), "block").option("path", fresh_path(spark, name)).saveAsTable(table)
         return spark.table(table)
 
     try:
@@ -220,68 +236,129 @@ def _bucketed(spark: SparkSession) -> Iterator:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def _ends(pieces: DataFrame) -> DataFrame:
-    """(block, piece, end, a, b): the ids of the tokens that end at each end of either side."""
-    packed = pieces.select("block", "piece", F.posexplode("tokens").alias("pos", "token"))
-    side = F.shiftright("token", ID_BITS).bitwiseAND(1)
-    running = Window.partitionBy("block", "piece", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = packed.withColumn("side", side).select("block", "piece", "side", F.sum(F.shiftright("token", ID_BITS + 1)).over(running).alias("end"), F.col("token").bitwiseAND((1 << ID_BITS) - 1).alias("id"))
-    of = lambda k, name: F.max(F.when(F.col("side") == k, F.col("id"))).alias(name)
-    return ends.groupBy("block", "piece", "end").agg(of(0, "a"), of(1, "b"))
-
-
 def aligned(pieces: DataFrame) -> DataFrame:
-    """(block, piece, end, a, b, link, group) of (block, piece, tokens): a row for each end; link packs the ids of the tokens that hold the bytes before it, group counts from the text's end."""
-    back = Window.partitionBy("block", "piece").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    """(block, piece, end, a, b, link, group) of (block, piece, tokens): a row for each end of either side, with the ids of the tokens that end there; link packs the ids of the tokens that hold the bytes before it, group counts from the text's end."""
+    side, id_ = F.shiftright("token", ID_BITS).bitwiseAND(1), F.col("token").bitwiseAND((1 << ID_BITS) - 1)
+    packed = pieces.select("block", "piece", F.posexplode("tokens").alias("pos", "token")).withColumn("side", side)
+    # the piece leads, as its number tells rows apart: a task has few blocks
+    running = Window.partitionBy("piece", "block", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = packed.select("block", "piece", "side", F.sum(F.shiftright("token", ID_BITS + 1)).over(running).alias("end"), id_.alias("id"))
+    of = lambda k, name: F.max(F.when(F.col("side") == k, F.col("id"))).alias(name)
+    both = ends.groupBy("piece", "block", "end").agg(of(0, "a"), of(1, "b"))
+    back = Window.partitionBy("piece", "block").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     holds = lambda side: F.last(side, ignorenulls=True).over(back)
     link = F.shiftleft(holds("a").cast("long"), 32).bitwiseOR(holds("b").cast("long"))
-    return _ends(pieces).select("block", "piece", "end", "a", "b", link.alias("link"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back).alias("group"))
+    return both.select("block", "piece", "end", "a", "b", link.alias("link"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back).alias("group"))
 
 
 def piece_table(pieces: DataFrame) -> DataFrame:
-    """(block, piece, n_a, n_b, n_groups, n_links, links, groups)."""
+    """(block, piece, n_a, n_b, n_groups, n_links, links, groups) of (block, piece, tokens)."""
     # one side's ids of a piece: commas within groups, a semicolon after each; the last group ends with the piece
     after = F.when(F.col("a").isNull() | F.col("b").isNull(), ",").otherwise(";")
     text = lambda side: F.when(F.col(side).isNull(), "").otherwise(F.concat(F.col(side).cast("string"), after)).alias(f"{side}_text")
     rows = aligned(pieces).select("block", "piece", "a", "b", "link", "group", F.struct("end", text("a"), text("b")).alias("at"))
-    found = rows.groupBy("block", "piece").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.collect_list("link").alias("links"), F.sort_array(F.collect_list("at")).alias("at"))
+    found = rows.groupBy("piece", "block").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.collect_list("link").alias("links"), F.sort_array(F.collect_list("at")).alias("at"))
     side = lambda c: F.split(F.array_join(F.col(f"at.{c}_text"), ""), ";")
     groups = F.zip_with(side("a"), side("b"), lambda a, b: F.concat(a, F.lit("|"), b))
     return found.select("block", "piece", "n_a", "n_b", "n_groups", "n_links", "links", F.array_join(F.slice(groups, 1, F.col("n_groups").cast("int")), ";").alias("groups"))
 
 
-def link_counts(pieces: DataFrame, links: DataFrame) -> DataFrame:
+def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists as all values and, by row, how many."""
+    column = table.column(name)
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    sizes = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate([*parts, np.zeros(0, np.int32)]) if parts else np.zeros(0, np.int64), np.concatenate([*sizes, np.zeros(0, np.int32)]).astype(np.int64)
+
+
+def _rows(pieces: pa.Table) -> np.ndarray:
+    """Where each piece of a block stands in its table, by its number in the block."""
+    number = pieces.column("piece").to_numpy() & ((1 << PIECE_BITS) - 1)
+    at = np.zeros(int(number.max(initial=-1)) + 1, np.int32)
+    at[number] = np.arange(len(number))
+    return at
+
+
+def _texts(docs: pa.Table) -> Iterator[np.ndarray]:
+    """The pieces of each document of a block."""
+    held, size = _flat(docs, "held")
+    end = np.cumsum(size)
+    for e, n in zip(end.tolist(), size.tolist(), strict=True):
+        yield held[e - n : e]
+
+
+def _holders(key: tuple, pieces: pa.Table, docs: pa.Table) -> pa.Table:
+    """(block, link, n): in how many of a block's documents each id pair is linked."""
+    links, size = _flat(pieces, "links")
+    begin, at = np.cumsum(size) - size, _rows(pieces)
+    pairs, pair = np.unique(links, return_inverse=True)
+    count = np.zeros(len(pairs), np.int64)
+    for held in _texts(docs):
+        if len(held):
+            rows = at[np.unique(held)]
+            n = size[rows]
+            count[np.unique(pair[np.repeat(begin[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])] += 1
+    release()
+    return pa.table({"block": pa.array(np.full(len(pairs), key[0].as_py(), np.int64)), "link": pa.array(pairs, pa.int64()), "n": count})
+
+
+def link_counts(holders: DataFrame) -> DataFrame:
     """(link, n, best): in how many documents each id pair is linked, and whether that is the most of its first id."""
-    held = pieces.select("block", "piece", F.array_distinct("docs").alias("docs"))
-    met = held.join(links.select("block", "piece", F.array_distinct("links").alias("links")), ["block", "piece"])
-    pairs = met.select("block", "links", F.explode("docs").alias("doc")).select("block", "doc", F.explode("links").alias("link")).distinct()
-    counts = materialize(pairs.groupBy("link").agg(F.count(F.lit(1)).alias("n")), "alignment-counts")
+    counts = holders.groupBy("link").agg(F.sum("n").alias("n"))
     return counts.withColumn("best", (F.col("n") == F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))).cast("long"))
 
 
-def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = 32 << 20) -> DataFrame:
-    """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (text: a1,a2|b1;a3|b2,b3)."""
+_SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def _joined(groups: list[str], rows: list[int], digest: bool) -> str:
+    if not digest or not rows:
+        return ";".join([groups[i] for i in rows])
+    state, step = hashlib.sha256(), 1 << 16
+    for i in range(0, len(rows), step):
+        state.update(((";" if i else "") + ";".join([groups[j] for j in rows[i : i + step]])).encode())
+    return state.hexdigest()
+
+
+def _assembled(pieces: pa.Table, docs: pa.Table, digest: bool) -> pa.Table:
+    """A block's documents with their sums and groups; the row numbered 0 has the counts of the block's id pairs."""
+    links, size = _flat(pieces, "links")
+    first = docs.filter(pa.compute.equal(docs.column("row"), 0))
+    pair, n, best = (_flat(first, c)[0] for c in ("pairs", "counts", "bests"))
+    order = np.argsort(pair)
+    weight = order[np.searchsorted(pair, links, sorter=order)] if len(links) else np.zeros(0, np.int64)
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[weight])])[np.concatenate([[0], np.cumsum(size)])])
+    sums = np.stack([*(pieces.column(c).to_numpy() for c in _SUMS[:4]), total(best), total(n)], axis=1).astype(np.int64) if pieces.num_rows else np.zeros((0, 6), np.int64)
+    groups, at = pieces.column("groups").to_pylist(), _rows(pieces)
+    of_docs, texts = np.zeros((docs.num_rows, 6), np.int64), []
+    for i, held in enumerate(_texts(docs)):
+        rows = at[held] if len(held) else held
+        of_docs[i] = sums[rows].sum(axis=0)
+        texts.append(_joined(groups, rows.tolist(), digest))
+    release()
+    return pa.table({"doc_id": docs.column("doc_id"), **{c: of_docs[:, k] for k, c in enumerate(_SUMS)}, "groups": pa.array(texts, pa.string())})
+
+
+def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = 16 << 20, digest: bool = False) -> DataFrame:
+    """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (text: a1,a2|b1;a3|b2,b3; with digest its SHA-256, '' without tokens)."""
     spark = docs.sparkSession
     path = fresh_path(spark, "alignment")
-    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    with temporary(spark), _bucketed(spark) as store, _blocks_together(spark):
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    with temporary(spark), _bucketed(spark) as store, _sorted_together(spark):
         table = store(token_table(docs, a_path or public_path("byte_bpe_50k.json"), b_path or public_path("piece_bpe_32k.model"), block_bytes), "alignment_tokens")
-        pieces = table.where("piece is not null")
-        found = store(piece_table(pieces), "alignment_pieces")
-        counts = link_counts(pieces, found)
-        weights = found.select("block", "piece", F.explode("links").alias("link")).join(counts, "link").select("block", "piece", "n", "best").repartition("block")
-        weights = weights.groupBy("block", "piece").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-        parts = pieces.select("block", "piece", "docs", "positions").join(found.drop("links"), ["block", "piece"]).join(weights, ["block", "piece"])
-        parts = parts.select("block", F.inline(F.arrays_zip("docs", "positions")).alias("doc", "pos"), *sums, "groups")
-        whole = parts.groupBy("block", "doc").agg(*[F.sum(c).alias(c) for c in sums], F.sort_array(F.collect_list(F.struct("pos", "groups"))).alias("parts"))
-        whole = whole.select("block", "doc", *sums, F.array_join(F.col("parts.groups"), ";").alias("groups"))
-        all_docs = table.where("doc is not null").select("block", "doc", "doc_id")
-        out = all_docs.join(whole, ["block", "doc"], "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums], F.coalesce("groups", F.lit("")).alias("groups"))
+        texts = table.where("row is not null").select("block", "row", "doc_id", "held")
+        found = store(piece_table(table.where("piece is not null").select("block", "piece", "tokens")), "alignment_pieces")
+        holders = found.select("block", "piece", "links").groupBy("block").cogroup(texts.select("block", "held").groupBy("block")).applyInArrow(_holders, "block long, link long, n long")
+        holders = materialize(holders, "alignment-holders")
+        weights = holders.select("block", "link").join(link_counts(holders), "link").groupBy("block").agg(F.collect_list(F.struct("link", "n", "best")).alias("all"))
+        weights = weights.select("block", F.lit(0).alias("row"), F.col("all.link").alias("pairs"), F.col("all.n").alias("counts"), F.col("all.best").alias("bests"))
+        whole = texts.join(weights, ["block", "row"], "left")
+        assemble = lambda pieces, texts: _assembled(pieces, texts, digest)
+        out = found.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
         out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
 def alignment_digests(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the counts of align(), groups_sha256 ('' without tokens)."""
-    out = align(docs)
-    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
+    return align(docs, digest=True).withColumnRenamed("groups", "groups_sha256")
