@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import global_rank
+from .quantiles import exact_quantiles
 
 ENCODER, HORIZON, LEAST_DAYS = 60, 30, 90
 
@@ -47,7 +49,7 @@ def with_calendar(daily: DataFrame) -> DataFrame:
 
 def with_paydays(daily: DataFrame, percentile: float = 0.9, times: int = 2) -> DataFrame:
     """DTE-01, AGG-13, AGG-14, JOI-11: is_payday for days of the month on which incomes of at least the percentile came `times` times."""
-    threshold = daily.where("daily_income > 0").groupBy("user_id").agg(F.percentile(F.col("daily_income").cast("double"), percentile).alias("__t"))
+    threshold = exact_quantiles(daily.where("daily_income > 0"), "daily_income", [percentile], ["user_id"]).select("user_id", F.col("quantiles")[0].alias("__t"))
     dom = F.dayofmonth("date").alias("__dom")
     large = daily.join(threshold, "user_id").where(F.col("daily_income").cast("double") >= F.col("__t")).groupBy("user_id", dom).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= times).select("user_id", "__dom", F.lit(1).alias("__p"))
     return daily.withColumn("__dom", F.dayofmonth("date")).join(large, ["user_id", "__dom"], "left").withColumn("is_payday", F.coalesce("__p", F.lit(0)).cast("int")).drop("__dom", "__p")
@@ -81,9 +83,18 @@ def robust_stats(df: DataFrame, columns: list[str], by: list[str] | None = None)
         found = {c: quantiles(df, c, [0.25, 0.5, 0.75]) for c in columns}
         row = [x for lo, mid, hi in found.values() for x in (mid, None if lo is None else (hi - lo) or 1.0)]
         return df.sparkSession.createDataFrame([row], ", ".join(f"`__{c}_mid` double, `__{c}_iqr` double" for c in columns))
-    q = lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = df.groupBy(*by).agg(*[q(c).alias(c) for c in columns])
-    return s.select(*by, *[x for c in columns for x in (F.col(c)[1].alias(f"__{c}_mid"), F.when(F.col(c)[2] == F.col(c)[0], 1.0).otherwise(F.col(c)[2] - F.col(c)[0]).alias(f"__{c}_iqr"))])
+
+    def of(c: str) -> DataFrame:
+        q = F.col("quantiles")
+        return exact_quantiles(df, c, [0.25, 0.5, 0.75], by).select(*by, q[1].alias(f"__{c}_mid"), F.when(q[2] == q[0], 1.0).otherwise(q[2] - q[0]).alias(f"__{c}_iqr"))
+
+    stats = of(columns[0])
+    for c in columns[1:]:
+        more = of(c)
+        more = more.select(*[F.col(b).alias(f"__by_{i}") for i, b in enumerate(by)], *[x for x in more.columns if x not in by])
+        same = [F.col(b).eqNullSafe(F.col(f"__by_{i}")) for i, b in enumerate(by)]
+        stats = stats.join(more, reduce(lambda a, b: a & b, same)).drop(*[f"__by_{i}" for i in range(len(by))])
+    return stats
 
 
 def unscaled(col: Column, mid: Column, iqr: Column) -> Column:
