@@ -9,6 +9,7 @@ from ..functions import vectors as X
 from ..operators import clusters as C
 from ..operators import dashboard as D
 from ..operators import jobs as J
+from ..operators.metric import MetricLearner
 from ..sources import readers as R
 from ..staging import fresh_path
 from .adapters import adapted, duck, table
@@ -145,3 +146,11 @@ _NOISE = ", ".join(f"'{x}'" for x in T.V.NOISE_SEGMENTS)
 def cln05_noise(spark, d):
     parts = adapted(spark, d, "lines").select(F.explode(F.split("description", "/")).alias("s")).distinct()
     return parts.select("s", T.is_noise_segment(F.col("s")).alias("noise"))
+
+
+@query()
+def mdl10_metric_fit(spark, d):
+    """Every vector's place on the ball under the fitted projection, and how far out it is."""
+    df = table(spark, d, "embeddings")
+    model = MetricLearner("vec_id", "embedding", "label", 64, epochs=10).fit(df)
+    return model.transform(df).select("vec_id", "label", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"), F.round(X.norm(F.col("projected")), 6).alias("norm"))

@@ -62,6 +62,13 @@ class ModelStore:
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
+    def holds(self) -> bool:
+        """Whether a model has been saved."""
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        at = files.Path(f"{self.path}/model_id=*/*.parquet")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return found is not None and len(found) > 0
+
     def listing(self) -> DataFrame:
         """Newest first, with their size in MB."""
         return self.table().orderBy(F.desc("saved_at")).withColumn("mb", F.round(F.length("parameters") / 1e6, 2))
