@@ -64,11 +64,13 @@ def nearest(df: DataFrame, vector: Column, centroids: list[list[float]], thresho
 def nearest_anchor(df: DataFrame, vector: str, anchors: DataFrame, anchor: str = "label", mean: str = "mean", most: int = 10_000) -> DataFrame:
     """MDL-04: the anchor at the least Euclidean distance (ties: the least anchor), null without anchors.
 
-    anchors has a row for each label, at most `most` of them, else an error. They meet each row as one array, so no row is multiplied or moved.
+    anchors has a row for each label, at most `most` of them, else an error. They are worked out once and meet each row as one array, so no row is multiplied or moved.
     """
-    if anchors.limit(most + 1).count() > most:
+    pairs = anchors.select(F.col(anchor).alias("a"), X.doubles(mean).alias("m"))
+    held = pairs.limit(most + 1).collect()
+    if len(held) > most:
         raise ValueError(f"more than {most} anchors")
-    listed = anchors.agg(F.collect_list(F.struct(F.col(anchor).alias("a"), F.col(mean).alias("m"))).alias("__anchors"))
+    listed = df.sparkSession.createDataFrame(held, pairs.schema).agg(F.collect_list(F.struct("a", "m")).alias("__anchors"))
     gap = lambda v, m: F.aggregate(F.zip_with(v, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     best = X.let(X.doubles(vector), lambda v: F.array_min(F.transform("__anchors", lambda e: F.struct(gap(v, e["m"]).alias("d"), e["a"].alias("a")))))
     keys = [c for c in df.columns if c != vector]

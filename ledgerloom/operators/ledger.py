@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import safe
+from ..functions.text import redact, safe
 from ..staging import materialize
 
 
@@ -17,6 +17,18 @@ def for_user(df: DataFrame, user_id) -> DataFrame:
     return df.where(F.col("user_id") == user_id)
 
 
+def anonymised(df: DataFrame, mask_merchant: bool = False, scrub: bool = True) -> DataFrame:
+    """PII-01 for a ledger whole: amount, date, category, merchant and description, and nothing that names a user or a row.
+
+    With `mask_merchant` a merchant is its category with "_Merchant" ("null_Merchant" without a category); with `scrub`, e-mail
+    addresses and telephone numbers in descriptions are marks. An empty description is null. All other columns go, so the
+    columns that a scan has to read are these five.
+    """
+    merchant = F.concat(F.coalesce(F.col("category"), F.lit("null")), F.lit("_Merchant")) if mask_merchant else F.col("merchant_name")
+    text = redact("description") if scrub else safe("description")
+    return df.select("amount", F.col("transaction_date").alias("date"), "category", merchant.alias("merchant"), F.nullif(text, F.lit("")).alias("description"))
+
+
 def valid_rows(df: DataFrame, date: str = "transaction_date", amount: str = "amount", description: str | None = None) -> DataFrame:
     """FLT-01 to 03: with a date, an amount other than 0, and, if asked for, a description."""
     out = df.where(F.col(date).isNotNull() & (F.col(amount) != 0))

@@ -123,6 +123,27 @@ def pii01_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact("text").alias("text"))
 
 
+def _anonymous_lines(spark, d):
+    """Ledger rows whose descriptions hold an address, a number, neither, or nothing."""
+    tail = F.expr("CASE id % 4 WHEN 0 THEN concat(' u', user_id, '@mail.example.org') WHEN 1 THEN ' 555-123-4567' WHEN 2 THEN ' 55512345678' ELSE '' END")
+    df = adapted(spark, d, "ledger")
+    return df.withColumn("description", F.when(F.col("id") % 8 == 7, "").otherwise(F.concat("description", tail))).withColumn("category", F.when(F.col("id") % 11 > 0, F.col("category")))
+
+
+_ANONYMOUS = f"""WITH a AS (SELECT amount, transaction_date AS date, CASE WHEN id % 11 > 0 THEN category END AS category, merchant_name, CASE WHEN id % 8 = 7 THEN NULL ELSE description || CASE id % 4 WHEN 0 THEN ' [EMAIL_REDACTED]' WHEN 1 THEN ' [PHONE_REDACTED]' WHEN 2 THEN ' 55512345678' ELSE '' END END AS description FROM {_L})
+SELECT amount, date, category, """
+
+
+@query(_ANONYMOUS + "merchant_name AS merchant, description FROM a")
+def pii01_ledger(spark, d):
+    return L.anonymised(_anonymous_lines(spark, d))
+
+
+@query(_ANONYMOUS + "coalesce(category, 'null') || '_Merchant' AS merchant, description FROM a")
+def pii01_masked_merchants(spark, d):
+    return L.anonymised(_anonymous_lines(spark, d), mask_merchant=True)
+
+
 @query("WITH w AS (SELECT unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM w WHERE term <> '' GROUP BY 1) SELECT term, n, round(n::DOUBLE / (SELECT max(n) FROM c), 6) AS tf FROM c")
 def agg16_term_frequency(spark, d):
     return term_frequency(table(spark, d, "documents"), "text").withColumn("tf", F.round("tf", 6))

@@ -14,6 +14,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.functions import vectors as X
 from ledgerloom.operators import clusters as C
 from ledgerloom.operators import jobs as J
+from ledgerloom.operators import ledger as L
 from ledgerloom.sources import readers as R
 from ledgerloom.streaming import ingest as I
 
@@ -135,3 +136,15 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
         rows.write.mode("append").parquet(source)
         I.ingest(spark, source, rows.schema, ledger, f"{tmp_path}/state", ["user_id", "fingerprint"], "id").awaitTermination()
         assert sorted(r.id for r in spark.read.parquet(ledger).collect()) == [1, 3]
+
+
+def test_anonymised_ledgers_hold_nothing_that_names_a_user(spark):
+    rows = [(1, "u", 5.0, "2024-01-02", "Food", "Cafe", "to a.b@c.org 5551234567"), (2, "u", -1.0, None, None, None, None), (3, None, 2.0, "2024-01-03", "", "", "")]
+    df = spark.createDataFrame(rows, "id long, user_id string, amount double, transaction_date string, category string, merchant_name string, description string").withColumns({"date": F.lit("x"), "merchant": F.lit("y")})
+    keep = [("Food", "Cafe", "to [EMAIL_REDACTED] [PHONE_REDACTED]"), (None, None, None), ("", "", None)]
+    got = L.anonymised(df)
+    assert got.columns == ["amount", "date", "category", "merchant", "description"]
+    assert [tuple(r)[2:] for r in got.collect()] == keep
+    masked = [tuple(r)[3:] for r in L.anonymised(df, mask_merchant=True, scrub=False).collect()]
+    assert masked == [("Food_Merchant", "to a.b@c.org 5551234567"), ("null_Merchant", None), ("_Merchant", None)]
+    assert L.anonymised(df.limit(0)).collect() == []
