@@ -27,16 +27,20 @@ FROM orders
 _SQL = f"""SELECT id, day AS date, CAST(CASE WHEN income THEN price ELSE '-' || price END AS DECIMAL(12,2)) AS amount, description FROM ({_LINES.replace("STRING", "VARCHAR")})"""
 
 
+#: The orders' numbers of one file lie within a stretch of this length: whoever they belong to, it stays under the limit of a file.
+_STRETCH = 1 << 16
+
+
 def _lines(spark, d):
     return spark.sql(_LINES.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
 
 
 def _files(df, header: str, line, suffix: str, charset: str = "UTF-8", begin: str = "", end: str = "", between: str = "\n"):
-    """(path, content): the lines as files of customers' numbers modulo 23."""
-    rows = df.select((F.col("user_id") % 23).alias("f"), F.struct("id", line.alias("t")).alias("r"))
+    """(path, content): the lines as files of customers' numbers modulo 23, of a stretch of the orders' numbers each: more lines make more files, not larger ones."""
+    rows = df.select(F.concat_ws("-", F.col("user_id") % 23, F.expr(f"id div {_STRETCH}")).alias("f"), F.struct("id", line.alias("t")).alias("r"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), between)
     grouped = rows.groupBy("f").agg(text.alias("t"))
-    return grouped.select(F.concat(F.lit("in/"), F.col("f").cast("string"), F.lit(suffix)).alias("path"), F.encode(F.concat(F.lit(f"{begin}{header}"), F.col("t"), F.lit(end)), charset).alias("content"))
+    return grouped.select(F.concat(F.lit("in/"), "f", F.lit(suffix)).alias("path"), F.encode(F.concat(F.lit(f"{begin}{header}"), F.col("t"), F.lit(end)), charset).alias("content"))
 
 
 def _delimited(df, sep: str, suffix: str, header: str = "Date,Description,Debit,Credit", charset: str = "UTF-8"):

@@ -12,6 +12,7 @@ from ledgerloom.operators import clusters as C
 from ledgerloom.operators import imports as M
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import series as S
+from ledgerloom.plans import imports as PI
 from ledgerloom.sources import readers as R
 from ledgerloom.sources import sinks as K
 from ledgerloom.sources import statements as ST
@@ -179,3 +180,13 @@ def test_models_are_kept_and_removed(spark, tmp_path):
         store.save({"n": i}, metric)
     assert store.latest() == {"n": 2} and store.best() == {"n": 1}
     assert store.table().count() == store.listing().count() == 2
+
+
+def test_files_made_from_many_orders_stay_readable(spark, tmp_path):
+    n = 300_000
+    orders = spark.range(n).selectExpr("id AS o_orderkey", "1L AS o_custkey", "timestamp'1998-02-06' AS o_orderdate", "'F' AS o_orderstatus", "1000.25D AS o_totalprice")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    # one file of all lines would be over the limit and give an error in their stead
+    files = PI._delimited(PI._lines(spark, str(tmp_path)), ",", ".csv")
+    assert files.agg(F.max(F.length("content"))).first()[0] < R.MOST_BYTES < files.agg(F.sum(F.length("content"))).first()[0]
+    assert PI._read(files).agg(F.count_distinct("id")).first()[0] == n
