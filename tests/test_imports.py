@@ -190,3 +190,16 @@ def test_files_made_from_many_orders_stay_readable(spark, tmp_path):
     files = PI._delimited(PI._lines(spark, str(tmp_path)), ",", ".csv")
     assert files.agg(F.max(F.length("content"))).first()[0] < R.MOST_BYTES < files.agg(F.sum(F.length("content"))).first()[0]
     assert PI._read(files).agg(F.count_distinct("id")).first()[0] == n
+
+
+
+def test_similar_sums_are_those_of_the_pairs(spark):
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "b", "x"), (5, "c", ""), (6, "d", ""), (7, None, "Unknown"), (8, "", "Unknown"), (9, "e", None), (10, "f", "z"), (11, "a", None)]
+    df = spark.createDataFrame(rows, "id long, description string, merchant_name string")
+    chosen = df.where("id <> 2")
+    pairs = L.similar_to(df, chosen).groupBy("chosen_id").agg(F.count(F.lit(1)).alias("n"), F.sum("similar_id").alias("ids"))
+    want = sorted(map(tuple, pairs.collect()))
+    sums = L.similar_sums(df, chosen)
+    assert sorted(map(tuple, sums.collect())) == want and (7, 1, 8) in want
+    # no row of df meets a row of the chosen ones but by its group
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
