@@ -76,7 +76,7 @@ def cln03_group_key(spark, d):
 
 @query(f"SELECT grouped, count(DISTINCT description) AS n, array_to_string(list_sort(list(DISTINCT description)), '|') AS members FROM (SELECT description, {chain_sql('lower(trim(description))', V.GROUP_STEPS)} AS grouped FROM {_X}) GROUP BY 1")
 def agg17_groups(spark, d):
-    found = L.grouped_texts(adapted(spark, d, "lines"), "description", T.group_key("description"))
+    found = L.whole_groups(L.grouped_texts(adapted(spark, d, "lines"), "description", T.group_key("description")), "grouped", "members")
     return found.select("grouped", F.size("members").cast("bigint").alias("n"), F.array_join("members", "|").alias("members"))
 
 

@@ -203,3 +203,12 @@ def test_similar_sums_are_those_of_the_pairs(spark):
     assert sorted(map(tuple, sums.collect())) == want and (7, 1, 8) in want
     # no row of df meets a row of the chosen ones but by its group
     assert sums._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+
+
+
+def test_whole_groups_of_many_blocks(spark):
+    df = spark.range(1000).selectExpr("concat('t', id) AS t")
+    blocks = L.grouped_texts(df, "t", F.lit("g"), block=100)
+    assert blocks.count() > 1
+    got = L.whole_groups(blocks, "grouped", "members").collect()
+    assert [(r.grouped, r.members) for r in got] == [("g", sorted(f"t{i}" for i in range(1000)))]
