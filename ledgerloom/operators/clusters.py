@@ -19,6 +19,8 @@ from ..functions.vocabulary import KEYWORD_RULES
 from ..staging import materialize
 from .ledger import global_rank
 
+#: Depths that differ by less are the same depth.
+SAME_DEPTH = 1e-9
 # Phrases from which the labels' anchors are made.
 ANCHOR_PHRASES = {
     "Food": ["swiggy order", "zomato payment", "restaurant bill"],
@@ -171,11 +173,14 @@ def discover(df: DataFrame, key: str, vector: str, text: str, k: int, seed: int
 
 
 def taxonomy(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """MDL-09, AGG-20: macro categories lie nearer to the origin than the lower median depth, micro ones don't. The median is that of all rows, found by rank."""
+    """MDL-09, AGG-20: macro categories lie nearer to the origin than the lower median depth, micro ones don't. The median is that of all rows, found by rank.
+
+    Depths within SAME_DEPTH of the median count as it: what is as deep may differ in the last places of its sum.
+    """
     deep = materialize(df.select(label, X.depth(X.doubles(vector)).alias("norm")), "depths")
     n = deep.where("norm is not null").count()
     mid = global_rank(deep.where("norm is not null"), ["norm", label]).where(F.col("rank") == (n + 1) // 2).select(F.col("norm").alias("mid"))
-    macro = F.col("norm") < F.col("mid")
+    macro = F.col("norm") < F.col("mid") - SAME_DEPTH
     return deep.join(F.broadcast(mid)).select(label, "norm", F.when(macro, "macro").otherwise("micro").alias("level"), F.when(macro, "center").otherwise("boundary").alias("depth"))
 
 

@@ -212,3 +212,11 @@ def test_whole_groups_of_many_blocks(spark):
     assert blocks.count() > 1
     got = L.whole_groups(blocks, "grouped", "members").collect()
     assert [(r.grouped, r.members) for r in got] == [("g", sorted(f"t{i}" for i in range(1000)))]
+
+
+
+def test_depths_that_differ_by_rounding_are_one_depth(spark):
+    # the median is 1's; 0 is as deep but for the last places of its sum, and 3 is nearer by more than that
+    rows = [(0, [0.3 - 1e-13, 0.0]), (1, [0.3, 0.0]), (2, [0.5, 0.0]), (3, [0.3 - 1e-6, 0.0]), (4, [0.6, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert {r.id: r.level for r in C.taxonomy(df, "id", "v").collect()} == {0: "micro", 1: "micro", 2: "micro", 3: "macro", 4: "micro"}
