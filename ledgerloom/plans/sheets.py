@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources import statements as S
@@ -51,14 +51,18 @@ def _sheet_rows(spark, d):
     return lines.select(f.alias("f"), F.struct("id", row.alias("t")).alias("r")).groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["t"]), "").alias("t"))
 
 
+def _zipped(batches: Iterator[pa.RecordBatch], title: str) -> Iterator[pa.RecordBatch]:
+    """A workbook at a time: the sheets of a batch are many times as large as their archives."""
+    for batch in batches:
+        for f, t in zip(batch.column("f"), batch.column("t"), strict=True):
+            content = workbook(title + t.as_py(), ["Statement of <account> & co", "Txn Date", "Description", "Debit", "Credit"])
+            yield pa.RecordBatch.from_pydict({"path": [f"in/{f.as_py()}.xlsx"], "content": pa.array([content], pa.binary())})
+
+
 def _workbooks(spark, d):
     title = '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="17">' + "".join(f'<c r="{c}17" t="s"><v>{i}</v></c>' for i, c in enumerate("BCEF", 1)) + "</row>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"path": [f"in/{f}.xlsx" for f in pdf["f"]], "content": [workbook(title + t, ["Statement of <account> & co", "Txn Date", "Description", "Debit", "Credit"]) for t in pdf["t"]]})
-
-    return _sheet_rows(spark, d).mapInPandas(run, "path string, content binary")
+    return _sheet_rows(spark, d).mapInArrow(lambda batches: _zipped(batches, title), "path string, content binary")
 
 
 @query(_SQL)

@@ -1,10 +1,13 @@
 """Workbooks, and files that break their parsers, on small hand-made cases."""
 
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from ledgerloom.operators import imports as M
+from ledgerloom.plans import sheets as PS
 from ledgerloom.plans.sheets import workbook
 from ledgerloom.sources import sheets as X
 from ledgerloom.sources import statements as ST
@@ -87,3 +90,12 @@ def test_an_archive_that_unpacks_to_too_much(monkeypatch):
         list(X.first_sheet(workbook(SHEET, SHARED)))
     with pytest.raises(zipfile.BadZipFile):
         list(X.first_sheet(b"PK\x03\x04"))
+
+
+def test_workbooks_of_a_batch_are_made_one_at_a_time():
+    sheets = pa.RecordBatch.from_pydict({"f": list(range(64)), "t": [f"<row>{'x' * (1 << 20)}</row>"] * 64})
+    tracemalloc.start()
+    made = [(b.num_rows, b.column("path")[0].as_py()) for b in PS._zipped(iter([sheets]), "")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == [(1, f"in/{i}.xlsx") for i in range(64)] and peak < 16 << 20
