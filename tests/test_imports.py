@@ -220,3 +220,16 @@ def test_depths_that_differ_by_rounding_are_one_depth(spark):
     rows = [(0, [0.3 - 1e-13, 0.0]), (1, [0.3, 0.0]), (2, [0.5, 0.0]), (3, [0.3 - 1e-6, 0.0]), (4, [0.6, 0.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert {r.id: r.level for r in C.taxonomy(df, "id", "v").collect()} == {0: "micro", 1: "micro", 2: "micro", 3: "macro", 4: "micro"}
+
+
+def test_forecasts_of_many_users_share_a_task(spark):
+    start = datetime.date(2025, 1, 1)
+    rows = [(u, start + datetime.timedelta(d), 100 + u if d % 30 == 0 else 0, d % 7 + u) for u in range(600) for d in ((0, 30, 60, 95) if u else (0, 5))]
+    rows += [(None, start + datetime.timedelta(d), 5, 0) for d in (0, 99)]
+    found = S.quantile_forecast(spark.createDataFrame(rows, "user_id long, date date, daily_income long, daily_spend long"), 2)
+    # no function call for each user
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert len(got) == 600 * 2 + 1 and {r.user_id for r in got} == {None, *range(600)}
+    assert [(r.date, r.p50, r.error) for r in got if r.user_id == 0] == [(None, None, "at least 90 days of history are needed, got 6")]
+    assert sorted(str(r.date) for r in got if r.user_id is None) == ["2025-04-11", "2025-04-12"]
