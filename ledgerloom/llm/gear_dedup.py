@@ -40,6 +40,11 @@ GEAR = (mix(np.arange(256, dtype=U) + U(77 << 16)) >> U(32)).astype(np.uint32)
 LENGTH_BITS = 20
 #: Bytes of text that are cut into chunks at once: working on them takes some fifty times as much.
 CHUNK_SLICE = 512 << 10
+#: Bytes of text that a task gets, and rows of it that a worker gets at once.
+TASK_BYTES = 8 << 20
+TEXT_ROWS = 256
+#: Stretches of kept texts are asked for from and to multiples of this, so that many copies of a text ask for few.
+GRAIN = 256
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -129,8 +134,9 @@ def repeated_chunks(docs: DataFrame, min_chunk: int = 64) -> DataFrame:
     adaptive execution splits. Chunks are made twice rather than stored.
     """
     seen = chunk_table(docs, min_chunk).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    seen = materialize(seen, "gear-digests")
-    held = materialize(chunk_table(docs, min_chunk).join(seen, "digest"), "gear-chunks")
+    with _few_rows(docs.sparkSession, TEXT_ROWS):
+        seen = materialize(seen, "gear-digests")
+        held = materialize(chunk_table(docs, min_chunk).join(seen, "digest"), "gear-chunks")
     keep = held.groupBy("digest").agg(F.min(F.struct("doc_id", "doc_hash", "at")).alias("k")).select("digest", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.doc_hash").alias("keep_hash"), F.col("k.at").alias("keep_at"))
     keep = materialize(keep, "gear-keep")
     return held.join(keep, "digest").where("doc_id <> keep_doc_id or doc_hash <> keep_hash or at <> keep_at").drop("digest")
@@ -190,15 +196,18 @@ def common_span(data: np.ndarray, s: int, e: int, before: np.ndarray, after: np.
     return (a + first + int(at[0]), a + last) if len(at) else (s, s)
 
 
-def passages(data: np.ndarray, stretches: list[dict], min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, words, keep_doc_id, keep_start) of the repeated passages of one text, at whole words."""
+def passages(data: np.ndarray, pairs: list[dict], min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, words, keep_doc_id, keep_start) of the repeated passages of one text, at whole words; a pair has the stretches that are kept in one other text, and that text from `start`."""
     found = {}
-    for r in stretches:
-        start, end = min(r["s"], len(data)), min(r["e"], len(data))
-        s, e = common_span(data, start, end, np.frombuffer(r["before"], np.uint8), np.frombuffer(r["after"], np.uint8))
-        if 2 * min_words - 1 <= e - s:
-            kept = (r["keep_doc_id"], r["keep_start"] + s - r["s"])
-            found[s, e] = min(found.get((s, e), kept), kept)
+    for p in pairs:
+        other = np.frombuffer(p["bytes"], np.uint8)
+        for r in p["along"]:
+            start, end = min(r["s"], len(data)), min(r["e"], len(data))
+            at = r["keep_start"] - p["start"]
+            s, e = common_span(data, start, end, other[:at], other[at + r["e"] - r["s"] :])
+            if 2 * min_words - 1 <= e - s:
+                kept = (p["keep_doc_id"], r["keep_start"] + s - r["s"])
+                found[s, e] = min(found.get((s, e), kept), kept)
     out, reach = [], -1
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if e > reach:  # else it lies within one before
@@ -230,16 +239,22 @@ def _stretch_table(repeats: DataFrame) -> DataFrame:
     return spans.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int) -> DataFrame:
-    """(doc, hash, pos, behind, reach, bytes) for each asked for: the bytes before pos or, if `behind`, after it, as far as a run can go on that goes on for `reach` bytes.
+def _tasks(docs: DataFrame) -> int:
+    """Into how many tasks texts are dealt: more text makes more tasks, not larger ones."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int, tasks: int) -> DataFrame:
+    """(doc, hash, first, last, start, bytes) for each (doc, hash, first, last) asked for: the text from `start`, as far before first and after last as a run can go on.
 
     Every natural cut with 16 common bytes before it is a cut of both texts. So a common span that went on to the cut
     before a run's start, or to the first cut at least `min_chunk` after its end, would have one more common chunk.
     """
-    wanted = asked.groupBy("doc", "hash").agg(F.collect_list(F.struct("pos", "behind", "reach")).alias("asked"))
-    src = _keyed(docs).where("text is not null").withColumnsRenamed({"doc_id": "doc", "doc_hash": "hash"})
+    wanted = asked.repartition(tasks, "doc", "hash").groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+    src = _keyed(docs).where("text is not null").withColumnsRenamed({"doc_id": "doc", "doc_hash": "hash"}).repartition(tasks, "doc", "hash")
 
-    names, kinds = ["doc", "hash", "pos", "behind", "reach", "bytes"], (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    names, kinds = ["doc", "hash", "first", "last", "start", "bytes"], [pa.int64()] * 5 + [pa.binary()]
     table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,23 +266,21 @@ def _surroundings(docs: DataFrame, asked: DataFrame, min_chunk: int) -> DataFram
                 whole = np.array([0, len(text)])
                 cuts, natural = cut_points(text, whole)[0], natural_cuts(text, whole)[0]
                 for x in ask:
-                    pos, reach = x["pos"], x["reach"]
-                    if x["behind"]:
-                        k = np.searchsorted(cuts, pos + reach + min_chunk)
-                        part = text[pos : cuts[k] + 1 if k < len(cuts) else len(text)]
-                    else:
-                        k = np.searchsorted(natural, pos - reach)
-                        part = text[max(0, int(natural[k - 1]) - WINDOW) if k else 0 : pos]
-                    rows.append((doc, hashed, pos, x["behind"], reach, part.tobytes()))
+                    k = np.searchsorted(natural, x["first"])
+                    start = max(0, int(natural[k - 1]) - WINDOW) if k else 0
+                    k = np.searchsorted(cuts, x["last"] + min_chunk)
+                    part = text[start : cuts[k] + 1 if k < len(cuts) else len(text)]
+                    rows.append((doc, hashed, x["first"], x["last"], start, part.tobytes()))
                     held += len(part) + 64
                     if held > SLICE_BYTES:
                         yield table(rows)
                         rows, held = [], 0
             yield table(rows)
+        release()
 
-    found = src.join(wanted, ["doc", "hash"]).mapInArrow(run, "doc long, hash long, pos long, behind boolean, reach long, bytes binary")
+    found = src.join(wanted, ["doc", "hash"]).mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", bytes binary")
     with _few_rows(docs.sparkSession):
-        return materialize(found.dropDuplicates(["doc", "hash", "pos", "behind", "reach"]), "gear-surroundings")
+        return materialize(found.dropDuplicates(["doc", "hash", "first", "last"]), "gear-surroundings")
 
 
 @contextmanager
@@ -282,41 +295,40 @@ def _few_rows(spark: SparkSession, most: int = 16) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def _with_stretches(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
-    """(__id, __hash, __runs) of each document that holds a chunk kept elsewhere, with what stands around the kept occurrence."""
+def _with_stretches(docs: DataFrame, min_words: int, min_chunk: int, tasks: int) -> DataFrame:
+    """(__id, __hash, __pairs) of each document that holds a chunk kept elsewhere: for each text that keeps some of its chunks the stretches and, once, what of that text they may go on in."""
     repeats = repeated_chunks(docs, min_chunk)
     with _few_rows(docs.sparkSession):
         runs = materialize(_stretch_table(repeats), "gear-runs")
-    # as powers of two, so that many copies of a text ask for few stretches of it
-    rounded = lambda c: F.when(F.col(c) == 0, 0).otherwise(F.pow(2.0, F.ceil(F.log2(F.greatest(F.col(c), F.lit(128)))))).cast("long")
-    runs = runs.withColumns({"keep_end": F.col("keep_start") + F.col("e") - F.col("s"), "lead": rounded("lead"), "tail": rounded("tail")})
-    of = lambda pos, reach, behind: runs.select(F.col("keep_doc_id").alias("doc"), F.col("keep_hash").alias("hash"), F.col(pos).alias("pos"), F.col(reach).alias("reach"), F.lit(behind).alias("behind"))
-    around = _surroundings(docs, of("keep_start", "lead", False).unionByName(of("keep_end", "tail", True)).distinct(), min_chunk)
-    kept = {"doc": "keep_doc_id", "hash": "keep_hash"}
-    before = around.where("not behind").drop("behind").withColumnsRenamed(kept | {"pos": "keep_start", "reach": "lead", "bytes": "before"})
-    after = around.where("behind").drop("behind").withColumnsRenamed(kept | {"pos": "keep_end", "reach": "tail", "bytes": "after"})
-    runs = runs.join(before, ["keep_doc_id", "keep_hash", "keep_start", "lead"]).join(after, ["keep_doc_id", "keep_hash", "keep_end", "tail"])
+    kept = ["keep_doc_id", "keep_hash"]
+    first, last = F.min(F.col("keep_start") - F.col("lead")), F.max(F.col("keep_start") + F.col("e") - F.col("s") + F.col("tail"))
+    pairs = runs.groupBy("doc_id", "doc_hash", *kept).agg(F.floor(first / GRAIN).cast("long").alias("first"), F.ceil(last / GRAIN).cast("long").alias("last"), F.collect_list(F.struct("s", "e", "keep_start")).alias("along"))
+    pairs = materialize(pairs.withColumns({c: F.col(c) * GRAIN for c in ("first", "last")}), "gear-pairs")
+    asked = pairs.select(F.col("keep_doc_id").alias("doc"), F.col("keep_hash").alias("hash"), "first", "last").distinct()
+    around = _surroundings(docs, asked, min_chunk, tasks).withColumnsRenamed({"doc": "keep_doc_id", "hash": "keep_hash"})
     # so many words need a byte each, and one between them
-    runs = runs.where(F.col("e") - F.col("s") + F.length("before") + F.length("after") >= 2 * min_words - 1)
-    return runs.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_list(F.struct("s", "e", "keep_doc_id", "keep_start", "before", "after")).alias("__runs"))
+    pairs = pairs.join(around.where(F.length("bytes") >= 2 * min_words - 1), [*kept, "first", "last"])
+    pairs = pairs.withColumnsRenamed({"doc_id": "__id", "doc_hash": "__hash"}).repartition(tasks, "__id", "__hash")
+    return pairs.groupBy("__id", "__hash").agg(F.collect_list(F.struct("keep_doc_id", "along", "start", "bytes")).alias("__pairs"))
 
 
 def _passage_table(docs: DataFrame, min_words: int, min_chunk: int) -> DataFrame:
     """(doc_id, doc_hash, start, length, n_words, passage, keep_doc_id, keep_start), once for each passage of a document."""
-    found = _with_stretches(docs, min_words, min_chunk)
+    tasks = _tasks(docs)
+    found = _with_stretches(docs, min_words, min_chunk, tasks)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, ofs = text_bytes(batch.column("text"))
         ids, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "doc_hash"))
         rows = []
-        for i, runs in enumerate(batch.column("__runs").to_pylist()):
+        for i, pairs in enumerate(batch.column("__pairs").to_pylist()):
             text = data[ofs[i] : ofs[i + 1]]
-            rows += [(ids[i], hashes[i], s, e - s, w, text[s:e].tobytes().decode("utf-8", "replace"), kd, ks) for s, e, w, kd, ks in passages(text, runs, min_words)]
+            rows += [(ids[i], hashes[i], s, e - s, w, text[s:e].tobytes().decode("utf-8", "replace"), kd, ks) for s, e, w, kd, ks in passages(text, pairs, min_words)]
         cols = list(zip(*rows, strict=True)) or [()] * 8
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "doc_hash", "start", "length", "n_words", "passage", "keep_doc_id", "keep_start"])
 
-    texts = _keyed(docs).join(found, (F.col("doc_id") == F.col("__id")) & (F.col("doc_hash") == F.col("__hash"))).drop("__id", "__hash")
+    texts = _keyed(docs).repartition(tasks, "doc_id", "doc_hash").join(found, (F.col("doc_id") == F.col("__id")) & (F.col("doc_hash") == F.col("__hash"))).drop("__id", "__hash")
     with _few_rows(docs.sparkSession):
         return materialize(map_slices(texts, run, "doc_id long, doc_hash long, start long, length long, n_words long, passage string, keep_doc_id long, keep_start long"), "gear-passages")
 

@@ -168,3 +168,17 @@ def test_repeated_rows_and_ids(docs_of):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in dart_minhash.near_duplicates(docs_of(rows)).collect()) == want
     kept = Counter((r.doc_id, r.text) for r in dart_minhash.keep_one(docs_of(rows)).collect())
     assert kept == Counter(rows[n] for n in set(up.values()))
+
+
+def test_a_kept_text_is_sent_once_for_all_its_stretches(docs_of):
+    # lines that come again and again: each of the later text's chunks lies along hundreds of alignments with the earlier text
+    rng = random.Random(31)
+    line = prose(rng, 60) + "\n"
+    first, second = line * 40, "x " + line * 30 + prose(rng, 5)
+    docs = docs_of([first, second])
+    sent = gear_dedup._with_stretches(docs, 50, 64, 4).where("__id = 1").first()
+    assert len(sent["__pairs"]) <= 2 and sum(len(p["along"]) for p in sent["__pairs"]) > 20
+    assert sum(len(p["bytes"]) for p in sent["__pairs"]) <= len(first) + len(second)
+    assert {r.doc_id for r in gear_dedup.repeated_passages(docs).collect()} == {0, 1}
+    # more text, more tasks
+    assert gear_dedup._tasks(docs_of(["a" * (3 * gear_dedup.TASK_BYTES)] * 2)) >= 6 > gear_dedup._tasks(docs)
