@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -109,14 +109,16 @@ class _Job(StatefulProcessor):
             status, until = ("waiting", at + self.retry) if attempts < self.tries else ("failed", 0)
         return status, attempts, until, i
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
-        job = tuple(self.state.get()) if self.state.exists() else None
-        for at, i, event in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["event"].tolist(), strict=True):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # jobs are many and have few events each: plain rows, as a frame of its own for each would be most of the work
+        events = sorted(((r["at"], r["id"], r["event"]) for r in rows), key=lambda e: e[:2])
+        before = job = self.state.get()
+        for at, i, event in events:
             job = self.step(job, event, at, i)
         if job is not None:
-            self.state.update(job)
-            yield pd.DataFrame([(key[0], job[0], job[1], int(pdf["id"].max()))], columns=["job_id", "status", "attempts", "last_id"])
+            if job != before:
+                self.state.update(job)
+            yield Row(job_id=key[0], status=job[0], attempts=job[1], last_id=max(i for _, i, _ in events))
 
     def close(self) -> None:
         pass
@@ -129,4 +131,4 @@ def job_states(stream: DataFrame, lease: int = 300, retry: int = 60, tries: int
     lapses, waits `retry` seconds for its next claim, `tries` in all. Events that a replay repeats change nothing. `last_id` orders the states of a job.
     """
     rows = stream.select("job_id", "id", "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at is not null and id is not null")
-    return rows.groupBy("job_id").transformWithStateInPandas(_Job(lease, retry, tries), "job_id long, status string, attempts long, last_id long", "Update", "None")
+    return rows.groupBy("job_id").transformWithState(_Job(lease, retry, tries), "job_id long, status string, attempts long, last_id long", "Update", "None")

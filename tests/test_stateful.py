@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from ledgerloom.sources.incremental import Changes
 from ledgerloom.streaming import stateful as T
@@ -90,6 +91,30 @@ def test_jobs_equal_a_plain_fold_and_replays_change_nothing(spark, tmp_path):
     assert {w[0] for w in want.values()} >= {"pending", "processing", "waiting", "completed"} and max(w[1] for w in want.values()) == 3
 
 
+def test_a_job_takes_plain_rows_and_touches_its_state_once():
+    class State:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, job):
+            self.calls.append("update")
+            self.held = job
+
+    job = T._Job(300, 60, 3)
+    job.state = State()
+    events = [Row(job_id=7, id=i, event=e, at=s * 1_000_000) for i, s, e in ((2, 10, "claimed"), (1, 0, "submitted"), (3, 20, "completed"))]
+    for calls in (["get", "update"], ["get"]):
+        State.calls.clear()
+        assert [tuple(r) for r in job.handleInputRows((7,), iter(events), None)] == [(7, "completed", 1, 3)]
+        # the second time is a replay
+        assert State.calls == calls
+    job.state.held = None
+    assert list(job.handleInputRows((7,), iter(events[:1]), None)) == []
+
+
 CHANGE = "id long, is_manual boolean, updated_at timestamp"
 
 
