@@ -28,7 +28,8 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,11 @@ from .tokenization import odd_space, public_path
 
 #: A token travels as length, one bit for its side, id.
 ID_BITS = 20
+#: In a link, whose ids have bits 32 and 0 on: whether a token of the first, of the second side ends with it.
+A_ENDS, B_ENDS = 1 << ID_BITS, 2 << ID_BITS
 #: A piece's number: its partition, the block within that, the piece within the block.
 PIECE_BITS, BLOCK_BITS = 30, 13
-#: Pieces encoded in one call.
+#: Pieces encoded, or written as text, in one call.
 AT_ONCE = 1 << 15
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Fixed value: how byte-level tokenizers of this kind split a text before they merge.
@@ -52,12 +55,43 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
+def _marked(text: str) -> str:
+    """The pieces of a text without NUL, with NUL between them."""
+    if odd_space(text):
+        return "\0".join(_CUT.split(" " + text))
+    return " " + text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+
+
 def cut(text: str) -> list[str]:
     """The pieces of a text with its leading space; together they give it back."""
-    whole = " " + text
-    if odd_space(text):
-        return _CUT.split(whole)
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").join((" ", "")).split("\0") if "\0" not in text else _CUT.split(whole)
+    return _CUT.split(" " + text) if "\0" in text else _marked(text).split("\0")
+
+
+def _numbered(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces of the texts; the numbers of the pieces that they hold, in order; how many each text holds."""
+    split = pa.compute.split_pattern(pa.array([_marked(t) if t and "\0" not in t else None for t in texts], pa.string()), "\0")
+    size = split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, pieces = np.cumsum(size) - size, [split.flatten()]
+    del split
+    at = len(pieces[0])
+    for i, t in enumerate(texts):
+        if t and "\0" in t:
+            pieces.append(pa.array(cut(t), pa.string()))
+            begin[i], size[i] = at, len(pieces[-1])
+            at += len(pieces[-1])
+    coded = pa.concat_arrays(pieces).dictionary_encode()
+    inside = coded.indices.to_numpy(zero_copy_only=False)
+    return coded.dictionary, inside if len(pieces) == 1 else inside[_spread(begin, size)], size
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For every row its places: size[i] of them from begin[i] on."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _flatten(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
 
 class ByteCoder:
@@ -81,10 +115,26 @@ class ByteCoder:
             raise ValueError("not a plain byte-level vocabulary in the order of its merges")
         byte_of = {c: b for b, c in BYTE_ALPHABET.items()}
         self.bytes = {i: bytes(byte_of[c] for c in entry) for entry, i in vocab.items() if entry not in special}
+        self.length = np.array([len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)])
         self.model = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
 
-    def ids(self, pieces: list[str]) -> list[list[int]]:
-        return list(map(self.model.encode_ordinary, pieces))
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each piece has.
+
+        Pieces of a blank and visible characters at both ends go in one call, as the split ends a match before such a blank.
+        """
+        plain = np.fromiter((p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() for p in pieces), bool, len(pieces))
+        joined = list(compress(pieces, plain))
+        text = "".join(joined)
+        flat = np.array(self.model.encode_ordinary(text), np.int32)
+        ends = np.cumsum([len(p) for p in joined] if text.isascii() else [len(p.encode()) for p in joined], dtype=np.int64)
+        at = np.searchsorted(np.cumsum(self.length[flat]), ends, side="right")
+        rest, n_rest = _flatten([self.model.encode_ordinary(p) for p in compress(pieces, ~plain)])
+        n = np.zeros(len(pieces), np.int64)
+        n[plain], n[~plain] = np.diff(at, prepend=0), n_rest
+        begin = np.zeros(len(pieces), np.int64)
+        begin[plain], begin[~plain] = at - n[plain], len(flat) + np.cumsum(n_rest) - n_rest
+        return np.concatenate([flat, rest])[_spread(begin, n)], n
 
 
 class PieceCoder:
@@ -102,11 +152,12 @@ class PieceCoder:
             byte = _BYTE_PIECE.fullmatch(entry) if self.model.is_byte(i) else None
             self.bytes[i] = bytes([int(byte[1], 16)]) if byte else entry.replace("▁", " ").encode()
 
-    def ids(self, pieces: list[str]) -> list[list[int]]:
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each piece has."""
         # a line break joins nothing; the blank before it and itself are dropped again
         own = [p[0] == " " and len(p) > 1 for p in pieces]
         got = self.model.encode([p[1:] if o else "\n" + p for p, o in zip(pieces, own, strict=True)], num_threads=1)
-        return [x if o else x[2:] for x, o in zip(got, own, strict=True)]
+        return _flatten([x if o else x[2:] for x, o in zip(got, own, strict=True)])
 
 
 class Aligner:
@@ -115,42 +166,41 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.sides = ByteCoder(a_path), PieceCoder(b_path)
         self.packed = []
+        self.entries = [pa.array([side.bytes.get(i, b"") for i in range(max(side.bytes) + 1)], pa.binary()) for side in self.sides]
         for k, side in enumerate(self.sides):
             table = np.zeros(max(side.bytes) + 1, np.int32)
             for i, raw in side.bytes.items():
                 table[i] = len(raw) << (ID_BITS + 1) | k << ID_BITS | i
             self.packed.append(table)
 
-    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        lost = np.zeros(len(raw), bool)
+    def tokens(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = pa.compute.binary_length(pieces).to_numpy().astype(np.int64)
+        names, raw, ends = pieces.to_pylist(), _bytes(pieces), np.cumsum(size)
+        lost = np.zeros(len(size), bool)
         flat, counts = [], []
-        for side, table in zip(self.sides, self.packed, strict=True):
-            ids = side.ids(pieces)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            every = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
-            total = np.concatenate([[0], np.cumsum(table[every] >> (ID_BITS + 1))])
+        for side, entries, table in zip(self.sides, self.entries, self.packed, strict=True):
+            ids, n = side.ids(names)
+            total = np.concatenate([[0], np.cumsum(table[ids] >> (ID_BITS + 1))])
             end = np.cumsum(n)
             lost |= total[end] - total[end - n] != size
-            if b"".join(map(side.bytes.__getitem__, every.tolist())) != b"".join(raw):
-                lost |= np.fromiter((b"".join(map(side.bytes.__getitem__, x)) != r for x, r in zip(ids, raw, strict=True)), bool, len(raw))
-            flat.append(table[every])
+            back = _bytes(entries.take(pa.array(ids)))
+            if back != raw:
+                lost |= np.array([back[t:u] != raw[v:w] for t, u, v, w in zip(total[end - n], total[end], ends - size, ends, strict=True)], bool)
+            flat.append(table[ids])
             counts.append(n)
         n = counts[0] + counts[1]
         out = np.empty(int(n.sum()), np.int32)
         at = np.cumsum(n) - n
         for tokens, k, begin in zip(flat, counts, (at, at + counts[0]), strict=True):
-            out[np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(len(tokens))] = tokens
+            out[_spread(begin, k)] = tokens
         return out, n, lost
 
 
-class _Numbers(dict):
-    """Numbers keys as they come."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
+def _bytes(values: pa.Array) -> bytes:
+    """The bytes of an array of strings in a row."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return data[int(at[0]) : int(at[-1])].to_pybytes() if len(values) and data is not None else b""
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -163,20 +213,18 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def _block(aligner: Aligner, batch: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
     """The distinct pieces of the texts with their tokens, and the documents with the pieces that they hold, in order."""
-    numbers = _Numbers()
-    held = [np.fromiter(map(numbers.__getitem__, cut(t)), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()]
-    names = list(numbers)
-    del numbers
+    names, inside, begun = _numbered(batch.column("text").to_pylist())
     # few at a time: lists of Python's numbers take many times the bytes of their text
-    parts = [aligner.tokens(names[i : i + AT_ONCE]) for i in range(0, max(1, len(names)), AT_ONCE)]
+    parts = [aligner.tokens(names.slice(i, AT_ONCE)) for i in range(0, max(1, len(names)), AT_ONCE)]
     tokens, n_tokens, lost = map(np.concatenate, zip(*parts, strict=True))
     if lost.any():
-        held = [x if not lost[x].any() else np.zeros(0, np.int32) for x in held]
-    inside = np.concatenate([*held, np.zeros(0, np.int32)])
+        of = np.repeat(np.arange(len(begun)), begun)
+        whole = np.bincount(of[lost[inside]], minlength=len(begun)) == 0
+        inside, begun = inside[whole[of]], np.where(whole, begun, 0)
     used = np.bincount(inside, minlength=len(names)) > 0
     pieces = np.flatnonzero(used)
     rows, k = batch.num_rows, len(pieces)
-    ids, begun = batch.column("doc_id"), np.array([len(x) for x in held])
+    ids = batch.column("doc_id")
     of_pieces = [pa.array(np.full(k, block)), pa.array(block << PIECE_BITS | pieces), _lists(tokens[np.repeat(used, n_tokens)], n_tokens[used]), pa.nulls(k, pa.int32()), pa.nulls(k, ids.type), pa.nulls(k, pa.list_(pa.int32()))]
     of_docs = [pa.array(np.full(rows, block)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.list_(pa.int32())), pa.array(np.arange(rows), pa.int32()), ids, _lists(inside, begun)]
     return [pa.RecordBatch.from_arrays(x, _NAMES) for x in (of_pieces, of_docs)]
@@ -237,30 +285,29 @@ def _bucketed(spark: SparkSession) -> Iterator:
 
 
 def aligned(pieces: DataFrame) -> DataFrame:
-    """(block, piece, end, a, b, link, group) of (block, piece, tokens): a row for each end of either side, with the ids of the tokens that end there; link packs the ids of the tokens that hold the bytes before it, group counts from the text's end."""
-    side, id_ = F.shiftright("token", ID_BITS).bitwiseAND(1), F.col("token").bitwiseAND((1 << ID_BITS) - 1)
-    packed = pieces.select("block", "piece", F.posexplode("tokens").alias("pos", "token")).withColumn("side", side)
+    """(block, piece, rest, a, b, link, group) of (block, piece, tokens): a row for each end of either side, with the ids of the tokens that end there; rest is the end, negative; link packs the ids of the tokens that hold the bytes before it, group counts from the text's end.
+
+    Rows are sorted twice: by place in the tokens, and by rest, which both the grouping and the way back from the text's end want.
+    """
+    length, side, id_ = F.shiftright("token", ID_BITS + 1), F.shiftright("token", ID_BITS).bitwiseAND(1), F.col("token").bitwiseAND((1 << ID_BITS) - 1)
+    exploded = pieces.select("block", "piece", F.posexplode("tokens").alias("pos", "token"))
     # the piece leads, as its number tells rows apart: a task has few blocks
-    running = Window.partitionBy("piece", "block", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = packed.select("block", "piece", "side", F.sum(F.shiftright("token", ID_BITS + 1)).over(running).alias("end"), id_.alias("id"))
-    of = lambda k, name: F.max(F.when(F.col("side") == k, F.col("id"))).alias(name)
-    both = ends.groupBy("piece", "block", "end").agg(of(0, "a"), of(1, "b"))
-    back = Window.partitionBy("piece", "block").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("piece", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # the second side's tokens follow the first's, which have the whole piece
+    rest = F.when(side == 0, F.lit(0)).otherwise(F.sum(F.when(side == 0, length)).over(running)) - F.sum(length).over(running)
+    of = lambda k, name: F.max(F.when(side == k, id_)).alias(name)
+    both = exploded.select("block", "piece", rest.alias("rest"), "token").groupBy("piece", "block", "rest").agg(of(0, "a"), of(1, "b"))
+    back = Window.partitionBy("piece", "block").orderBy("rest").rowsBetween(Window.unboundedPreceding, 0)
     holds = lambda side: F.last(side, ignorenulls=True).over(back)
     link = F.shiftleft(holds("a").cast("long"), 32).bitwiseOR(holds("b").cast("long"))
-    return both.select("block", "piece", "end", "a", "b", link.alias("link"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back).alias("group"))
+    return both.select("block", "piece", "rest", "a", "b", link.alias("link"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back).alias("group"))
 
 
 def piece_table(pieces: DataFrame) -> DataFrame:
-    """(block, piece, n_a, n_b, n_groups, n_links, links, groups) of (block, piece, tokens)."""
-    # one side's ids of a piece: commas within groups, a semicolon after each; the last group ends with the piece
-    after = F.when(F.col("a").isNull() | F.col("b").isNull(), ",").otherwise(";")
-    text = lambda side: F.when(F.col(side).isNull(), "").otherwise(F.concat(F.col(side).cast("string"), after)).alias(f"{side}_text")
-    rows = aligned(pieces).select("block", "piece", "a", "b", "link", "group", F.struct("end", text("a"), text("b")).alias("at"))
-    found = rows.groupBy("piece", "block").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.collect_list("link").alias("links"), F.sort_array(F.collect_list("at")).alias("at"))
-    side = lambda c: F.split(F.array_join(F.col(f"at.{c}_text"), ""), ";")
-    groups = F.zip_with(side("a"), side("b"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return found.select("block", "piece", "n_a", "n_b", "n_groups", "n_links", "links", F.array_join(F.slice(groups, 1, F.col("n_groups").cast("int")), ";").alias("groups"))
+    """(block, piece, n_a, n_b, n_groups, n_links, rests, links) of (block, piece, tokens); a link also has a bit for each side that ends a token there."""
+    ends = lambda c, bit: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.lit(bit))
+    rows = aligned(pieces).withColumn("link", F.col("link").bitwiseOR(ends("a", A_ENDS) + ends("b", B_ENDS)))
+    return rows.groupBy("piece", "block").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.collect_list(F.col("rest").cast("int")).alias("rests"), F.collect_list("link").alias("links"))
 
 
 def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -290,14 +337,14 @@ def _texts(docs: pa.Table) -> Iterator[np.ndarray]:
 def _holders(key: tuple, pieces: pa.Table, docs: pa.Table) -> pa.Table:
     """(block, link, n): in how many of a block's documents each id pair is linked."""
     links, size = _flat(pieces, "links")
+    links = links & ~(A_ENDS | B_ENDS)
     begin, at = np.cumsum(size) - size, _rows(pieces)
     pairs, pair = np.unique(links, return_inverse=True)
     count = np.zeros(len(pairs), np.int64)
     for held in _texts(docs):
         if len(held):
             rows = at[np.unique(held)]
-            n = size[rows]
-            count[np.unique(pair[np.repeat(begin[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])] += 1
+            count[pair[_spread(begin[rows], size[rows])]] += 1  # one for a document, however often a pair is there
     release()
     return pa.table({"block": pa.array(np.full(len(pairs), key[0].as_py(), np.int64)), "link": pa.array(pairs, pa.int64()), "n": count})
 
@@ -311,30 +358,75 @@ def link_counts(holders: DataFrame) -> DataFrame:
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _joined(groups: list[str], rows: list[int], digest: bool) -> str:
-    if not digest or not rows:
-        return ";".join([groups[i] for i in rows])
-    state, step = hashlib.sha256(), 1 << 16
-    for i in range(0, len(rows), step):
-        state.update(((";" if i else "") + ";".join([groups[j] for j in rows[i : i + step]])).encode())
-    return state.hexdigest()
+@lru_cache(maxsize=None)
+def _numerals(n: int) -> pa.Array:
+    """Each number below n with each mark that can follow it."""
+    return pa.array([f"{i}{mark}" for i in range(n) for mark in ",|;"], pa.large_binary())
+
+
+def _group_bytes(rests: np.ndarray, links: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The groups of pieces in a row, a semicolon after each, and how many bytes each piece has; both lists are in one order within a piece."""
+    piece = np.repeat(np.arange(len(size)), size)
+    # they come from the piece's end on, though nothing says that they must
+    falls = ((np.diff(rests) <= 0) & (np.diff(piece) == 0)).any()
+    links = links[np.lexsort((-rests, piece)) if falls else np.repeat(2 * np.cumsum(size) - size - 1, size) - np.arange(len(links))]
+    ends = (links & A_ENDS) > 0, (links & B_ENDS) > 0
+    both = ends[0] & ends[1]
+    group, last = np.cumsum(both) - both, np.flatnonzero(both)
+    rows = [np.flatnonzero(e) for e in ends]
+    n_a, n_b = (np.bincount(group[r], minlength=len(last)) for r in rows)
+    begin = np.cumsum(n_a + n_b) - n_a - n_b
+    tokens = np.empty(int((n_a + n_b).sum()), np.int64)
+    for r, n, first, ids, mark in ((rows[0], n_a, begin, links >> 32, 1), (rows[1], n_b, begin + n_a, links & ((1 << ID_BITS) - 1), 2)):
+        tokens[_spread(first, n)] = 3 * ids[r] + mark * both[r]
+    numerals = _numerals(1 << int(tokens.max(initial=0) // 3).bit_length())
+    text = numerals.take(pa.array(tokens))
+    at = np.frombuffer(text.buffers()[1], np.int64)[: len(tokens) + 1]
+    in_groups = np.bincount(piece[last], weights=n_a + n_b, minlength=len(size)).astype(np.int64)
+    return text.buffers()[2][: int(at[-1])].to_pybytes() if len(tokens) else b"", np.diff(at[np.concatenate([[0], np.cumsum(in_groups)])])
+
+
+def _group_texts(pieces: pa.Table) -> pa.Array:
+    """The groups of each piece of a block as text, a semicolon after each."""
+    (rests, size), (links, _) = _flat(pieces, "rests"), _flat(pieces, "links")
+    to, parts = np.concatenate([[0], np.cumsum(size)]), [(b"", np.zeros(1, np.int64))]
+    for i in range(0, len(size), AT_ONCE):
+        here = slice(int(to[i]), int(to[min(i + AT_ONCE, len(size))]))
+        parts.append(_group_bytes(rests[here], links[here], size[i : i + AT_ONCE]))
+    texts, lengths = zip(*parts, strict=True)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.cumsum(np.concatenate(lengths))), pa.py_buffer(b"".join(texts))])
+
+
+def _joined(groups: pa.Array, rows: np.ndarray, digest: bool) -> str:
+    """The groups of pieces strung together, without the last semicolon, or the digest of that."""
+    if not len(rows):
+        return ""
+    state, parts = hashlib.sha256(), []
+    for i in range(0, len(rows), AT_ONCE):
+        part = groups.take(pa.array(rows[i : i + AT_ONCE]))
+        data = memoryview(part.buffers()[2])[: int(np.frombuffer(part.buffers()[1], np.int64)[len(part)]) - (i + AT_ONCE >= len(rows))]
+        state.update(data) if digest else parts.append(bytes(data))
+    return state.hexdigest() if digest else b"".join(parts).decode()
 
 
 def _assembled(pieces: pa.Table, docs: pa.Table, digest: bool) -> pa.Table:
     """A block's documents with their sums and groups; the row numbered 0 has the counts of the block's id pairs."""
     links, size = _flat(pieces, "links")
+    links = links & ~(A_ENDS | B_ENDS)
     first = docs.filter(pa.compute.equal(docs.column("row"), 0))
     pair, n, best = (_flat(first, c)[0] for c in ("pairs", "counts", "bests"))
     order = np.argsort(pair)
     weight = order[np.searchsorted(pair, links, sorter=order)] if len(links) else np.zeros(0, np.int64)
+    del links
     total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[weight])])[np.concatenate([[0], np.cumsum(size)])])
     sums = np.stack([*(pieces.column(c).to_numpy() for c in _SUMS[:4]), total(best), total(n)], axis=1).astype(np.int64) if pieces.num_rows else np.zeros((0, 6), np.int64)
-    groups, at = pieces.column("groups").to_pylist(), _rows(pieces)
+    del weight
+    groups, at = _group_texts(pieces), _rows(pieces)
     of_docs, texts = np.zeros((docs.num_rows, 6), np.int64), []
     for i, held in enumerate(_texts(docs)):
         rows = at[held] if len(held) else held
         of_docs[i] = sums[rows].sum(axis=0)
-        texts.append(_joined(groups, rows.tolist(), digest))
+        texts.append(_joined(groups, rows, digest))
     release()
     return pa.table({"doc_id": docs.column("doc_id"), **{c: of_docs[:, k] for k, c in enumerate(_SUMS)}, "groups": pa.array(texts, pa.string())})
 

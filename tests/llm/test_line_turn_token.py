@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -240,3 +241,23 @@ def test_pieces_give_the_text_back():
     for _, t in token_rows(random.Random(9)):
         if t:
             assert "".join(token_alignment.cut(t)) == " " + t
+
+
+def test_pieces_in_one_call_have_the_ids_that_each_has():
+    side, rng = token_alignment.ByteCoder(public_path("byte_bpe_50k.json")), random.Random(5)
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    pieces = [p for _, t in token_rows(rng) if t for p in token_alignment.cut(t)]
+    rng.shuffle(pieces)
+    ids, n = side.ids(pieces)
+    want = [library.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_groups_as_text_whatever_the_order_of_their_rows():
+    # bytes 0-2 and 2-5 of either side, the first side's second token in two; then a piece of one token
+    a_ends, b_ends = token_alignment.A_ENDS, token_alignment.B_ENDS
+    ends, links = np.array([5, 3, 2, 4]), np.array([(9 << 32 | 4) + a_ends + b_ends, (8 << 32 | 4) + a_ends, (7 << 32 | 0) + a_ends + b_ends, (1 << 32 | 2) + a_ends + b_ends])
+    for order in ([0, 1, 2, 3], [1, 2, 0, 3], [2, 1, 0, 3]):
+        raw, sizes = token_alignment._group_bytes(-ends[order], links[order], np.array([3, 1]))
+        assert raw == b"7|0;8,9|4;1|2;" and sizes.tolist() == [10, 4]
