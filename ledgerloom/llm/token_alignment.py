@@ -295,8 +295,10 @@ def aligned(pieces: DataFrame) -> DataFrame:
     running = Window.partitionBy("piece", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # the second side's tokens follow the first's, which have the whole piece
     rest = F.when(side == 0, F.lit(0)).otherwise(F.sum(F.when(side == 0, length)).over(running)) - F.sum(length).over(running)
-    of = lambda k, name: F.max(F.when(side == k, id_)).alias(name)
-    both = exploded.select("block", "piece", rest.alias("rest"), "token").groupBy("piece", "block", "rest").agg(of(0, "a"), of(1, "b"))
+    # a hash table of all ends would fill the memory; sorted, they are grouped as they lie (max() would have the sort dropped)
+    of = lambda k, name: F.first(F.when(side == k, id_), ignorenulls=True).alias(name)
+    ends = exploded.select("block", "piece", rest.alias("rest"), "token").sortWithinPartitions("piece", "block", "rest")
+    both = ends.groupBy("piece", "block", "rest").agg(of(0, "a"), of(1, "b"))
     back = Window.partitionBy("piece", "block").orderBy("rest").rowsBetween(Window.unboundedPreceding, 0)
     holds = lambda side: F.last(side, ignorenulls=True).over(back)
     link = F.shiftleft(holds("a").cast("long"), 32).bitwiseOR(holds("b").cast("long"))
@@ -318,6 +320,13 @@ def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.int32)]) if parts else np.zeros(0, np.int64), np.concatenate([*sizes, np.zeros(0, np.int32)]).astype(np.int64)
 
 
+def _pairs(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All id pairs of a block's pieces and, by piece, how many."""
+    links, size = _flat(pieces, "links")
+    np.bitwise_and(links, ~(A_ENDS | B_ENDS), out=links)
+    return links, size
+
+
 def _rows(pieces: pa.Table) -> np.ndarray:
     """Where each piece of a block stands in its table, by its number in the block."""
     number = pieces.column("piece").to_numpy() & ((1 << PIECE_BITS) - 1)
@@ -336,17 +345,18 @@ def _texts(docs: pa.Table) -> Iterator[np.ndarray]:
 
 def _holders(key: tuple, pieces: pa.Table, docs: pa.Table) -> pa.Table:
     """(block, link, n): in how many of a block's documents each id pair is linked."""
-    links, size = _flat(pieces, "links")
-    links = links & ~(A_ENDS | B_ENDS)
+    links, size = _pairs(pieces)
     begin, at = np.cumsum(size) - size, _rows(pieces)
-    pairs, pair = np.unique(links, return_inverse=True)
+    coded = pa.array(links, pa.int64()).dictionary_encode()
+    pairs, pair = coded.dictionary, coded.indices.to_numpy()
+    del links
     count = np.zeros(len(pairs), np.int64)
     for held in _texts(docs):
         if len(held):
             rows = at[np.unique(held)]
             count[pair[_spread(begin[rows], size[rows])]] += 1  # one for a document, however often a pair is there
     release()
-    return pa.table({"block": pa.array(np.full(len(pairs), key[0].as_py(), np.int64)), "link": pa.array(pairs, pa.int64()), "n": count})
+    return pa.table({"block": pa.array(np.full(len(pairs), key[0].as_py(), np.int64)), "link": pairs, "n": count})
 
 
 def link_counts(holders: DataFrame) -> DataFrame:
@@ -411,14 +421,12 @@ def _joined(groups: pa.Array, rows: np.ndarray, digest: bool) -> str:
 
 def _assembled(pieces: pa.Table, docs: pa.Table, digest: bool) -> pa.Table:
     """A block's documents with their sums and groups; the row numbered 0 has the counts of the block's id pairs."""
-    links, size = _flat(pieces, "links")
-    links = links & ~(A_ENDS | B_ENDS)
+    links, size = _pairs(pieces)
     first = docs.filter(pa.compute.equal(docs.column("row"), 0))
     pair, n, best = (_flat(first, c)[0] for c in ("pairs", "counts", "bests"))
-    order = np.argsort(pair)
-    weight = order[np.searchsorted(pair, links, sorter=order)] if len(links) else np.zeros(0, np.int64)
+    weight = pa.compute.index_in(pa.array(links, pa.int64()), value_set=pa.array(pair, pa.int64())).to_numpy()
     del links
-    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[weight])])[np.concatenate([[0], np.cumsum(size)])])
+    total = lambda x: np.add.reduceat(x[weight], np.cumsum(size) - size)
     sums = np.stack([*(pieces.column(c).to_numpy() for c in _SUMS[:4]), total(best), total(n)], axis=1).astype(np.int64) if pieces.num_rows else np.zeros((0, 6), np.int64)
     del weight
     groups, at = _group_texts(pieces), _rows(pieces)

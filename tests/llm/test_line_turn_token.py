@@ -254,6 +254,13 @@ def test_pieces_in_one_call_have_the_ids_that_each_has():
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_alignment_groups_sorted_rows_without_a_hash_table(spark):
+    tokens = spark.createDataFrame([(1, 7, [3 << 21 | 5, 3 << 21 | 1 << 20 | 6])], "block long, piece long, tokens array<int>")
+    with token_alignment._sorted_together(spark):
+        plan = token_alignment.piece_table(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and len(re.findall(r"\bSort \[", plan)) == 2
+
+
 def test_groups_as_text_whatever_the_order_of_their_rows():
     # bytes 0-2 and 2-5 of either side, the first side's second token in two; then a piece of one token
     a_ends, b_ends = token_alignment.A_ENDS, token_alignment.B_ENDS
